@@ -68,19 +68,18 @@ def login_hour_profile(events: DataFrame) -> DataFrame:
 
 def anomaly_login_hour(events: DataFrame, min_history: int = LOGIN_HISTORY, rare_share: float = LOGIN_SHARE) -> DataFrame:
     """Logins in hours a user almost never uses; neighbouring hours count half, midnight wraps."""
-    profile = login_hour_profile(events)
-    h = F.col("histogram")
-
-    def at(hour: Column) -> Column:
-        return F.element_at(h, (hour % 24 + 1).cast("int")).cast("double")
-
-    total = F.aggregate(h, F.lit(0).cast("long"), lambda a, v: a + v)
-    share = (at(F.col("hour") + 23) * 0.5 + at(F.col("hour")) + at(F.col("hour") + 1) * 0.5) / (total * 2.0)
-    rows = (
-        profile.withColumn("history", total).where(F.col("history") >= min_history)
-        .withColumn("share", share).where(F.col("share") < rare_share)
-        .withColumn("peak_hour", F.array_position(h, F.array_max(h)) - 1)
-    )
+    def measure(h: Column) -> Column:
+        def at(shift: int) -> Column:
+            return F.element_at(h, ((F.col("hour") + shift) % 24 + 1).cast("int")).cast("double")
+
+        total = F.aggregate(h, F.lit(0).cast("long"), lambda a, v: a + v)
+        share = F.try_divide(at(23) * 0.5 + at(0) + at(1) * 0.5, total * 2.0)
+        return F.struct(total.alias("history"), share.alias("share"), (F.array_position(h, F.array_max(h)) - 1).alias("peak_hour"))
+
+    # a one-element transform binds the histogram once
+    measured = login_hour_profile(events).withColumn("m", F.transform(F.array("histogram"), measure)[0])
+    rows = measured.where((F.col("m.history") >= min_history) & (F.col("m.share") < rare_share)) \
+        .select(*CARRIED, "hour", "m.history", "m.share", "m.peak_hour")
     return anomaly_detection(
         rows, "ANOM-LOGIN-HOUR", "Login at an unusual hour for the user",
         F.format_string("%s: %.1f%% of %d earlier logins fall near hour %02d, most near %02d", "user", F.col("share") * 100, "history", "hour", "peak_hour"),

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+# Functions sent to executors carry their code, so workers need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Settings every job relies on: UTC wall clock, adaptive execution, skew-join splitting."""
