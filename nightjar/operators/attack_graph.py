@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from nightjar.session import materialize
+
 # --- fixed values -------------------------------------------------------------------------------
 LAYER = {"user": 0, "host": 1, "process": 2, "file": 3, "service": 3, "domain": 4, "ip": 4, "ioc": 5}
 OTHER_LAYER = 2
@@ -17,6 +18,7 @@ RELATION_PHASE = {
 }
 EVIDENCE_SHOWN = 50
 IOC_RISK = 90.0
+GRAPH = ["tenant_id", "incident_id"]
 # ------------------------------------------------------------------------------------------------
 
 
@@ -80,42 +82,39 @@ def order_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.orderBy("incident_id", "layer", F.col("first_time").asc_nulls_last(), "node")
 
 
-def _spine(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Longest path of one small graph: drop edges that close a cycle, then relax in topological order."""
-    following: dict[str, list[str]] = {}
-    for s, d in sorted(set(zip(pdf["src"], pdf["dst"]))):
-        if s != d:
-            following.setdefault(s, []).append(d)
-            following.setdefault(d, [])
-    order, state, kept = [], {}, {}
-    for root in sorted(following):
-        if root in state:
-            continue
-        state[root], kept[root] = 1, []
-        stack = [(root, iter(following[root]))]
-        while stack:
-            node, rest = stack[-1]
-            step = next(rest, None)
-            if step is None:
-                state[node] = 2
-                order.append(node)
-                stack.pop()
-            elif state.get(step) != 1:
-                kept[node].append(step)
-                if step not in state:
-                    state[step], kept[step] = 1, []
-                    stack.append((step, iter(following[step])))
-    best: dict[str, list[str]] = {}
-    for node in order:
-        best[node] = [node] + max((best[n] for n in kept[node]), key=len, default=[])
-    path = max((best[n] for n in sorted(best)), key=len, default=[])
-    return pd.DataFrame({"tenant_id": pdf["tenant_id"].iloc[:1], "incident_id": pdf["incident_id"].iloc[:1], "path": [path]})
+def _cycle_core(edges: DataFrame) -> DataFrame:
+    """Edges left after repeatedly trimming those no cycle can use: no way into the source or out of the target."""
+    core = edges
+    while True:
+        before = core.count()
+        into = core.select("tenant_id", "incident_id", F.col("dst").alias("src")).distinct()
+        out = core.select("tenant_id", "incident_id", F.col("src").alias("dst")).distinct()
+        core = materialize(core.join(into, [*GRAPH, "src"], "left_semi").join(out, [*GRAPH, "dst"], "left_semi"))
+        if core.count() == before:
+            return core
 
 
 def story_spine(graph_edges: DataFrame) -> DataFrame:
-    """Longest path through each incident's collapsed graph.
+    """Longest path through each incident's graph, for all incidents together.
 
-    The edges are already one row per (source, target, relation); a further distinct leaves one per pair.
+    Cycles are broken first: of the edges a cycle can use, those that do not lead forward in (layer, name) order
+    are dropped. Paths then grow backwards from the sinks, one join and one aggregation per step, so neither a
+    large graph nor a large number of them lands on one task. Ties take the greatest path by name.
     """
-    pairs = graph_edges.select("tenant_id", "incident_id", "src", "dst").distinct()
-    return pairs.groupBy("tenant_id", "incident_id").applyInPandas(_spine, "tenant_id string, incident_id string, path array<string>")
+    pairs = materialize(graph_edges.where(F.col("src") != F.col("dst")).select(*GRAPH, "src", "dst").distinct())
+
+    def place(node: str) -> Column:
+        return F.struct(F.coalesce(_lookup(LAYER, F.substring_index(node, ":", 1)), F.lit(OTHER_LAYER)), F.col(node))
+
+    closing = _cycle_core(pairs).where(place("src") >= place("dst"))
+    kept = materialize(pairs.join(closing, [*GRAPH, "src", "dst"], "left_anti"))
+    nodes = pairs.select(*GRAPH, F.explode(F.array("src", "dst")).alias("node")).distinct()
+    best = materialize(nodes.withColumn("tail", F.struct(F.lit(1).alias("size"), F.array("node").alias("path"))))
+    while True:
+        longer = kept.join(best.select(*GRAPH, F.col("node").alias("dst"), "tail"), [*GRAPH, "dst"]).groupBy(*GRAPH, F.col("src").alias("node")).agg(
+            F.max(F.struct((F.col("tail.size") + 1).alias("size"), F.concat(F.array("src"), "tail.path").alias("path"))).alias("grown"))
+        grown = materialize(best.join(longer, [*GRAPH, "node"], "left").select(*GRAPH, "node", F.col("tail").alias("was"), F.greatest("tail", F.coalesce("grown", "tail")).alias("tail")))
+        changed = grown.where(F.col("was") != F.col("tail")).limit(1).count()
+        best = grown.drop("was")
+        if not changed:
+            return best.groupBy(*GRAPH).agg(F.max("tail").alias("tail")).select(*GRAPH, F.col("tail.path").alias("path"))
