@@ -40,7 +40,7 @@ def current_iocs(iocs: DataFrame) -> DataFrame:
 
 def _mask(value: Column, length: Column) -> Column:
     """Network part of an address, by arithmetic on the unsigned value."""
-    size = F.shiftleft(F.lit(1).cast("bigint"), (32 - length).cast("int"))
+    size = F.pow(F.lit(2.0), 32 - length).cast("bigint")
     return value - F.pmod(value, size)
 
 
@@ -109,7 +109,7 @@ def extract_observables(events: DataFrame) -> DataFrame:
         entry("ip", F.col("dst_ip")), entry("ip", F.col("src_ip")), entry("domain", F.col("domain")), entry("url", F.col("url")),
         entry("domain", url_host(F.col("url"))), entry("hash", F.col("file_hash"))))
     return events.select("event_id", "tenant_id", "timestamp", "seq", "user", "host", "dst_ip", "domain", F.posexplode(items).alias("pos", "item")) \
-        .select("*", "item.kind", "item.observed").drop("item")
+        .select("*", "item.kind", "item.observed").drop("item").withColumn("pos", F.col("pos").cast("bigint"))
 
 
 def _by_type(mapping: dict, column: Column) -> Column:
