@@ -100,14 +100,14 @@ def _mentions(events: DataFrame) -> DataFrame:
     accessed = base_name(c("file_path"))
     service = F.coalesce(F.when(has["service_name"], c("service_name")), c("file_path"))
 
-    def mention(condition: Column, name: str, node: Column, label: Column, **attrs: Column) -> Column:
+    def mention(condition: Column, of_kind: str, node: Column, label: Column, **attrs: Column) -> Column:
         known = {"name": None, "country": None, "hash": None, "size": None} | attrs
-        return F.when(condition, F.struct(F.lit(name).alias("kind"), node.alias("node"), label.alias("label"),
+        return F.when(condition, F.struct(F.lit(of_kind).alias("kind"), node.alias("node"), label.alias("label"),
                                           *[(v.cast("string") if v is not None else F.lit(None).cast("string")).alias(k) for k, v in known.items()]))
 
-    def scoped(name: str, condition: Column, value: Column, **attrs: Column) -> Column:
+    def scoped(of_kind: str, condition: Column, value: Column, **attrs: Column) -> Column:
         label = F.concat(F.coalesce(F.when(has["host"], c("host")), F.lit("?")), F.lit("/"), value)
-        return mention(condition, name, _scoped(name, value), label, **attrs)
+        return mention(condition, of_kind, _scoped(of_kind, value), label, **attrs)
 
     items = F.array_compact(F.array(
         mention(has["host"], "host", node_id("host", c("host")), c("host")),

@@ -8,6 +8,7 @@ from nightjar.functions.net import ipv4_to_long, is_ipv4
 from nightjar.functions.text import url_host
 from nightjar.operators.ordered import cooldown, with_row_index
 from nightjar.schema import digest_id, filled, micros, seconds
+from nightjar.session import materialize
 
 # --- fixed values -------------------------------------------------------------------------------
 BASE_SCORE = {"low": 20.0, "medium": 35.0, "high": 55.0, "critical": 75.0}
@@ -56,7 +57,7 @@ def _netblocks(iocs: DataFrame) -> DataFrame:
 
 def build_index(iocs: DataFrame) -> tuple[DataFrame, list[int]]:
     """Look-up rows ``(look_kind, look_key) -> indicator`` and the prefix lengths in use (33 at most)."""
-    current = current_iocs(iocs)
+    current = materialize(current_iocs(iocs))
     blocks = _netblocks(current)
     lengths = sorted(r["prefix"] for r in blocks.select("prefix").distinct().collect())
     first_block = (

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from nightjar.session import prepare
+from nightjar.session import ensure_checkpoint_dir, prepare
 
 # (name, expression over event_id, user_id, event_type as t, value, k)
 _EVENT_VIEW: list[tuple[str, str]] = [
@@ -120,15 +120,32 @@ def _exprs(view: list[tuple[str, str]]) -> list:
     return [F.expr(e).alias(n) for n, e in view]
 
 
-def telemetry(spark: SparkSession, sf_dir: str, keep_inputs: bool = False) -> DataFrame:
-    """Canonical events over the ``events`` table."""
-    prepare(spark)
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def derive_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical events over the ``events`` table (plus its ``value``, ``k`` and ``user_id``)."""
     base = spark.read.parquet(f"{sf_dir}/events.parquet").withColumnRenamed("event_type", "t").withColumn("k", F.expr(_K))
     columns = _exprs(_EVENT_VIEW) + [F.col("ts").cast("timestamp").alias("timestamp")]
-    out = base.select(*columns, *(["value", "k", "user_id"] if keep_inputs else []))
+    out = base.select(*columns, "value", "k", "user_id")
     return out.withColumn("tags", F.array_compact(F.array("tags")))
 
 
+def telemetry(spark: SparkSession, sf_dir: str, keep_inputs: bool = False) -> DataFrame:
+    """The canonical events as a table: derived once per application, written to the shared folder, then scanned.
+
+    Jobs work on a stored event table, as they would in production, so filters and columns reach its scan.
+    """
+    prepare(spark)
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _WRITTEN:
+        path = f"{ensure_checkpoint_dir(spark)}/telemetry-{abs(hash(sf_dir))}"
+        derive_telemetry(spark, sf_dir).write.mode("overwrite").parquet(path)
+        _WRITTEN[key] = path
+    table = spark.read.parquet(_WRITTEN[key])
+    return table if keep_inputs else table.drop("value", "k", "user_id")
+
+
 def sample_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections over the ``events`` table, one per unusually large value."""
     ev = telemetry(spark, sf_dir, keep_inputs=True).where(F.col("value") >= DETECTION_FLOOR)

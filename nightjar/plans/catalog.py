@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from nightjar.plans import queries_cases, queries_detect, queries_events, queries_intel  # noqa: F401
+from nightjar.plans import queries_cases, queries_detect, queries_events, queries_graph, queries_intel, queries_reports  # noqa: F401
 from nightjar.plans.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]
