@@ -135,14 +135,14 @@ FROM (SELECT incident_id, count(*) FILTER ({_LOCK}) AS l, count(*) FILTER ({_NOT
 register("all_findings", lambda s, d: V.all_findings(case_incidents(s, d), case_events(s, d), case_detections(s, d)).select("incident_id", "agent", "headline", "detail", "confidence"))
 register("incident_timeline", lambda s, d: V.incident_timeline(case_events(s, d), case_detections(s, d)).select("incident_id", "position", "event_id", "time", "summary", "phase", F.array_join("techniques", ",").alias("techniques")), f"""
 SELECT e.incident_id, CAST(row_number() OVER (PARTITION BY e.incident_id ORDER BY e.ts_us, e.seq) AS INTEGER) AS position, e.event_id, strftime(e."timestamp", '%Y-%m-%d %H:%M:%S') AS time, e.summary, d.phase,
-  array_to_string(list_sort([x for x in [d.technique_1, d.technique_2] if x IS NOT NULL]), ',') AS techniques FROM (SELECT *, {SUMMARY_SQL} AS summary FROM inc_ev) e JOIN inc_det d USING (incident_id, event_id) QUALIFY position <= 200""", "inc_ev")
+  array_to_string(list_sort(list_distinct([x for x in [d.technique_1, d.technique_2] if x IS NOT NULL])), ',') AS techniques FROM (SELECT *, {SUMMARY_SQL} AS summary FROM inc_ev) e JOIN inc_det d USING (incident_id, event_id) QUALIFY position <= 200""", "inc_ev")
 _ACTION_ROWS = "(VALUES " + ", ".join(f"('{p}', {PHASES.index(p)}, {i}, '{a.replace(chr(39), chr(39) * 2)}')" for p, acts in V.ACTIONS.items() for i, a in enumerate(acts)) + ") lib(phase, phase_rank, pos, action)"
 _CLOSING_ROWS = " ".join(f"UNION ALL SELECT incident_id, {len(PHASES)}, {i}, '{a}' FROM inc" for i, a in enumerate(V.CLOSING_ACTIONS))
 register("recommendations", lambda s, d: V.recommendations(case_incidents(s, d)), f"""
 SELECT incident_id, CAST(row_number() OVER (PARTITION BY incident_id ORDER BY phase_rank, pos) AS INTEGER) AS position, action FROM (
-  SELECT i.incident_id, l.phase_rank, l.pos, l.action FROM (SELECT incident_id, unnest(phases) AS phase FROM inc) i JOIN {_ACTION_ROWS} USING (phase) {_CLOSING_ROWS}) QUALIFY position <= 8""", "inc")
+  SELECT i.incident_id, lib.phase_rank, lib.pos, lib.action FROM (SELECT incident_id, unnest(phases) AS phase FROM inc) i JOIN {_ACTION_ROWS} USING (phase) {_CLOSING_ROWS}) QUALIFY position <= 8""", "inc")
 register("fact_summary", lambda s, d: V.fact_summary(case_incidents(s, d)), """
-SELECT incident_id, 'Incident ' || incident_id || ' (' || upper(severity) || ', risk ' || printf('%.0f', risk) || '/100, confidence ' || printf('%.0f', conf * 100) || '%) concerns ' || CASE WHEN len(users) > 0 THEN array_to_string(users, ', ') ELSE 'an unknown account' END
+SELECT incident_id, 'Incident ' || incident_id || ' (' || upper(severity) || ', risk ' || CAST(CAST(floor(risk + 0.5) AS BIGINT) AS VARCHAR) || '/100, confidence ' || CAST(CAST(floor(conf * 100 + 0.5) AS BIGINT) AS VARCHAR) || '%) concerns ' || CASE WHEN len(users) > 0 THEN array_to_string(users, ', ') ELSE 'an unknown account' END
   || ' on ' || array_to_string(hosts, ', ') || '. Phases: ' || CASE WHEN len(phases) > 0 THEN replace(array_to_string(phases, ' > '), '_', ' ') ELSE 'single stage' END || '.' || chr(10) || chr(10) || ' ' || n || ' detections by ' || len(kinds) || ' method(s).' AS text FROM inc""", "inc")
 
 
@@ -187,8 +187,8 @@ part("narratives", f"""SELECT incident_id AS text_id, incident_id, upper(array_t
   || '. Lateral movement to XX-77 at 8.8.8.8 with evil.exe via c2.evil.example.com and T1490. No exfiltration was seen. Ransomware evt_ffffffffff' AS text
 FROM inc JOIN (SELECT incident_id, string_agg(event_id || ' ' || summary, '. ' ORDER BY ts_us, seq) AS body FROM (SELECT *, {SUMMARY_SQL} AS summary FROM inc_ev) GROUP BY incident_id) USING (incident_id)""", "inc_ev")
 register("citation_check", lambda s, d: T.citation_check(narratives(s, d), case_events(s, d).withColumnRenamed("incident_id", "text_id")).withColumn("fabricated_ids", F.array_join("fabricated_ids", ",")), """
-WITH c AS (SELECT DISTINCT text_id, unnest(regexp_extract_all(text, 'evt_[0-9a-f]{6,}')) AS event_id FROM narratives),
-v AS (SELECT incident_id AS text_id, event_id FROM inc_ev), t AS (SELECT text_id, count(*) AS total FROM v GROUP BY text_id),
+WITH c AS MATERIALIZED (SELECT text_id, event_id FROM (SELECT text_id, unnest(list_distinct(regexp_extract_all(text, 'evt_[0-9a-f]{6,}'))) AS event_id FROM narratives)),
+v AS MATERIALIZED (SELECT incident_id AS text_id, event_id FROM inc_ev), t AS (SELECT text_id, count(*) AS total FROM v GROUP BY text_id),
 g AS (SELECT c.text_id, count(*) AS cited, count(v.event_id) AS good, list_sort(coalesce(list(c.event_id) FILTER (v.event_id IS NULL), [])) AS bad FROM c LEFT JOIN v USING (text_id, event_id) GROUP BY c.text_id)
 SELECT text_id, total AS evidence_total, good AS evidence_cited, array_to_string(bad, ',') AS fabricated_ids, round(good / total, 3) AS coverage, round(good / cited, 3) AS fidelity, len(bad) = 0 AS grounded FROM g JOIN t USING (text_id)""", "narratives")
 part("vocab", """SELECT DISTINCT incident_id, kind, value FROM (
