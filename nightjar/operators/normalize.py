@@ -35,25 +35,45 @@ LINUX_KINDS = {
 FALSY = ["null", "false", "0", "0.0", '""', "[]", "{}"]
 
 
-def _path(key: str) -> str:
-    return "$['" + key + "']"
+class Texts:
+    """Top-level values of a record as two map columns: all of them as text, and only the usable ones."""
 
+    def __init__(self, name: str):
+        self.name = name
 
-def has_key(record: Column, key: str) -> Column:
-    return F.try_variant_get(record, _path(key), "variant").isNotNull()
+    @property
+    def every(self) -> Column:
+        return F.col(f"{self.name}_every")
 
+    @property
+    def usable(self) -> Column:
+        return F.col(f"{self.name}_usable")
 
-def get_text(record: Column, key: str) -> Column:
-    return F.try_variant_get(record, _path(key), "string")
 
+def with_texts(df: DataFrame, name: str, record: Column) -> DataFrame:
+    """Decode a variant once per row. Empty text, zero, false and empty containers are not usable."""
+    fields = F.try_variant_get(record, "$", "map<string,variant>")
+    text = lambda v: F.try_variant_get(v, "$", "string")
+    usable = F.transform_values(fields, lambda _, v: F.when(~F.to_json(v).isin(FALSY), text(v)))
+    return df.withColumns({f"{name}_every": F.transform_values(fields, lambda _, v: text(v)), f"{name}_usable": F.map_filter(usable, lambda _, v: v.isNotNull())})
 
-def truthy_text(record: Column, key: str) -> Column:
-    """Value as text; empty text, zero, false and empty containers count as missing."""
-    value = F.try_variant_get(record, _path(key), "variant")
-    return F.when(~F.to_json(value).isin(FALSY), get_text(record, key))
 
+REC, DATA = Texts("rec"), Texts("data")
 
-def pick(record: Column, *keys: str) -> Column:
+
+def has_key(record: Texts, key: str) -> Column:
+    return F.coalesce(F.map_contains_key(record.every, key), F.lit(False))
+
+
+def get_text(record: Texts, key: str) -> Column:
+    return F.try_element_at(record.every, F.lit(key))
+
+
+def truthy_text(record: Texts, key: str) -> Column:
+    return F.try_element_at(record.usable, F.lit(key))
+
+
+def pick(record: Texts, *keys: str) -> Column:
     """First usable value in order."""
     return F.coalesce(*[truthy_text(record, k) for k in keys])
 
@@ -98,11 +118,10 @@ def _common(df: DataFrame, source: str) -> dict[str, Column]:
 
 def normalize_windows(df: DataFrame) -> DataFrame:
     """Windows Security and Sysmon records, nested or flat."""
-    rec = F.col("raw")
-    nested = F.try_variant_get(rec, "$.EventData", "variant")
-    data = F.coalesce(F.when(~F.to_json(nested).isin(FALSY), nested), rec)
-    df = df.withColumn("data", data).withColumn("eid", F.coalesce(to_long(pick(rec, "EventID", "event_id_win", "id")), F.lit(0)))
-    d, eid = F.col("data"), F.col("eid")
+    rec, d, eid = REC, DATA, F.col("eid")
+    nested = F.try_variant_get(F.col("raw"), "$.EventData", "variant")
+    df = with_texts(df, "data", F.coalesce(F.when(~F.to_json(nested).isin(FALSY), nested), F.col("raw")))
+    df = df.withColumn("eid", F.coalesce(to_long(pick(rec, "EventID", "event_id_win", "id")), F.lit(0)))
     known = F.try_element_at(_map_literal({k: f"{t}|{a}" for k, (t, a) in WINDOWS_EVENTS.items()}), eid.cast("int"))
     script = eid.isin(SCRIPT_BLOCK_IDS)
     process = base_name(pick(d, "NewProcessName", "Image", "SourceImage", "Application", "ProcessName"))
@@ -136,7 +155,7 @@ def normalize_windows(df: DataFrame) -> DataFrame:
 
 def normalize_linux(df: DataFrame) -> DataFrame:
     """auditd records: logins, processes, files, network, privilege."""
-    rec = F.col("raw")
+    rec = REC
     df = df.withColumn("record_kind", F.lower(F.coalesce(pick(rec, "type", "event_type"), F.lit(""))))
     kind = F.col("record_kind")
 
@@ -163,7 +182,7 @@ def normalize_linux(df: DataFrame) -> DataFrame:
 
 def normalize_zeek_conn(df: DataFrame) -> DataFrame:
     """Connection log."""
-    rec = F.col("raw")
+    rec = REC
     return _assemble(df, _common(df, "network") | {
         "timestamp": to_time(pick(rec, "ts", "timestamp")), "event_type": F.lit("network_connection"), "action": F.lit("connect"),
         "outcome": F.when(F.coalesce(get_text(rec, "conn_state"), F.lit("SF")).isin(OK_STATES), "success").otherwise("failure"), "host": pick(rec, "host", "orig_host"),
@@ -175,9 +194,9 @@ def normalize_zeek_conn(df: DataFrame) -> DataFrame:
 
 def normalize_dns(df: DataFrame) -> DataFrame:
     """DNS log."""
-    rec = F.col("raw")
+    rec = REC
     code = F.upper(F.coalesce(pick(rec, "rcode_name", "rcode", "outcome"), F.lit("NOERROR")))
-    answers = F.try_variant_get(rec, "$.answers", "array<string>")
+    answers = F.try_variant_get(F.col("raw"), "$.answers", "array<string>")
     return _assemble(df, _common(df, "dns") | {
         "timestamp": to_time(pick(rec, "ts", "timestamp")), "event_type": F.lit("dns_query"), "action": F.lit("query"),
         "outcome": F.when(code.isin(FAILED_CODES), "nxdomain").otherwise("success"), "host": pick(rec, "host", "client_host"),
@@ -188,21 +207,21 @@ def normalize_dns(df: DataFrame) -> DataFrame:
 
 def normalize_generic(df: DataFrame) -> DataFrame:
     """Records close to the canonical shape; unknown fields stay in ``raw``."""
-    rec = F.col("raw")
+    rec, raw = REC, F.col("raw")
     columns: dict[str, Column] = {}
     for name, dtype in EVENT_FIELDS:
         if name == "timestamp":
             columns[name] = to_time(get_text(rec, name))
         elif name == "tags":
-            columns[name] = F.coalesce(F.try_variant_get(rec, "$.tags", "array<string>"), F.array().cast("array<string>"))
+            columns[name] = F.coalesce(F.try_variant_get(raw, "$.tags", "array<string>"), F.array().cast("array<string>"))
         elif name == "raw":
             known = F.array(*[F.lit(n) for n, _ in EVENT_FIELDS])
-            rest = F.map_filter(F.try_variant_get(rec, "$", "map<string,variant>"), lambda k, _: ~F.array_contains(known, k))
-            columns[name] = F.coalesce(F.try_variant_get(rec, "$.raw", "variant"), F.parse_json(F.to_json(rest)))
+            rest = F.map_filter(F.try_variant_get(raw, "$", "map<string,variant>"), lambda k, _: ~F.array_contains(known, k))
+            columns[name] = F.coalesce(F.try_variant_get(raw, "$.raw", "variant"), F.parse_json(F.to_json(rest)))
         elif dtype.typeName() == "string":
             columns[name] = get_text(rec, name)
         else:
-            columns[name] = F.try_variant_get(rec, _path(name), dtype.simpleString())
+            columns[name] = to_long(get_text(rec, name)).cast(dtype)
     defaults = {"event_id": F.col("new_id"), "tenant_id": F.col("tenant"), "source": F.lit("application"), "event_type": F.lit("application_log"), "action": F.lit("log"), "severity_hint": F.lit("info")}
     for name, value in defaults.items():
         columns[name] = F.coalesce(columns[name], value)
@@ -211,7 +230,7 @@ def normalize_generic(df: DataFrame) -> DataFrame:
 
 def route_column(collector: Column) -> Column:
     """Adapter of a record: by collector name, else by the keys it has, in a fixed order."""
-    rec = F.col("raw")
+    rec = REC
     named = F.try_element_at(_map_literal(COLLECTORS), F.lower(F.coalesce(F.nullif(collector, F.lit("")), pick(rec, "collector", "format"), F.lit(""))))
     return (
         F.when(named.isNotNull(), named).when(has_key(rec, "EventID") | has_key(rec, "Computer"), "windows")
@@ -226,7 +245,7 @@ ADAPTERS = {"windows": normalize_windows, "linux": normalize_linux, "zeek": norm
 def normalize(records: DataFrame, collector: str | None = None, tenant: str = "default") -> DataFrame:
     """Canonical events of mixed records (columns ``raw`` variant and ``seq``)."""
     tagged = records.select("raw", "seq", F.lit(tenant).alias("tenant"), digest_id("evt_", F.lit(tenant), F.col("seq"), F.to_json("raw")).alias("new_id"))
-    routed = tagged.withColumn("route", route_column(F.lit(collector) if collector else F.lit(None).cast("string")))
+    routed = with_texts(tagged, "rec", F.col("raw")).withColumn("route", route_column(F.lit(collector) if collector else F.lit(None).cast("string")))
     parts = [adapter(routed.where(F.col("route") == name)) for name, adapter in ADAPTERS.items()]
     out = parts[0]
     for p in parts[1:]:

@@ -16,6 +16,7 @@ from nightjar.operators.normalize import normalize, with_violations
 from nightjar.operators.ordered import Fold
 from nightjar.operators.rules import RuleFold, RuleSpec, detections_from_fires, enabled_rules, keyed_hits, scan_conditions
 from nightjar.schema import MAX_TAGS
+from nightjar.session import materialize
 
 TOPOLOGY_DAYS = 14
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -41,16 +42,28 @@ def parse_stream(lines: DataFrame) -> DataFrame:
     return lines.select("raw_json", F.try_parse_json("raw_json").alias("raw"), F.xxhash64("raw_json").alias("seq"))
 
 
-def stream_events(records: DataFrame, collector: str | None = None, tenant: str = "default") -> tuple[DataFrame, DataFrame]:
-    """(canonical events, quarantine): bad rows are set aside and the stream goes on."""
+def split_records(records: DataFrame, collector: str | None = None, tenant: str = "default") -> tuple[DataFrame, DataFrame]:
+    """(canonical events, quarantine) of a batch of parsed lines."""
     good_json = F.col("raw").isNotNull() & F.ltrim("raw_json").startswith("{")
-    checked = with_violations(normalize(records.where(good_json), collector, tenant))
+    checked = materialize(with_violations(normalize(records.where(good_json), collector, tenant)))
     events = checked.where(F.size("violations") == 0).drop("violations").withColumn("tags", F.slice("tags", 1, MAX_TAGS))
     broken = records.where(~good_json).select("raw_json", F.array(F.lit("not a JSON object")).alias("violations"))
     rejected = checked.where(F.size("violations") > 0).select(F.to_json("raw").alias("raw_json"), "violations")
     return events, broken.unionByName(rejected)
 
 
+def stream_events(records: DataFrame, events: str, quarantine: str, checkpoint: str, collector: str | None = None, tenant: str = "default", once: bool = False) -> StreamingQuery:
+    """Raw stream -> event table and quarantine table. A bad row is set aside and the stream goes on; each batch
+    is normalised once for both outputs and owns its folders, so a repeated batch replaces itself."""
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        good, bad = split_records(batch, collector, tenant)
+        append_to(events)(good, batch_id)
+        append_to(quarantine)(bad, batch_id)
+
+    writer = records.writeStream.option("checkpointLocation", checkpoint).foreachBatch(handle)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="5 seconds")).start()
+
+
 def stream_dedup(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """One event per fingerprint inside the watermark; later rows are dropped and counted by Spark."""
     return with_fingerprint(events).withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["fingerprint"]).drop("fingerprint")
@@ -93,9 +106,9 @@ class OrderedFoldProcessor(StatefulProcessor):
         else:
             self.waiting.clear()
         state = pickle.loads(bytes(self.state.get()[0])) if self.state.exists() else self.fold.start(key[0])
-        out = [Row(**e) for row in ready for e in self.fold.step(key[0], state, row)]
+        out = [e for row in ready for e in self.fold.step(key[0], state, row)]
         self.state.update((pickle.dumps(state),))
-        return iter([Row(*[self._plain(e[f.name]) for f in self.fold.schema.fields]) for e in out])
+        return iter([Row(**{f.name: self._plain(e[f.name]) for f in self.fold.schema.fields}) for e in out])
 
     @staticmethod
     def _plain(value):

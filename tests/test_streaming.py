@@ -41,9 +41,23 @@ def test_quarantine_and_dedup(spark, tmp_path):
     lines = [json.dumps(good), json.dumps(good), "not json", json.dumps({"source": "nowhere", "event_type": "authentication", "action": "x", "timestamp": "2024-01-01T00:00:00Z"})]
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.jsonl").write_text("\n".join(lines))
-    events, quarantine = J.stream_events(J.stream_records(spark, str(tmp_path / "in")))
-    J.run_available(J.stream_dedup(events.drop("raw")), str(tmp_path / "cp1"), J.append_to(str(tmp_path / "good"))).awaitTermination(120)
-    J.run_available(quarantine, str(tmp_path / "cp2"), J.append_to(str(tmp_path / "bad"))).awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "good")).count() == 1
+    J.stream_events(J.stream_records(spark, str(tmp_path / "in")), str(tmp_path / "good"), str(tmp_path / "bad"), str(tmp_path / "cp1"), once=True).awaitTermination(90)
+    good = spark.read.parquet(str(tmp_path / "good"))
+    assert good.count() == 2
     reasons = {r["v"] for r in spark.read.parquet(str(tmp_path / "bad")).select(F.explode("violations").alias("v")).collect()}
     assert reasons == {"not a JSON object", "unknown source"}
+    stream = spark.readStream.schema(good.schema).parquet(str(tmp_path / "good")).drop("raw")
+    J.run_available(J.stream_dedup(stream), str(tmp_path / "cp2"), J.append_to(str(tmp_path / "unique"))).awaitTermination(60)
+    assert spark.read.parquet(str(tmp_path / "unique")).count() == 1
+
+
+def test_correlation_and_ledger_follow_detections(spark, tmp_path):
+    rows = [event(i, i * 60, host="A", user="bob") for i in range(4)]
+    dets = run_rules(frame(spark, rows), [RuleSpec(id="M", title="m", severity="high", group_by=["host"], where=FAILED, cooldown_seconds=0)])
+    dets.write.parquet(str(tmp_path / "dets"))
+    stream = spark.readStream.schema(dets.schema).parquet(str(tmp_path / "dets"))
+    J.stream_correlate(stream, str(tmp_path / "table"), str(tmp_path / "inc"), str(tmp_path / "cp3"), once=True).awaitTermination(90)
+    inc = spark.read.parquet(str(tmp_path / "inc")).collect()
+    assert [(r["detections"], r["affected_users"]) for r in inc] == [(4, ["bob"])]
+    J.stream_ledger(stream, str(tmp_path / "dep"), str(tmp_path / "bal"), str(tmp_path / "cp4"), once=True).awaitTermination(60)
+    assert {r["entity"] for r in spark.read.parquet(str(tmp_path / "bal")).collect()} == {"host:A", "user:bob"}
