@@ -135,28 +135,53 @@ def with_raw_fields(df: DataFrame, fields: set[str]) -> DataFrame:
     return df.withColumns(extra) if extra else df
 
 
+class ConditionCompiler:
+    """Compiles conditions over one DataFrame; equal matchers of many rules share one column."""
+
+    def __init__(self, df: DataFrame, max_chars: int | None = None):
+        self.types = {f.name: f.dataType for f in df.schema.fields}
+        self.max_chars = max_chars
+        self.fields: dict[str, Field] = {}
+        self.terms: dict[tuple, Column] = {}
+
+    def field(self, key: str) -> Field:
+        if key not in self.fields:
+            name = RAW_PREFIX + key if RAW_PREFIX + key in self.types else key
+            known = name in self.types
+            self.fields[key] = Field(F.col(name) if known else F.lit(None).cast("string"), self.types[name] if known else T.StringType())
+        return self.fields[key]
+
+    def term(self, key: str, op: str, arg: Any) -> Column:
+        """Column of one matcher. ``max_chars`` bounds what a regular expression sees."""
+        mark = (key, op, repr(arg))
+        if mark not in self.terms:
+            self.terms[mark] = _match(self.field(key), op, arg, self.max_chars)
+        return self.terms[mark]
+
+    def compile(self, spec: dict | None) -> Column:
+        terms: list[Column] = []
+        for key, value in (spec or {}).items():
+            if key == "any_of":
+                terms.append(_any([self.compile(inner) for inner in value]))
+            elif key == "not":
+                terms.append(~self.compile(value))
+            else:
+                checks = value.items() if isinstance(value, dict) else [("eq", value)]
+                terms += [self.term(key, op, arg) for op, arg in checks]
+        return _all(terms)
+
+    def holds(self, spec: dict | None) -> Column:
+        """The condition with errors folded to false."""
+        return F.coalesce(self.compile(spec), F.lit(False))
+
+
 def compile_condition(df: DataFrame, spec: dict | None, max_chars: int | None = None) -> Column:
     """Boolean column for a condition over ``df``; unknown fields behave as missing values.
 
-    ``max_chars`` bounds how much text a regular expression sees; by default the whole text is searched.
+    By default regular expressions search the whole text.
     """
-    terms: list[Column] = []
-    for key, value in (spec or {}).items():
-        if key == "any_of":
-            terms.append(_any([compile_condition(df, inner, max_chars) for inner in value]))
-        elif key == "not":
-            terms.append(~compile_condition(df, value, max_chars))
-        else:
-            name = RAW_PREFIX + key if RAW_PREFIX + key in df.columns else key
-            if name in df.columns:
-                field = Field(F.col(name), df.schema[name].dataType)
-            else:
-                field = Field(F.lit(None).cast("string"), T.StringType())
-            checks = value.items() if isinstance(value, dict) else [("eq", value)]
-            terms += [_match(field, op, arg, max_chars) for op, arg in checks]
-    return _all(terms)
+    return ConditionCompiler(df, max_chars).compile(spec)
 
 
 def holds(df: DataFrame, spec: dict | None, max_chars: int | None = None) -> Column:
-    """``compile_condition`` with errors folded to false."""
-    return F.coalesce(compile_condition(df, spec, max_chars), F.lit(False))
+    return ConditionCompiler(df, max_chars).holds(spec)

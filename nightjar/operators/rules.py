@@ -9,9 +9,10 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from nightjar.functions.conditions import fields_of, holds, with_raw_fields
+from nightjar.functions.conditions import ConditionCompiler, fields_of, with_raw_fields
 from nightjar.operators.ordered import Fold, fold_ordered
 from nightjar.schema import DEFAULT_SCORE, DETECTION_COLUMNS, S, digest_id, micros, seconds
+from nightjar.session import materialize
 
 MAX_PARTIALS = 64  # fixed value: open partial sequences kept per key, newest win
 WHERE, THEN = 1, 2
@@ -84,11 +85,11 @@ def scan_conditions(events: DataFrame, rules: list[RuleSpec], max_chars: int | N
     """
     wanted = set().union(*[fields_of(c) for r in rules for c in r.conditions]) if rules else set()
     source = with_raw_fields(events, wanted)
-    hits = []
+    compiler, hits = ConditionCompiler(source, max_chars), []
     for i, rule in enumerate(rules):
         mask = F.lit(0)
         for bit, condition in enumerate(rule.conditions):
-            mask = mask + F.when(holds(source, condition, max_chars), F.lit(1 << bit)).otherwise(F.lit(0))
+            mask = mask + F.when(compiler.holds(condition), F.lit(1 << bit)).otherwise(F.lit(0))
         hits.append(F.when(mask > 0, F.struct(F.lit(i).alias("rule_idx"), mask.alias("mask"))))
     return source.select(*[F.col(c) for c in events.columns], F.inline(F.array_compact(F.array(*hits))))
 
@@ -280,7 +281,8 @@ def detections_from_fires(fires: DataFrame, rules: list[RuleSpec]) -> DataFrame:
 def run_rules(events: DataFrame, rules: list[RuleSpec], max_chars: int | None = None, blocks: int | None = None) -> DataFrame:
     """Detections of a rule pack: one scan, one range shuffle of the hits, one ordered fold."""
     active = enabled_rules(rules)
-    hits = keyed_hits(scan_conditions(events, active, max_chars), active)
+    # range partitioning samples its input: keep the hits, so that the conditions run once per event
+    hits = materialize(keyed_hits(scan_conditions(events, active, max_chars), active))
     fires = fold_ordered(hits, RuleFold(active), ["ts_us", "seq"], blocks)
     return detections_from_fires(fires, active)
 

@@ -140,7 +140,10 @@ def telemetry(spark: SparkSession, sf_dir: str, keep_inputs: bool = False) -> Da
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _WRITTEN:
         path = f"{ensure_checkpoint_dir(spark)}/telemetry-{abs(hash(sf_dir))}"
-        derive_telemetry(spark, sf_dir).write.mode("overwrite").parquet(path)
+        derived, cores = derive_telemetry(spark, sf_dir), spark.sparkContext.defaultParallelism
+        if derived.rdd.getNumPartitions() < cores:  # a source of few files would leave cores idle in every later scan
+            derived = derived.repartition(cores)
+        derived.write.mode("overwrite").parquet(path)
         _WRITTEN[key] = path
     table = spark.read.parquet(_WRITTEN[key])
     return table if keep_inputs else table.drop("value", "k", "user_id")

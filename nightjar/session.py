@@ -12,11 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
 
 
+# Static settings for a session builder: recording a call site per column expression dominates the planning time
+# of wide jobs.
+BUILDER_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Settings every job relies on: UTC wall clock, adaptive execution, skew-join splitting."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    # the JVM never compiles methods above 8000 bytes of code; wide rule scans then run faster in split functions
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     if spark.sparkContext.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
         spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
     return spark

@@ -6,14 +6,14 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from nightjar.session import prepare  # noqa: E402
+from nightjar.session import BUILDER_SETTINGS, prepare  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = (
         SparkSession.builder.master("local[4]").appName("tests").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4")
-        .config("spark.driver.memory", "4g").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+        .config("spark.driver.memory", "4g").config("spark.ui.showConsoleProgress", "false").config(map=BUILDER_SETTINGS).getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield prepare(session)
