@@ -40,20 +40,20 @@ def _ioc(value: Column, kind: Column | str, threat: Column | str, source: Column
 
 def _csv(spark: SparkSession, paths: str | list[str], columns: list[str]) -> DataFrame:
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    rows = spark.read.csv(paths, schema=schema, comment="#", mode="PERMISSIVE", multiLine=False, escape='"')
+    rows = spark.read.csv(paths, schema=schema, comment="#", mode="PERMISSIVE", multiLine=False, escape='"', nullValue="\u0001", emptyValue="")
     return rows.where(F.col(columns[0]).isNotNull() & (F.col(columns[0]) != columns[0]))
 
 
 def read_feodo(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Control-server address list (CSV with comment lines); the malware name comes from its own column."""
     rows = _csv(spark, paths, C2_COLUMNS).where(F.col("dst_port").isNotNull())
-    malware = F.coalesce("malware", F.lit("botnet C2"))
+    malware = F.coalesce(F.nullif(F.col("malware"), F.lit("")), F.lit("botnet C2"))
     return rows.select(_ioc(F.col("dst_ip"), "ip", F.concat(malware, F.lit(" C2")), "C2 address list", C2_CONFIDENCE, C2_SEVERITY, F.col("first_seen_utc"), _tags(C2_TAGS)).alias("i")).select("i.*")
 
 
 def read_urlhaus(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Malware-URL list: one URL indicator and, for named hosts, one domain indicator per row."""
-    rows = _csv(spark, paths, URL_COLUMNS).where(F.col("tags").isNotNull() | F.col("threat").isNotNull())
+    rows = _csv(spark, paths, URL_COLUMNS).where(F.col("tags").isNotNull())
     threat = F.coalesce(F.nullif(F.col("threat"), F.lit("")), F.lit(URL_THREAT))
     host = F.split(url_host(F.col("url")), ":")[0]
     tags = F.filter(F.split(F.coalesce("tags", F.lit("")), ","), lambda t: t != "")
