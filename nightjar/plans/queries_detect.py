@@ -177,7 +177,48 @@ def rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.hit_counts(R.scan_conditions(ev, RULES), RULES)
 
 
-register("rule_scan", rule_hits)
+_NUMERIC = {"dst_port", "bytes_out", "file_size"}
+_ABSENT = {"ObjectType", "Properties"}
+
+
+def _quoted(value) -> str:
+    return "'" + str(value).replace("'", "''") + "'"
+
+
+def _matcher_sql(field: str, op: str, arg) -> str:
+    """One matcher of a shipped rule as SQL over ``evp``."""
+    if field in _ABSENT:
+        return "false"
+    col = f'"{field}"'
+    if op == "private":
+        return f"coalesce(dst_private = {str(arg).lower()}, false)"
+    if op == "exists":
+        return f"({col} IS {'NOT ' if arg else ''}NULL {'AND' if arg else 'OR'} {col} {'<>' if arg else '='} '')"
+    values = arg if isinstance(arg, list) else [arg]
+    if op in ("eq", "in", "not_in"):
+        found = f"{col} IN ({', '.join(str(v) for v in values)})" if field in _NUMERIC else f"lower({col}) IN ({', '.join(_quoted(v.lower()) for v in values)})"
+        return f"coalesce(NOT ({found}), false)" if op == "not_in" else f"coalesce({found}, false)"
+    if op == "gte":
+        return f"coalesce({col} >= {arg}, false)"
+    how = {"regex": "regexp_matches({c}, {v})", "contains": "contains(lower({c}), {v})", "startswith": "starts_with(lower({c}), {v})", "endswith": "ends_with(lower({c}), {v})"}[op]
+    return "(" + " OR ".join("coalesce(" + how.replace("{c}", col).replace("{v}", _quoted(v if op == "regex" else v.lower())) + ", false)" for v in values) + ")"
+
+
+def condition_sql(spec: dict) -> str:
+    terms = []
+    for key, value in spec.items():
+        if key == "any_of":
+            terms.append("(" + " OR ".join(condition_sql(v) for v in value) + ")")
+        elif key == "not":
+            terms.append(f"NOT {condition_sql(value)}")
+        else:
+            terms += [_matcher_sql(key, op, arg) for op, arg in (value.items() if isinstance(value, dict) else [("eq", value)])]
+    return "(" + " AND ".join(terms) + ")"
+
+
+part("evp", "SELECT ev.*, ips.is_private AS dst_private FROM ev LEFT JOIN ips ON ips.ip = ev.dst_ip", "ips")
+register("rule_scan", rule_hits, "\nUNION ALL ".join(
+    f"SELECT '{r.id}' AS rule_id, count(*) FILTER ({' OR '.join(condition_sql(c) for c in r.conditions)}) AS hits FROM evp" for r in RULES), "evp")
 register("rule_pack", lambda s, d: _flat(R.run_rules(telemetry(s, d), RULES)))
 
 
