@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from nightjar.llm import chat_format, mixing, secret_ledger, sharding
+from nightjar.llm import chat_format, fertility, mixing, secret_ledger, sharding
 from nightjar.llm.common import shared_folder, table, word_count, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +77,14 @@ def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(spans(base), 256).alias("base_sha256"), spans(F.col("findings")).alias("spans"))
 
 
+# ------------------------------------------------------------------------------------------------ 9 quality
+@query
+def op9_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, tokeniser measures and the verdict on every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return fertility.fertility_rules(docs, keep_text=False).drop("lang")
+
+
 # ------------------------------------------------------------------------------------------------ 10 mixing
 @query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
