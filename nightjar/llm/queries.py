@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from nightjar.llm import chat_format, fertility, mixing, secret_ledger, sharding
+from nightjar.llm import chat_format, fertility, mixing, one_bit_search, piece_lattice, secret_ledger, sharding
 from nightjar.llm.common import shared_folder, table, word_count, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,15 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+# ------------------------------------------------------------------------------------------------ 1 pieces
+@query
+def op1_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded: best ids, the four best segmentations, and whether decoding gives back the text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = piece_lattice.encode(docs, keep_text=False)
+    return coded.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", "nbest", "decoded")
+
+
 # ------------------------------------------------------------------------------------------------ 2 chat
 @query
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +86,26 @@ def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(spans(base), 256).alias("base_sha256"), spans(F.col("findings")).alias("spans"))
 
 
+# ------------------------------------------------------------------------------------------------ 8 neighbours
+@query
+def op8_one_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest other vectors of every vector whose id is divisible by 20."""
+    return one_bit_search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+CHECKS["op8_one_bit_search"] = """
+WITH good AS (
+  SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score
+  FROM good q JOIN good c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM pairs)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 20
+"""
+
+
 # ------------------------------------------------------------------------------------------------ 9 quality
 @query
 def op9_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
