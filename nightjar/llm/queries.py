@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from nightjar.llm import chat_format, fertility, mixing, one_bit_search, piece_lattice, secret_ledger, sharding
+from nightjar.llm import chat_format, fertility, html_model, mixing, one_bit_search, piece_lattice, secret_ledger, sharding
 from nightjar.llm.common import shared_folder, table, word_count, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,6 +86,13 @@ def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(spans(base), 256).alias("base_sha256"), spans(F.col("findings")).alias("spans"))
 
 
+# ------------------------------------------------------------------------------------------------ 7 pages
+@query
+def op7_html_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_model.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 # ------------------------------------------------------------------------------------------------ 8 neighbours
 @query
 def op8_one_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
