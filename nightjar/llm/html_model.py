@@ -52,6 +52,8 @@ OTHER_WORDS = frozenset(
     "respond disqus share sharing social related recommended breadcrumb breadcrumbs pagination pager toolbar widget copyright legal skip".split())
 
 
+# Largest log-odds of a pair potential by kind of edge.
+COUPLING = {"root": 1.5, "inner": 9.0, "named": 0.5}
 # Weights of features that no labelled page shows.
 PLAIN = {"tag:p": 1.0, "tag:h1": 0.5, "tag:blockquote": 0.5, "links:0": 0.5, "links:3": -0.5, "links:4": -1.0, "size:7": 0.5, "size:8": 1.0, "size:9": 1.0, "size:10": 1.0}
 
@@ -176,11 +178,18 @@ def observe(page: str, labels: list[int] | None = None) -> Counter:
         seen["node", labels[i]] += 1
         for f in (*naming[i], *other[i]):
             seen[f, labels[i]] += 1
-        kind = "root" if tree.tag[tree.parent[i]] in ROOTS else "inner"
+        kind = edge_kind(tree, i, naming[i])
         seen[f"edge:{kind}:{labels[tree.parent[i]]}", labels[i]] += 1
     return seen
 
 
+def edge_kind(tree: Tree, node: int, naming: list[str]) -> str:
+    """Which pair potential couples a node to its parent: a named part stands for itself, the page holds all sorts."""
+    if any(f.removeprefix("name:") in OTHER_WORDS or f.removeprefix("name:") in CONTENT_WORDS for f in naming):
+        return "named"
+    return "root" if tree.parent[node] < 0 or tree.tag[tree.parent[node]] in ROOTS else "inner"
+
+
 def fit(counts: Counter) -> dict[str, float]:
     """Weights of features (log-likelihood ratios) and log-odds of the pair potentials."""
     total = [counts["node", 0] + 2.0, counts["node", 1] + 2.0]
@@ -194,7 +203,7 @@ def fit(counts: Counter) -> dict[str, float]:
         if word != f and (word in OTHER_WORDS or word in CONTENT_WORDS):
             got[word in CONTENT_WORDS] += PRIOR * (sum(total) / 100 + 1)
         ratio = math.log(got[1] / total[1]) - math.log(got[0] / total[0])
-        most = STRONG if word != f else WEAK
+        most = STRONG if word in OTHER_WORDS else STRONG / 2 if word != f else WEAK
         if word != f and word not in OTHER_WORDS and word not in CONTENT_WORDS:
             most = STRONG / 4  # a word that only the sample speaks for
         weights[f] = max(-most, min(most, ratio))
@@ -210,10 +219,10 @@ def marginals(tree: Tree, weights: dict[str, float]) -> list[float]:
     naming, other, kin = features(tree)
     n = len(tree.tag)
     pair = {}
-    for kind, same, rare in (("root", 0.0, 0.0), ("inner", 9.0, -9.0)):
-        for state, prior in ((0, rare), (1, same)):
-            odds = weights.get(f"edge:{kind}:{state}", prior)
-            odds = max(-9.0, min(9.0, odds)) if kind == "inner" else max(-1.5, min(1.5, odds))
+    for kind, most in COUPLING.items():
+        for state in (0, 1):
+            odds = weights.get(f"edge:{kind}:{state}", most if state else -most)
+            odds = max(-most, min(most, odds))
             low = log_add(0.0, odds)
             pair[kind, state] = (-low, odds - low)  # log P(child = 0 or 1 | parent = state)
     # equal siblings, and all below them, share one weak vote, so that a long list can't outvote what its parent is named
@@ -221,7 +230,7 @@ def marginals(tree: Tree, weights: dict[str, float]) -> list[float]:
     for i in range(1, n):
         vote[i] = vote[tree.parent[i]] / kin[i]
     unary = [sum(weights.get(f, 0.0) for f in naming[i]) + sum(weights.get(f, 0.0) for f in other[i]) * vote[i] for i in range(n)]
-    kinds = ["root" if tree.parent[i] < 0 or tree.tag[tree.parent[i]] in ROOTS else "inner" for i in range(n)]
+    kinds = [edge_kind(tree, i, naming[i]) for i in range(n)]
     below, message = unary[:], [0.0] * n
     for i in range(n - 1, 0, -1):
         no, yes = pair[kinds[i], 0], pair[kinds[i], 1]
