@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from nightjar.llm import chat_format, fertility, html_model, mixing, one_bit_search, piece_lattice, secret_ledger, sharding
+from nightjar.llm import chat_format, fertility, html_model, mixing, ngram_join, one_bit_search, piece_lattice, secret_ledger, sharding
 from nightjar.llm.common import shared_folder, table, word_count, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +61,31 @@ FROM sized GROUP BY conv_id
 """
 
 
+# ------------------------------------------------------------------------------------------------ 3 near duplicates
+@query
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document."""
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+CHECKS["op3_ngram_join"] = r"""
+WITH RECURSIVE texts AS MATERIALIZED (SELECT text, min(doc_id) AS text_id FROM documents WHERE text IS NOT NULL GROUP BY text),
+worded AS MATERIALIZED (SELECT text_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM texts),
+shingles AS MATERIALIZED (
+  SELECT DISTINCT text_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS s
+  FROM (SELECT text_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM worded WHERE len(w) > 0)
+),
+sizes AS MATERIALIZED (SELECT text_id, count(*) AS n FROM shingles GROUP BY text_id),
+common AS (SELECT a.text_id AS x, b.text_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.text_id <> b.text_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT x, y FROM common JOIN sizes p ON p.text_id = x JOIN sizes q ON q.text_id = y WHERE c >= 0.8 * (p.n + q.n - c)),
+reach AS (SELECT text_id AS x, text_id AS y FROM texts UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+classes AS (SELECT x, min(y) AS class_id FROM reach GROUP BY x),
+degrees AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT d.doc_id, coalesce(t.text_id, d.doc_id) AS text_id, coalesce(c.class_id, d.doc_id) AS class_id, coalesce(g.n, 0) AS n_links
+FROM documents d LEFT JOIN texts t ON d.text = t.text LEFT JOIN classes c ON c.x = t.text_id LEFT JOIN degrees g ON g.x = t.text_id
+"""
+
+
 # ------------------------------------------------------------------------------------------------ 4 shards
 @query
 def op4_shard_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
