@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from nightjar.llm import chat_format, fertility, html_model, mixing, ngram_join, one_bit_search, piece_lattice, secret_ledger, sharding
+from nightjar.llm import chat_format, fertility, fuzzy_lines, html_model, mixing, ngram_join, one_bit_search, piece_lattice, secret_ledger, sharding
 from nightjar.llm.common import shared_folder, table, word_count, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,6 +97,13 @@ def op4_shard_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+# ------------------------------------------------------------------------------------------------ 5 lines
+@query
+def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that repeat an earlier one."""
+    return fuzzy_lines.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 # ------------------------------------------------------------------------------------------------ 6 secrets
 @query
 def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
