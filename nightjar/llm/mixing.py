@@ -47,7 +47,7 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_room: i
     usable = [i for i in order if lengths[i] > 0 and left[i] > 0]
     if rest == 0 or not usable:
         return take
-    limit = rest + min(int(lengths[i]) for i in usable)
+    limit = rest + min(rest, max(int(lengths[i]) for i in usable))
     reached = np.zeros(limit + 1, dtype=bool)
     reached[0] = True
     by = np.full(limit + 1, -1, dtype=np.int32)
