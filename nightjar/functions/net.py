@@ -28,6 +28,19 @@ def ipv4_to_long(column: Column) -> Column:
     return F.when(is_ipv4(column), number)
 
 
+def ipv6_to_hex(column: Column) -> Column:
+    """The 32 hexadecimal digits of an IPv6 address in any notation without a dotted part; null when the text is none."""
+    text = F.lower(column)
+    halves = F.split(text, "::")
+    none = F.array().cast("array<string>")
+    groups = lambda half: F.when(F.coalesce(half, F.lit("")) == "", none).otherwise(F.split(half, ":"))
+    head, tail = groups(halves[0]), groups(F.try_element_at(halves, F.lit(2)))
+    gap = F.when(F.contains(text, F.lit("::")), F.greatest(F.lit(0), 8 - F.size(head) - F.size(tail))).otherwise(0)
+    full = F.concat(head, F.array_repeat(F.lit("0"), gap), tail)
+    valid = text.rlike(r"^[0-9a-f:]*:[0-9a-f:]*$") & (F.size(halves) <= 2) & (F.size(full) == 8) & F.forall(full, lambda g: F.length(g).between(1, 4))
+    return F.when(valid, F.array_join(F.transform(full, lambda g: F.lpad(g, 4, "0")), ""))
+
+
 def _public_v6(column: Column) -> Column:
     """Global unicast 2000::/3 minus the special-purpose blocks inside it."""
     text = F.lower(column)

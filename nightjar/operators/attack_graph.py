@@ -16,7 +16,6 @@ RELATION_PHASE = {
     "resolves_to": "command_and_control", "escalated_on": "privilege_escalation", "granted_privilege": "privilege_escalation",
     "created_account": "persistence", "installed": "persistence", "created": "persistence", "known_as": "command_and_control",
 }
-EVIDENCE_SHOWN = 50
 IOC_RISK = 90.0
 GRAPH = ["tenant_id", "incident_id"]
 # ------------------------------------------------------------------------------------------------
@@ -38,14 +37,14 @@ def evidence_edges(edges: DataFrame, incident_dets: DataFrame) -> DataFrame:
     return edges.select("tenant_id", "event_id", "timestamp", "seq", "src", "dst", "relation").join(per_event, ["tenant_id", "event_id"])
 
 
-def attack_graph_edges(evidence: DataFrame, ioc_edges: DataFrame | None = None) -> DataFrame:
+def attack_graph_edges(evidence: DataFrame, ioc_edges: DataFrame | None = None, shown_ids: int | None = None) -> DataFrame:
     """Parallel edges collapsed per (incident, source, target, relation)."""
     grouped = evidence.groupBy("tenant_id", "incident_id", "src", "dst", "relation").agg(
         F.min("timestamp").alias("first_time"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("det_techniques")))).alias("techniques"),
         F.min_by("det_phase", F.when(F.col("det_phase").isNotNull(), F.struct("timestamp", "seq"))).alias("det_phase"),
         F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("tenant_id", "incident_id", "src", "dst", "relation").orderBy("timestamp", "seq")
-    shown = evidence.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= EVIDENCE_SHOWN) \
+    shown = evidence.withColumn("nth", F.row_number().over(w)).where(F.lit(True) if shown_ids is None else F.col("nth") <= shown_ids) \
         .groupBy("tenant_id", "incident_id", "src", "dst", "relation").agg(F.array_sort(F.collect_list(F.struct("nth", "event_id"))).getField("event_id").alias("evidence_event_ids"))
     out = grouped.join(shown, ["tenant_id", "incident_id", "src", "dst", "relation"]).select(
         "tenant_id", "incident_id", "src", "dst", "relation", "first_time", F.coalesce(_lookup(RELATION_PHASE, F.col("relation")), "det_phase").alias("phase"), "techniques", "evidence_event_ids", "n")
@@ -59,7 +58,7 @@ def attack_graph_edges(evidence: DataFrame, ioc_edges: DataFrame | None = None)
         F.lit(RELATION_PHASE["known_as"]).alias("phase"), none.alias("techniques"), none.alias("evidence_event_ids"), F.lit(1).cast("long").alias("n")))
 
 
-def attack_graph_nodes(graph_edges: DataFrame, evidence: DataFrame) -> DataFrame:
+def attack_graph_nodes(graph_edges: DataFrame, evidence: DataFrame, shown_ids: int | None = None) -> DataFrame:
     """Nodes with layer, risk, evidence and first time; indicator nodes carry at least the listed risk."""
     def ends(df: DataFrame, *more: str) -> DataFrame:
         return df.select("tenant_id", "incident_id", *more, F.inline(F.array(
@@ -69,7 +68,7 @@ def attack_graph_nodes(graph_edges: DataFrame, evidence: DataFrame) -> DataFrame
     cited = ends(evidence, "event_id", "score").groupBy("tenant_id", "incident_id", "node").agg(F.max("score").alias("score"))
     ids = ends(evidence, "event_id").select("tenant_id", "incident_id", "node", "event_id").distinct()
     w = Window.partitionBy("tenant_id", "incident_id", "node").orderBy("event_id")
-    shown = ids.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= EVIDENCE_SHOWN).groupBy("tenant_id", "incident_id", "node").agg(F.array_sort(F.collect_list("event_id")).alias("evidence_event_ids"))
+    shown = ids.withColumn("nth", F.row_number().over(w)).where(F.lit(True) if shown_ids is None else F.col("nth") <= shown_ids).groupBy("tenant_id", "incident_id", "node").agg(F.array_sort(F.collect_list("event_id")).alias("evidence_event_ids"))
     kind = F.substring_index("node", ":", 1)
     layer = F.when((kind == "ip") & F.col("is_source"), 0).otherwise(F.coalesce(_lookup(LAYER, kind), F.lit(OTHER_LAYER)))
     risk = F.greatest(F.coalesce("score", F.lit(0.0)), F.when(kind == "ioc", IOC_RISK).otherwise(0.0))

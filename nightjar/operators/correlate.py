@@ -102,7 +102,7 @@ def cluster_detections(detections: DataFrame, window_seconds: float = WINDOW_SEC
     nodes = detections.select(F.concat(F.lit("d|"), F.col("detection_id")).alias("node"))
     found = connected_components(edges, nodes)
     return found.where(F.col("node").startswith("d|")).select(
-        F.substring("node", 3, 1_000).alias("detection_id"), F.substring("component", 3, 1_000).alias("cluster"))
+        F.substr("node", F.lit(3)).alias("detection_id"), F.substr("component", F.lit(3)).alias("cluster"))
 
 
 # ----------------------------------------------------------------------------------------- topology

@@ -10,7 +10,6 @@ from nightjar.operators.intel import match_observables
 from nightjar.schema import filled
 from nightjar.session import materialize
 
-EDGES_PER_PAIR = 50  # fixed value: edges kept per (source, target, relation)
 IOC_RISK = 90.0  # fixed value
 # File event -> relation.
 FILE_RELATION = {"file_create": "wrote", "file_modify": "modified", "file_delete": "deleted", "file_read": "read"}
@@ -80,8 +79,10 @@ def derive_edges(events: DataFrame) -> DataFrame:
     return events.select("tenant_id", "event_id", "timestamp", "seq", F.inline(edges))
 
 
-def cap_edges(edges: DataFrame, limit: int = EDGES_PER_PAIR) -> DataFrame:
-    """First ``limit`` edges per (source, target, relation); the rank limit runs before the shuffle."""
+def cap_edges(edges: DataFrame, limit: int | None = None) -> DataFrame:
+    """First ``limit`` edges per (source, target, relation), all without a limit; the rank limit runs before the shuffle."""
+    if limit is None:
+        return edges
     w = Window.partitionBy("tenant_id", "src", "dst", "relation").orderBy("timestamp", "seq")
     return edges.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= limit).drop("nth")
 

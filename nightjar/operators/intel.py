@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from nightjar.functions.net import ipv4_to_long, is_ipv4
+from nightjar.functions.net import ipv4_to_long, ipv6_to_hex, is_ipv4
 from nightjar.functions.text import url_host
 from nightjar.operators.ordered import cooldown, with_row_index
 from nightjar.schema import digest_id, filled, micros, seconds
@@ -18,7 +18,6 @@ TYPE_TECHNIQUES = {"ip": ["T1071.001"], "cidr": ["T1071.001"], "domain": ["T1071
                    "url": ["T1105", "T1566.002"], "hash": ["T1204.002"]}
 REPEAT_SECONDS = 900
 # ------------------------------------------------------------------------------------------------
-BROADCAST_ROWS = 500_000  # an index up to this many rows is shipped to every executor; larger ones are shuffled
 
 IOC_COLUMNS = ["value", "type", "threat", "source", "confidence", "severity", "first_seen", "tags", "reference", "country", "load_seq"]
 
@@ -45,37 +44,53 @@ def _mask(value: Column, length: Column) -> Column:
     return value - F.pmod(value, size)
 
 
+def _v6_key(digits: Column, length: Column) -> Column:
+    """The first ``length`` bits of 32 hexadecimal digits, as whole digits and the rest of one."""
+    whole = F.floor(length / 4).cast("int")
+    digit = F.conv(F.substr(F.concat(digits, F.lit("0")), whole + 1, F.lit(1)), 16, 10).cast("int")
+    rest = F.floor(digit / F.pow(F.lit(2.0), 4 - length % 4)).cast("string")
+    return F.concat(F.lit("v6:"), F.substr(digits, F.lit(1), whole), F.lit("+"), F.when(length % 4 == 0, "").otherwise(rest), F.lit("/"), length.cast("string"))
+
+
 def _netblocks(iocs: DataFrame) -> DataFrame:
+    """Netblocks of both address families; ``bits`` is 32 or 128. Entries that are no netblock are left out."""
     parts = F.split("ioc_key", "/")
-    address, length = parts[0], F.coalesce(F.try_element_at(parts, F.lit(2)).try_cast("int"), F.lit(32))
+    address, digits = parts[0], ipv6_to_hex(parts[0])
+    bits = F.when(is_ipv4(address), 32).when(digits.isNotNull(), 128)
+    length = F.coalesce(F.try_element_at(parts, F.lit(2)).try_cast("int"), bits)
+    v4 = F.concat_ws("/", _mask(ipv4_to_long(address), F.col("prefix")).cast("string"), F.col("prefix").cast("string"))
     return (
-        iocs.where((F.col("type") == "cidr") & is_ipv4(address)).withColumn("prefix", length)
-        .where(F.col("prefix").between(0, 32))
-        .withColumn("look_key", F.concat_ws("/", _mask(ipv4_to_long(address), F.col("prefix")).cast("string"), F.col("prefix").cast("string")))
+        iocs.where(F.col("type") == "cidr").withColumn("bits", bits).withColumn("prefix", length)
+        .where(F.col("bits").isNotNull() & F.col("prefix").between(0, F.col("bits")))
+        .withColumn("look_key", F.when(F.col("bits") == 32, v4).otherwise(_v6_key(digits, F.col("prefix"))))
     )
 
 
-def build_index(iocs: DataFrame) -> tuple[DataFrame, list[int]]:
-    """Look-up rows ``(look_kind, look_key) -> indicator`` and the prefix lengths in use (33 at most)."""
+def build_index(iocs: DataFrame) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """Look-up rows ``(look_kind, look_key) -> indicator`` and the (address bits, prefix length) in use (162 at most).
+
+    Whether the index is shipped to every executor is left to Spark, which knows its bytes after the checkpoint.
+    """
     current = materialize(current_iocs(iocs))
     blocks = _netblocks(current)
-    lengths = sorted(r["prefix"] for r in blocks.select("prefix").distinct().collect())
+    lengths = sorted((r["bits"], r["prefix"]) for r in blocks.select("bits", "prefix").distinct().collect())
     first_block = (
         blocks.groupBy("look_key").agg(F.min_by(F.struct(*IOC_COLUMNS), F.col("load_seq")).alias("ioc"))
         .select(F.lit("cidr").alias("look_kind"), "look_key", "ioc")
     )
     exact = current.where(F.col("type") != "cidr").select(F.col("type").alias("look_kind"), F.col("ioc_key").alias("look_key"), F.struct(*IOC_COLUMNS).alias("ioc"))
     index = exact.unionByName(first_block)
-    return (F.broadcast(index) if index.count() <= BROADCAST_ROWS else index), lengths
+    return index, lengths
 
 
-def look_keys(kind: Column, value: Column, lengths: list[int]) -> Column:
+def look_keys(kind: Column, value: Column, lengths: list[tuple[int, int]]) -> Column:
     """Candidate ``(look_kind, look_key, rank)`` of an observable, best rank first."""
     def entry(k: str, key: Column, rank: Column | int) -> Column:
         return F.struct(F.lit(k).alias("look_kind"), key.alias("look_key"), (F.lit(rank) if isinstance(rank, int) else rank).cast("int").alias("rank"))
 
-    number = ipv4_to_long(value)
-    ip = [entry("ip", value, 0)] + [entry("cidr", F.when(number.isNotNull(), F.concat(_mask(number, F.lit(n)).cast("string"), F.lit(f"/{n}"))), 1) for n in lengths]
+    number, digits = ipv4_to_long(value), ipv6_to_hex(value)
+    masked = lambda bits, n: F.when(number.isNotNull(), F.concat(_mask(number, F.lit(n)).cast("string"), F.lit(f"/{n}"))) if bits == 32 else _v6_key(digits, F.lit(n))
+    ip = [entry("ip", value, 0)] + [entry("cidr", masked(bits, n), 1) for bits, n in lengths]
     labels = F.split(F.rtrim(F.lower(value), F.lit(".")), r"\.")
     # a bare top-level name is never tried
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda i: entry("domain", F.array_join(F.slice(labels, i, F.size(labels)), "."), i))

@@ -12,7 +12,7 @@ from nightjar.schema import micros
 
 # --- fixed values -------------------------------------------------------------------------------
 KIND_WEIGHT = {"rule": 1.0, "threshold": 1.0, "sequence": 1.1, "threat_intel": 1.0, "anomaly": 0.6}
-HALF_LIFE_HOURS, THRESHOLD, LOOKBACK_DAYS, MIN_DEPOSITS, MIN_SPAN_SECONDS, MAX_DEPOSITS = 96.0, 80.0, 30.0, 2, 3600.0, 500
+HALF_LIFE_HOURS, THRESHOLD, LOOKBACK_DAYS, MIN_DEPOSITS, MIN_SPAN_SECONDS = 96.0, 80.0, 30.0, 2, 3600.0
 SNAPSHOT_FLOOR, SNAPSHOT_TOP = 0.5, 20
 # ------------------------------------------------------------------------------------------------
 
@@ -75,8 +75,10 @@ def hot_entities(deposits: DataFrame, now: datetime | int | None = None, thresho
     return ledger_balance(deposits, now, half_life_hours).where(F.col("balance") >= threshold).orderBy(F.desc("balance"), "entity")
 
 
-def contributing_deposits(deposits: DataFrame, now: int, lookback_days: float = LOOKBACK_DAYS, keep: int = MAX_DEPOSITS) -> DataFrame:
-    """The newest ``keep`` deposits per entity inside the look-back (a rank limit, applied before the shuffle)."""
+def contributing_deposits(deposits: DataFrame, now: int, lookback_days: float = LOOKBACK_DAYS, keep: int | None = None) -> DataFrame:
+    """Deposits inside the look-back; of each entity the newest ``keep``, if given (a rank limit, applied before the shuffle)."""
+    if keep is None:
+        return deposits.where(F.col("ts_us") >= now - int(lookback_days * 86_400_000_000))
     newest = Window.partitionBy("tenant_id", "entity").orderBy(F.desc("ts_us"), F.desc("detection_id"))
     return (
         deposits.where(F.col("ts_us") >= now - int(lookback_days * 86_400_000_000))

@@ -14,7 +14,6 @@ from nightjar.operators.ordered import Fold, fold_ordered
 from nightjar.schema import DEFAULT_SCORE, DETECTION_COLUMNS, S, digest_id, micros, seconds
 from nightjar.session import materialize
 
-MAX_PARTIALS = 64  # fixed value: open partial sequences kept per key, newest win
 WHERE, THEN = 1, 2
 
 
@@ -106,10 +105,16 @@ def _pick(rules: list[RuleSpec], value) -> Column:
     return out
 
 
+def _escaped(part: Column) -> Column:
+    """A part of a joined key, without the joint."""
+    return F.replace(F.replace(part, F.lit("%"), F.lit("%25")), F.lit("|"), F.lit("%7C"))
+
+
 def _value_of(spec: tuple) -> Column:
     kind, names = spec[0], spec[1:]
     if kind == "group":
-        return F.when(_all_present(names), F.concat_ws("|", *[F.lower(F.col(n).cast("string")) for n in names]))
+        values = [F.lower(F.col(n).cast("string")) for n in names]
+        return F.when(_all_present(names), values[0] if len(values) == 1 else F.concat_ws("|", *[_escaped(v) for v in values]))
     return F.col(names[0]).cast("string")
 
 
@@ -140,7 +145,7 @@ def keyed_hits(hits: DataFrame, rules: list[RuleSpec]) -> DataFrame:
         hits.withColumn("group_key", key)
         .where(F.col("group_key").isNotNull())
         .select(
-            F.concat_ws("|", F.lpad(F.col("rule_idx").cast("string"), 4, "0"), F.col("tenant_id"), F.col("group_key")).alias("fold_key"),
+            F.concat_ws("|", F.lpad(F.col("rule_idx").cast("string"), 4, "0"), _escaped(F.col("tenant_id")), F.col("group_key")).alias("fold_key"),
             micros(F.col("timestamp")).alias("ts_us"), "seq", "rule_idx", "mask", counted.alias("counted"), payload.alias("payload"),
         )
     )
@@ -178,16 +183,14 @@ class RuleFold(Fold):
     def step(self, key: str, state: dict, row: tuple) -> Iterable[dict]:
         rule = self.rules[row[2]]
         if rule["kind"] == "match":
-            found = None if _cooled(state, row[0], rule["gap"]) else ([row[4:]], None, None)
+            fired = [] if _cooled(state, row[0], rule["gap"]) else [([row[4:]], None, None)]
         elif rule["kind"] == "threshold":
             found = self._threshold(rule, state, row)
+            fired = [] if found is None else [found]
         else:
-            found = self._sequence(rule, state, row)
-        if found is None:
-            return ()
-        items, n, followed_by = found
-        return ({"rule_idx": row[2], "group_key": key.split("|", 2)[2], "ts_us": row[0], "seq": row[1], "n": n,
-                 "followed_by": followed_by, "evidence": [i[-1] for i in items]},)
+            fired = self._sequence(rule, state, row)
+        return [{"rule_idx": row[2], "group_key": key.split("|", 2)[2], "ts_us": row[0], "seq": row[1], "n": n,
+                 "followed_by": followed_by, "evidence": [i[-1] for i in items]} for items, n, followed_by in fired]
 
     @staticmethod
     def _threshold(rule: dict, state: dict, row: tuple):
@@ -222,9 +225,10 @@ class RuleFold(Fold):
         return None if _cooled(state, ts, rule["gap"]) else (items, len(items), None)
 
     @staticmethod
-    def _sequence(rule: dict, state: dict, row: tuple):
+    def _sequence(rule: dict, state: dict, row: tuple) -> list:
+        """Every sequence that this event completes fires, unless the cooldown hides it; open ones live as long as the window."""
         ts, _, _, mask, _, payload = row
-        item, advanced, found, completed = (ts, payload), [], None, False
+        item, advanced, fired, completed = (ts, payload), [], [], False
         for partial in state["partials"]:
             if ts - partial[0][0] > rule["window"]:
                 continue
@@ -235,13 +239,13 @@ class RuleFold(Fold):
             else:
                 completed = True
                 if not _cooled(state, ts, rule["gap"]):
-                    found = (partial + [item], rule["steps"], None)
+                    fired.append((partial + [item], rule["steps"], None))
         if completed:
             advanced = []
         elif mask & 1:
             advanced.append([item])
-        state["partials"] = advanced[-MAX_PARTIALS:]
-        return found
+        state["partials"] = advanced
+        return fired
 
 
 def _first_filled(evidence: Column, name: str) -> Column:

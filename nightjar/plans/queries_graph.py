@@ -49,7 +49,7 @@ _NAMES = {
 part("edges", "\nUNION ALL ".join(
     f"SELECT tenant_id, event_id, ts_us, seq, k, {src} AS src, {dst} AS dst, {rel} AS relation FROM ev WHERE {cond}"
     for cond, src, dst, rel in [tuple(x.format(**_NAMES) for x in b) for b in _EDGE_BRANCHES]), "ev", "ips")
-part("kept_edges", "SELECT * FROM edges QUALIFY row_number() OVER (PARTITION BY tenant_id, src, dst, relation ORDER BY ts_us, seq) <= 50", "edges")
+part("kept_edges", "SELECT * FROM edges", "edges")
 
 
 def sample_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,13 +111,13 @@ _CONN, _DNS = "event_type = 'network_connection'", "event_type = 'dns_query'"
 _EXT = f"({_CONN} AND dst_ip IN (SELECT ip FROM ips WHERE NOT is_private))"
 _ODD = f"({_DNS} AND domain <> '' AND (coalesce(protocol, '') = 'TXT' OR length(split_part(domain, '.', 1)) > 30))"
 register("network_finding", lambda s, d: _finding_rows(V.network_finding(_tagged(s, d), case_detections(s, d))), f"""
-WITH ti AS (SELECT incident_id, count(*) AS n, list(event_id ORDER BY ts_us, detection_id)[1:20] AS ids FROM inc_det WHERE kind = 'threat_intel' GROUP BY incident_id),
+WITH ti AS (SELECT incident_id, count(*) AS n, list(event_id ORDER BY ts_us, detection_id) AS ids FROM inc_det WHERE kind = 'threat_intel' GROUP BY incident_id),
 m AS (SELECT *, dst_ip IN (SELECT ip FROM ips WHERE NOT is_private) AS pub FROM inc_ev),
 g AS (SELECT incident_id, count(*) FILTER ({_CONN} OR {_DNS}) AS net, count(*) FILTER ({_CONN} AND pub) AS ext, count(*) FILTER ({_ODD}) AS odd, coalesce(max(bytes_out) FILTER ({_CONN}), 0) AS big,
   {_ids(_CONN + " AND pub", 4)} AS x_ids, {_ids(_ODD, 3)} AS o_ids FROM m GROUP BY incident_id)
 SELECT incident_id, CASE WHEN coalesce(n, 0) > 0 OR big >= 10000000 THEN 'Remote control or data theft' ELSE 'Network activity worth a look' END AS headline,
   round(least(0.96, 0.6 + CASE WHEN coalesce(n, 0) > 0 THEN 0.25 ELSE 0 END + CASE WHEN big >= 10000000 THEN 0.1 ELSE 0 END + CASE WHEN odd > 0 THEN 0.1 ELSE 0 END), 2) AS confidence,
-  array_to_string(list_concat(x_ids, coalesce(ids, []), o_ids)[1:20], ',') AS evidence FROM g LEFT JOIN ti USING (incident_id) WHERE net > 0 AND (ext > 0 OR coalesce(n, 0) > 0 OR big >= 10000000 OR odd > 0)""", "inc_ev", "ips")
+  array_to_string(list_concat(x_ids, coalesce(ids, []), o_ids), ',') AS evidence FROM g LEFT JOIN ti USING (incident_id) WHERE net > 0 AND (ext > 0 OR coalesce(n, 0) > 0 OR big >= 10000000 OR odd > 0)""", "inc_ev", "ips")
 _PATH = "event_type LIKE 'file_%' AND file_path <> ''"
 
 
@@ -135,12 +135,12 @@ FROM (SELECT incident_id, count(*) FILTER ({_LOCK}) AS l, count(*) FILTER ({_NOT
 register("all_findings", lambda s, d: V.all_findings(case_incidents(s, d), case_events(s, d), case_detections(s, d)).select("incident_id", "agent", "headline", "detail", "confidence"))
 register("incident_timeline", lambda s, d: V.incident_timeline(case_events(s, d), case_detections(s, d)).select("incident_id", "position", "event_id", "time", "summary", "phase", F.array_join("techniques", ",").alias("techniques")), f"""
 SELECT e.incident_id, CAST(row_number() OVER (PARTITION BY e.incident_id ORDER BY e.ts_us, e.seq) AS INTEGER) AS position, e.event_id, strftime(e."timestamp", '%Y-%m-%d %H:%M:%S') AS time, e.summary, d.phase,
-  array_to_string(list_sort(list_distinct([x for x in [d.technique_1, d.technique_2] if x IS NOT NULL])), ',') AS techniques FROM (SELECT *, {SUMMARY_SQL} AS summary FROM inc_ev) e JOIN inc_det d USING (incident_id, event_id) QUALIFY position <= 200""", "inc_ev")
+  array_to_string(list_sort(list_distinct([x for x in [d.technique_1, d.technique_2] if x IS NOT NULL])), ',') AS techniques FROM (SELECT *, {SUMMARY_SQL} AS summary FROM inc_ev) e JOIN inc_det d USING (incident_id, event_id)""", "inc_ev")
 _ACTION_ROWS = "(VALUES " + ", ".join(f"('{p}', {PHASES.index(p)}, {i}, '{a.replace(chr(39), chr(39) * 2)}')" for p, acts in V.ACTIONS.items() for i, a in enumerate(acts)) + ") lib(phase, phase_rank, pos, action)"
 _CLOSING_ROWS = " ".join(f"UNION ALL SELECT incident_id, {len(PHASES)}, {i}, '{a}' FROM inc" for i, a in enumerate(V.CLOSING_ACTIONS))
 register("recommendations", lambda s, d: V.recommendations(case_incidents(s, d)), f"""
 SELECT incident_id, CAST(row_number() OVER (PARTITION BY incident_id ORDER BY phase_rank, pos) AS INTEGER) AS position, action FROM (
-  SELECT i.incident_id, lib.phase_rank, lib.pos, lib.action FROM (SELECT incident_id, unnest(phases) AS phase FROM inc) i JOIN {_ACTION_ROWS} USING (phase) {_CLOSING_ROWS}) QUALIFY position <= 8""", "inc")
+  SELECT i.incident_id, lib.phase_rank, lib.pos, lib.action FROM (SELECT incident_id, unnest(phases) AS phase FROM inc) i JOIN {_ACTION_ROWS} USING (phase) {_CLOSING_ROWS})""", "inc")
 register("fact_summary", lambda s, d: V.fact_summary(case_incidents(s, d)), """
 SELECT incident_id, 'Incident ' || incident_id || ' (' || upper(severity) || ', risk ' || CAST(CAST(floor(risk + 0.5) AS BIGINT) AS VARCHAR) || '/100, confidence ' || CAST(CAST(floor(conf * 100 + 0.5) AS BIGINT) AS VARCHAR) || '%) concerns ' || CASE WHEN len(users) > 0 THEN array_to_string(users, ', ') ELSE 'an unknown account' END
   || ' on ' || array_to_string(hosts, ', ') || '. Phases: ' || CASE WHEN len(phases) > 0 THEN replace(array_to_string(phases, ' > '), '_', ' ') ELSE 'single stage' END || '.' || chr(10) || chr(10) || ' ' || n || ' detections by ' || len(kinds) || ' method(s).' AS text FROM inc""", "inc")
@@ -156,13 +156,13 @@ def _injected_sql(column: str) -> str:
 
 
 register("scan_injection_events", lambda s, d: T.scan_injection(telemetry(s, d), ["event_id"]), "\nUNION ALL ".join(
-    f"SELECT event_id, '{f}' AS field, substr({f}, 1, 200) AS value FROM ev WHERE {f} <> '' AND {_injected_sql(f)}" for f in T.SCANNED_FIELDS), "ev")
+    f"SELECT event_id, '{f}' AS field, {f} AS value FROM ev WHERE {f} <> '' AND {_injected_sql(f)}" for f in T.SCANNED_FIELDS), "ev")
 register("scan_injection_texts", lambda s, d: T.scan_injection(s.read.parquet(f"{d}/documents.parquet"), ["doc_id"], ["text"]).select("doc_id").withColumn("origin", F.lit("documents")).unionByName(
     T.scan_injection(s.read.parquet(f"{d}/conversations.parquet").withColumn("doc_id", F.col("conv_id") * 1000 + F.col("turn")), ["doc_id"], ["text"]).select("doc_id").withColumn("origin", F.lit("conversations"))),
     f"SELECT doc_id, 'documents' AS origin FROM documents WHERE {_injected_sql('text')} UNION ALL SELECT conv_id * 1000 + turn, 'conversations' FROM conversations WHERE {_injected_sql('text')}")
 
 
-def _sanitize_sql(column: str, limit: int) -> str:
+def _sanitize_sql(column: str) -> str:
     out = f"coalesce({column}, '')"
     for p in T.INJECTION_PATTERNS:
         out = f"regexp_replace({out}, {_sql_regex(p)}, '{T.REDACTED}', 'g')"
@@ -171,7 +171,7 @@ def _sanitize_sql(column: str, limit: int) -> str:
 
 
 register("sanitize_text", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", T.sanitize_text(F.col("text")).alias("clean")),
-         f"SELECT doc_id, CASE WHEN length(c) > 512 THEN substr(c, 1, 512) || '{T.TRUNCATED}' ELSE c END AS clean FROM (SELECT doc_id, {_sanitize_sql('text', 512)} AS c FROM documents)")
+         f"SELECT doc_id, {_sanitize_sql('text')} AS clean FROM documents")
 
 
 def narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
