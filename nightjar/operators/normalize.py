@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from nightjar.functions.text import base_name
-from nightjar.schema import EVENT_FIELDS, EVENT_TYPES, MAX_STRING, MAX_TAGS, SEVERITIES, SOURCES, STRING_FIELDS, digest_id
+from nightjar.schema import EVENT_FIELDS, EVENT_TYPES, MAX_STRING, SEVERITIES, SOURCES, STRING_FIELDS, digest_id
 
 # --- fixed values -------------------------------------------------------------------------------
 # Windows and Sysmon event ids -> (event type, action).
@@ -267,7 +267,7 @@ def with_violations(events: DataFrame) -> DataFrame:
 
 
 def validate(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted, quarantine). Tags are cut to the allowed number."""
+    """(accepted, quarantine)."""
     checked = with_violations(events)
-    good = checked.where(F.size("violations") == 0).drop("violations").withColumn("tags", F.slice("tags", 1, MAX_TAGS))
+    good = checked.where(F.size("violations") == 0).drop("violations")
     return good, checked.where(F.size("violations") > 0)

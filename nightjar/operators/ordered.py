@@ -100,6 +100,10 @@ class Fold:
     def step(self, key: str, state: Any, row: tuple) -> Iterable[dict]:
         raise NotImplementedError
 
+    def horizon(self, key: str, state: Any) -> int | None:
+        """Last time (microseconds) at which a row could still see this state; None if it always can."""
+        return None
+
 
 def _rows(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple]:
     for batch in batches:

@@ -192,6 +192,13 @@ class RuleFold(Fold):
         return [{"rule_idx": row[2], "group_key": key.split("|", 2)[2], "ts_us": row[0], "seq": row[1], "n": n,
                  "followed_by": followed_by, "evidence": [i[-1] for i in items]} for items, n, followed_by in fired]
 
+    def horizon(self, key: str, state: dict) -> int:
+        rule = self.rules[int(key.split("|", 1)[0])]
+        ends = [0] if state["last"] is None else [state["last"] + rule["gap"]]
+        ends += [state["window"][-1][0] + rule["window"]] if state["window"] else []
+        ends += [state["armed"][0][0] + rule["window"]] if state["armed"] else []
+        return max(ends + [p[0][0] + rule["window"] for p in state["partials"]])
+
     @staticmethod
     def _threshold(rule: dict, state: dict, row: tuple):
         ts, _, _, mask, counted, payload = row

@@ -24,7 +24,6 @@ OPEN_STATUSES = ["open", "investigating"]
 IOC_TYPES = ["ip", "domain", "url", "hash", "cidr"]
 DEFAULT_SCORE = {"info": 5.0, "low": 15.0, "medium": 30.0, "high": 50.0, "critical": 75.0}
 MAX_STRING = 8192
-MAX_TAGS = 32
 # ------------------------------------------------------------------------------------------------
 
 S, L, I, D = T.StringType(), T.LongType(), T.IntegerType(), T.DoubleType()

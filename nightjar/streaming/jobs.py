@@ -5,7 +5,8 @@ from __future__ import annotations
 import pickle
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from nightjar.operators import correlate as C
@@ -15,7 +16,7 @@ from nightjar.operators.events import with_fingerprint
 from nightjar.operators.normalize import normalize, with_violations
 from nightjar.operators.ordered import Fold
 from nightjar.operators.rules import RuleFold, RuleSpec, detections_from_fires, enabled_rules, keyed_hits, scan_conditions
-from nightjar.schema import MAX_TAGS
+from nightjar.schema import S, seconds
 from nightjar.session import materialize
 
 TOPOLOGY_DAYS = 14
@@ -46,7 +47,7 @@ def split_records(records: DataFrame, collector: str | None = None, tenant: str
     """(canonical events, quarantine) of a batch of parsed lines."""
     good_json = F.col("raw").isNotNull() & F.ltrim("raw_json").startswith("{")
     checked = materialize(with_violations(normalize(records.where(good_json), collector, tenant)))
-    events = checked.where(F.size("violations") == 0).drop("violations").withColumn("tags", F.slice("tags", 1, MAX_TAGS))
+    events = checked.where(F.size("violations") == 0).drop("violations")
     broken = records.where(~good_json).select("raw_json", F.array(F.lit("not a JSON object")).alias("violations"))
     rejected = checked.where(F.size("violations") > 0).select(F.to_json("raw").alias("raw_json"), "violations")
     return events, broken.unionByName(rejected)
@@ -107,7 +108,13 @@ class OrderedFoldProcessor(StatefulProcessor):
             self.waiting.clear()
         state = pickle.loads(bytes(self.state.get()[0])) if self.state.exists() else self.fold.start(key[0])
         out = [e for row in ready for e in self.fold.step(key[0], state, row)]
-        self.state.update((pickle.dumps(state),))
+        end = self.fold.horizon(key[0], state)
+        if end is not None and end // 1000 < mark and not late:
+            self.state.clear()  # nothing in it can matter to a later row
+        else:
+            self.state.update((pickle.dumps(state),))
+            if end is not None and not late:
+                self.handle.registerTimer(max(end // 1000, mark) + 1)
         return iter([Row(**{f.name: self._plain(e[f.name]) for f in self.fold.schema.fields}) for e in out])
 
     @staticmethod
@@ -142,35 +149,131 @@ def append_to(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def log_of(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame:
+    """All batches of an append-only table (those before a batch, when repeated), empty if there is none yet."""
+    full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    try:
+        rows = spark.read.schema(full).option("basePath", path).parquet(path)
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return spark.createDataFrame([], full)
+    return rows if before is None else rows.where(F.col("batch") < before)
+
+
+def _latest(log: DataFrame, *keys: str) -> DataFrame:
+    """The row of the newest batch per key."""
+    rest = [c for c in log.columns if c not in keys]
+    return log.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("row")).select(*keys, "row.*")
+
+
+def current_incidents(spark: SparkSession, incidents: str, schema: T.StructType | None = None, before: int | None = None) -> DataFrame:
+    """The incidents that stand: the newest row of each cluster, unless a later batch merged it away."""
+    log = spark.read.parquet(incidents) if schema is None else log_of(spark, incidents, schema, before)
+    return _latest(log, "tenant_id", "cluster").where(~F.col("retired")).drop("retired", "batch")
+
+
+CLUSTER_LOG = T.StructType([T.StructField("tenant_id", S), T.StructField("detection_id", S), T.StructField("cluster", S)])
+
+
+def _touched(fresh: DataFrame, earlier: DataFrame, host_ips: DataFrame | None, window_seconds: float) -> DataFrame:
+    """Earlier detections that new ones may link to: by an entity in time, or by hosts that share an address."""
+    keys = lambda df: C.strong_keys(df).select("detection_id", "tenant_id", "entity", F.unix_micros("timestamp").alias("ts"))
+    new, old = keys(fresh).drop("detection_id").distinct().alias("n"), keys(earlier).alias("o")
+    near = F.abs(F.col("n.ts") - F.col("o.ts")) <= seconds(window_seconds)
+    found = old.join(new, (F.col("n.tenant_id") == F.col("o.tenant_id")) & (F.col("n.entity") == F.col("o.entity")) & near, "left_semi").select("tenant_id", "detection_id")
+    if host_ips is None:
+        return found.distinct()
+    at_host = lambda df: df.select("detection_id", "tenant_id", F.upper(F.col("entities")["host"]).alias("host"), F.unix_micros("timestamp").alias("ts"))
+    reached = host_ips.select("tenant_id", "host", "ip").distinct()
+    ends = at_host(fresh).groupBy("tenant_id", "host").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    around = ends.join(reached, ["tenant_id", "host"]).groupBy("tenant_id", "ip").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    beside = reached.join(around, ["tenant_id", "ip"]).groupBy("tenant_id", "host").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).alias("b")
+    span, own = seconds(TOPOLOGY_DAYS * 86_400), at_host(earlier).alias("a")
+    same = (F.col("a.tenant_id") == F.col("b.tenant_id")) & (F.col("a.host") == F.col("b.host")) & F.col("a.ts").between(F.col("b.lo") - span, F.col("b.hi") + span)
+    return found.unionByName(own.join(beside, same, "left_semi").select("tenant_id", "detection_id")).distinct()
+
+
+def correlate_batch(fresh: DataFrame, batch_id: int, table: str, incidents: str, window_seconds: float = C.WINDOW_SECONDS, host_ips: DataFrame | None = None) -> None:
+    """Fold one batch of detections into the incidents.
+
+    Only clusters that the new detections touch are built again, from all their members, however old. Incident ids come
+    from the tenant and the earliest detection, so they don't change between batches; ids, status and summary of an incident
+    carry over to its successor. Clusters and incidents are append-only tables with a folder per batch, so a repeated
+    batch replaces itself.
+    """
+    spark = fresh.sparkSession
+    detection_schema = T.StructType(fresh.schema.fields)
+    earlier = log_of(spark, table, detection_schema, batch_id).drop("batch")
+    known = _latest(log_of(spark, f"{table}-clusters", CLUSTER_LOG, batch_id), "tenant_id", "detection_id").drop("batch")
+    touched = known.join(_touched(fresh, earlier, host_ips, window_seconds), ["tenant_id", "detection_id"], "left_semi").select("tenant_id", "cluster").distinct()
+    members = materialize(known.join(touched, ["tenant_id", "cluster"], "left_semi"))
+    group = fresh.unionByName(earlier.join(members, ["tenant_id", "detection_id"], "left_semi")).dropDuplicates(["tenant_id", "detection_id"])
+    result = materialize(C.correlate(group, host_ips, window_seconds))
+    built = I.build_incidents(result, None)
+    stable = F.concat(F.lit("SEC-"), F.upper(F.substring(F.sha2(F.concat_ws("|", "tenant_id", "first_key.detection_id"), 256), 1, 12)))
+    built = materialize(built.withColumn("incident_id", stable))
+    schema = T.StructType([*built.schema.fields, T.StructField("retired", T.BooleanType())])
+    old = materialize(current_incidents(spark, incidents, schema, batch_id).join(members.select("tenant_id", "cluster").distinct(), ["tenant_id", "cluster"], "left_semi"))
+    if old.limit(1).count():
+        old_members = members.join(old.select("tenant_id", "cluster", "incident_id"), ["tenant_id", "cluster"])
+        built = I.carry_over_status(built, I.incident_detections(built, result), old, old_members).select(built.columns)
+    gone = old.join(built.select("tenant_id", "cluster"), ["tenant_id", "cluster"], "left_anti").withColumn("retired", F.lit(True))
+    append_to(incidents)(built.withColumn("retired", F.lit(False)).unionByName(gone.select(*built.columns, "retired")), batch_id)
+    append_to(f"{table}-clusters")(result.select("tenant_id", "detection_id", "cluster"), batch_id)
+
+
 def stream_correlate(detections: DataFrame, table: str, incidents: str, checkpoint: str, seconds: int = 5, window_seconds: float = C.WINDOW_SECONDS,
-                     once: bool = False) -> StreamingQuery:
-    """Append detections to a table and correlate again when new ones came, for the tenants they touch.
+                     once: bool = False, host_ips: DataFrame | None = None) -> StreamingQuery:
+    """Append detections to a table and fold each batch into the incidents; :func:`current_incidents` reads what stands.
 
-    Each batch reads the last fourteen days of those tenants (the longest span a merge may bridge). Partitions by
-    tenant are replaced, other tenants keep theirs.
+    ``host_ips`` (tenant, host, address) adds the links along shared addresses.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         append_to(table)(batch, batch_id)
-        fresh = spark.read.parquet(f"{table}/batch={batch_id}")
-        if fresh.limit(1).count() == 0:
-            return
-        newest = fresh.groupBy("tenant_id").agg(F.max("timestamp").alias("newest"))
-        recent = spark.read.parquet(table).drop("batch").join(newest, "tenant_id").where(F.col("timestamp") >= F.col("newest") - F.expr(f"INTERVAL {TOPOLOGY_DAYS} DAYS")).drop("newest")
-        result = I.build_incidents(C.correlate(recent, None, window_seconds), None)
-        result.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant_id").parquet(incidents)
+        fresh = batch.sparkSession.read.schema(batch.schema).parquet(f"{table}/batch={batch_id}")
+        if fresh.limit(1).count():
+            correlate_batch(fresh, batch_id, table, incidents, window_seconds, host_ips)
 
     writer = detections.writeStream.option("checkpointLocation", checkpoint).foreachBatch(handle)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds} seconds")).start()
 
 
+BALANCE_LOG = T.StructType([
+    T.StructField("tenant_id", S), T.StructField("entity", S), T.StructField("balance", T.DoubleType()), T.StructField("deposits", T.LongType()),
+    T.StructField("updated", T.TimestampType()), T.StructField("at_us", T.LongType())])
+
+
+def current_balances(spark: SparkSession, balances: str, before: int | None = None) -> DataFrame:
+    """The newest balance of each entity, decayed to the newest deposit of all."""
+    rows = _latest(log_of(spark, balances, BALANCE_LOG, before), "tenant_id", "entity").drop("batch")
+    now = rows.agg(F.max("at_us")).first()[0] or 0
+    return rows.withColumn("balance", F.col("balance") * L.decay(F.lit(now) - F.col("at_us"), L.HALF_LIFE_HOURS)).withColumn("at_us", F.lit(now))
+
+
+def ledger_batch(deposits: DataFrame, batch_id: int, deposits_table: str, balances: str) -> None:
+    """Add one batch of deposits to the balances of the entities it touches; a detection counts once, whichever batch it came in."""
+    spark = deposits.sparkSession
+    seen = log_of(spark, deposits_table, T.StructType(deposits.schema.fields), batch_id).select("tenant_id", "entity", "detection_id").distinct()
+    fresh = materialize(deposits.dropDuplicates(["tenant_id", "entity", "detection_id"]).join(seen, ["tenant_id", "entity", "detection_id"], "left_anti"))
+    before = _latest(log_of(spark, balances, BALANCE_LOG, batch_id), "tenant_id", "entity").drop("batch")
+    touched = fresh.groupBy("tenant_id", "entity").agg(F.max("ts_us").alias("newest"))
+    at = touched.join(before.select("tenant_id", "entity", "at_us"), ["tenant_id", "entity"], "left").select(
+        "tenant_id", "entity", F.greatest("newest", F.coalesce("at_us", F.lit(0))).alias("now"))
+    parts = fresh.join(at, ["tenant_id", "entity"]).select(
+        "tenant_id", "entity", "now", (F.col("amount") * L.decay(F.col("now") - F.col("ts_us"), L.HALF_LIFE_HOURS)).alias("balance"), F.lit(1).cast("long").alias("deposits"), F.col("timestamp").alias("updated"))
+    held = before.join(at, ["tenant_id", "entity"]).select(
+        "tenant_id", "entity", "now", (F.col("balance") * L.decay(F.col("now") - F.col("at_us"), L.HALF_LIFE_HOURS)).alias("balance"), "deposits", "updated")
+    total = parts.unionByName(held).groupBy("tenant_id", "entity").agg(
+        F.sum("balance").alias("balance"), F.sum("deposits").alias("deposits"), F.max("updated").alias("updated"), F.max("now").alias("at_us"))
+    append_to(balances)(total, batch_id)
+    append_to(deposits_table)(fresh, batch_id)
+
+
 def stream_ledger(detections: DataFrame, deposits_table: str, balances: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Append deposits as detections arrive and refresh the balances from the deposit table."""
+    """Append deposits as detections arrive and add them to the balances; :func:`current_balances` reads what stands."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        append_to(deposits_table)(L.ledger_deposits(batch), batch_id)
-        every = spark.read.parquet(deposits_table).drop("batch").dropDuplicates(["entity", "tenant_id", "detection_id"])
-        L.ledger_balance(every).write.mode("overwrite").parquet(balances)
+        ledger_batch(L.ledger_deposits(batch), batch_id, deposits_table, balances)
 
     writer = detections.writeStream.option("checkpointLocation", checkpoint).foreachBatch(handle)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="5 seconds")).start()

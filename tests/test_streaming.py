@@ -61,3 +61,67 @@ def test_correlation_and_ledger_follow_detections(spark, tmp_path):
     assert [(r["detections"], r["affected_users"]) for r in inc] == [(4, ["bob"])]
     J.stream_ledger(stream, str(tmp_path / "dep"), str(tmp_path / "bal"), str(tmp_path / "cp4"), once=True).awaitTermination(60)
     assert {r["entity"] for r in spark.read.parquet(str(tmp_path / "bal")).collect()} == {"host:A", "user:bob"}
+
+
+def _detections(spark, rows):
+    """Detections of (id, tenant, day, host, user), scored so that single ones are admitted."""
+    from datetime import timedelta
+
+    from helpers import START
+
+    schema = "detection_id string, tenant_id string, kind string, rule_id string, title string, description string, severity string, score double, confidence double, techniques array<string>, phase string, timestamp timestamp, entities map<string,string>, evidence_event_ids array<string>, details map<string,string>"
+    return spark.createDataFrame([
+        (i, tenant, "rule", "R", "t", "d", "high", 60.0, 0.9, ["T1078"], "execution", START + timedelta(days=day), {"host": host, "user": user}, [f"evt_{i}"], {}) for i, tenant, day, host, user in rows], schema)
+
+
+def test_batches_over_forty_days_and_two_tenants(spark, tmp_path):
+    """Old incidents stay, new detections join them or merge them, ids and statuses last, tenants keep apart."""
+    table, incidents = str(tmp_path / "dets"), str(tmp_path / "inc")
+    batches = [
+        [("a1", "t", 0.0, "A", "ann"), ("b1", "t", 0.0, "B", "bob"), ("x1", "u", 0.0, "A", "ann")],
+        [("c1", "t", 40.0, "C", "cid"), ("x2", "u", 40.0, "X", "xen")],
+        [("m1", "t", 0.01, "A", "bob"), ("c2", "t", 40.01, "C", "cid")],
+    ]
+    seen = []
+    for n, rows in enumerate(batches):
+        fresh = _detections(spark, rows)
+        J.append_to(table)(fresh, n)
+        J.correlate_batch(fresh, n, table, incidents)
+        seen.append({(r["tenant_id"], r["incident_id"]): r for r in J.current_incidents(spark, incidents).collect()})
+    assert [len(x) for x in seen] == [3, 5, 4]
+    assert len({i for _, i in seen[1]}) == 5 and set(seen[0]) < set(seen[1])
+    assert sorted((t, r["detections"]) for (t, _), r in seen[2].items()) == [("t", 2), ("t", 3), ("u", 1), ("u", 1)]
+    assert set(seen[2]) < set(seen[1])  # merged and grown incidents keep an id they had
+    J.correlate_batch(_detections(spark, batches[2]), 2, table, incidents)  # a repeated batch changes nothing
+    assert {(r["tenant_id"], r["incident_id"]) for r in J.current_incidents(spark, incidents).collect()} == set(seen[2])
+
+
+def test_ledger_batches_equal_one_ledger(spark, tmp_path):
+    from nightjar.operators import ledger as L
+
+    rows = [(f"d{i}", "t", i * 3.7 % 20, "AB"[i % 2], "ann") for i in range(12)]
+    for n in range(3):
+        J.ledger_batch(L.ledger_deposits(_detections(spark, rows[n * 4:n * 4 + 5])), n, str(tmp_path / "dep"), str(tmp_path / "bal"))
+    want = {r["entity"]: r for r in L.ledger_balance(L.ledger_deposits(_detections(spark, rows))).collect()}
+    got = {r["entity"]: r for r in J.current_balances(spark, str(tmp_path / "bal")).collect()}
+    assert set(got) == set(want) == {"host:A", "host:B", "user:ann"}
+    for k, r in want.items():
+        assert got[k]["deposits"] == r["deposits"] and got[k]["updated"] == r["updated"] and abs(got[k]["balance"] - r["balance"]) < 1e-9
+
+
+def test_rule_state_ends(spark):
+    from nightjar.operators.rules import RuleFold
+
+    fold = RuleFold(RULES)
+    state = fold.start("0002|t|a")
+    fold.step("0002|t|a", state, (1_000_000, 1, 2, 1, None, {"action": "x"}))
+    assert fold.horizon("0002|t|a", state) == 61_000_000
+    state = fold.start("0000|t|a")
+    fold.step("0000|t|a", state, (5_000_000, 1, 0, 1, None, {"action": "x"}))
+    assert fold.horizon("0000|t|a", state) == 35_000_000
+
+
+def test_every_completed_sequence_fires_without_a_cooldown(spark):
+    rows = [event(0, 0, host="a"), event(1, 5, host="a"), event(2, 10, host="a", action="login_success")]
+    found = run_rules(frame(spark, rows), [RuleSpec(id="S", title="", kind="sequence", group_by=["host"], window_seconds=60, cooldown_seconds=0, steps=[FAILED, PASSED])]).collect()
+    assert {tuple(r["evidence_event_ids"]) for r in found} == {("evt_000000", "evt_000002"), ("evt_000001", "evt_000002")}
