@@ -170,6 +170,16 @@ def local_classes(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         label = new
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """Fewer edges that connect the same nodes: each node to its smallest hub, and its other hubs to that one.
+
+    The members of a large group name the same few hubs, so most edges become equal.
+    """
+    least = edges.groupBy("src").agg(F.min("dst").alias("least"))
+    hubs = edges.join(least, "src").select(F.col("dst").alias("src"), F.col("least").alias("dst")).where("src != dst")
+    return least.withColumnRenamed("least", "dst").unionByName(hubs.distinct())
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``(key, text_id, class_id, n_links)`` with one row per row of ``docs``.
 
@@ -196,7 +206,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
                 values = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, HASHES) for c in ("sketch", "hub_sketch")]
                 yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("hub")], names=["src", "dst"]).filter(pa.array(prune(*values, loose)))
 
-    groups = connected_components(compared.mapInArrow(plausible, "src binary, dst binary"))
+    groups = connected_components(contracted(written(compared.mapInArrow(plausible, "src binary, dst binary"), "edges")))
     members = groups.join(nodes, "node").select(F.col("node").alias("member"), "component", "first", "sketch")
     held = rows.join(members, (F.col("node") == F.col("member")) & (F.col("id") == F.col("first"))).select("node", "component", "sketch", "text")
 
