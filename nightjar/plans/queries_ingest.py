@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from nightjar.operators import normalize as N
 from nightjar.operators.events import deduplicate
 from nightjar.plans.adapter import telemetry
+from nightjar.plans.ingest import ingest_batch
+from nightjar.plans.queries_intel import sample_iocs
 from nightjar.plans.registry import part, register
 
 _COLUMNS = ["seq", "source", "event_type", "action", "outcome", "host", "user", "process_name", "command_line", "src_ip", "dst_ip", "domain", "privilege", "protocol"]
@@ -61,3 +63,14 @@ register("validate", lambda s, d: N.with_violations(normalized(s, d)).where(F.si
 SELECT seq, concat_ws('; ', CASE WHEN k = 50 THEN 'timestamp missing or unreadable' END, CASE WHEN source = 'nowhere' THEN 'unknown source' END) AS violations FROM vendor WHERE k = 50 OR source = 'nowhere'""", "vendor")
 register("ingest_counts", lambda s, d: deduplicate(N.validate(normalized(s, d))[0]).groupBy("source").agg(F.count(F.lit(1)).alias("kept")), """
 SELECT source, count(*) AS kept FROM (SELECT DISTINCT ts_us, source, event_type, action, host, "user", process_name, command_line, dst_ip, domain FROM vendor WHERE k <> 50 AND source <> 'nowhere') GROUP BY source""", "vendor")
+
+
+def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vendor records of all events through the whole batch: what was accepted, kept, detected and linked."""
+    run = ingest_batch(vendor_records(spark, sf_dir), iocs=sample_iocs(spark, sf_dir))
+    by_rule = run.detections.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n")).select(F.concat(F.lit("detections "), "rule_id").alias("what"), "n")
+    by_kind = run.incidents.groupBy(F.substring_index("incident_id", "-", 1).alias("kind"), "severity").agg(F.count(F.lit(1)).alias("n")).select(F.concat_ws(" ", F.lit("incidents"), "kind", "severity").alias("what"), "n")
+    return run.counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).alias("n")) for c in ("accepted", "kept", "deduplicated")]))).unionByName(by_rule).unionByName(by_kind)
+
+
+register("ingest_batch", ingested)
