@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from nightjar.session import ensure_checkpoint_dir, prepare
@@ -57,3 +59,28 @@ def tile_pairs(members: DataFrame, key: str, member: str, tile_rows: int) -> Dat
         dealt.withColumn("tile_a", F.least("tile", "__other")).withColumn("tile_b", F.greatest("tile", "__other"))
         .drop("__members", "__tiles", "__other")
     )
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[str, list]]:
+    """Runs of rows with equal keys, as lists per column, from rows that arrive sorted by the keys.
+
+    For many small groups of bounded size this costs far less than a data frame per group.
+    """
+    held: dict[str, list] = {}
+    for batch in batches:
+        columns = {name: batch.column(name).to_pylist() for name in batch.schema.names}
+        marks = list(zip(*[columns[k] for k in keys], strict=True))
+        start = 0
+        for i in range(1, len(marks) + 1):
+            if i == len(marks) or marks[i] != marks[start]:
+                part = {name: values[start:i] for name, values in columns.items()}
+                if held and tuple(held[k][0] for k in keys) == marks[start]:
+                    for name, values in part.items():
+                        held[name].extend(values)
+                else:
+                    if held:
+                        yield held
+                    held = part
+                start = i
+    if held:
+        yield held
