@@ -264,7 +264,9 @@ def train(pages: DataFrame, text: str = "html", key: str = "page_id", sample: in
     Counts are added up by Spark; the features of a bounded sample are all that reaches the driver. Null pages and pages
     that don't label themselves teach nothing; with no labelled page the prior lexicon decides alone.
     """
-    chosen = pages.where(F.col(text).isNotNull()).select(F.xxhash64(F.lit(7), F.col(key), F.length(text)).alias("h"), F.col(text).alias("page")).orderBy("h").limit(sample)
+    drawn = F.xxhash64(F.lit(7), F.col(key))
+    near = int(2**63 * min(1.0, 2 * sample / max(1, pages.count()))) - 1  # about twice the sample passes, whatever the table's size
+    chosen = pages.where(F.col(text).isNotNull() & (F.shiftrightunsigned(drawn, 1) <= near)).select(drawn.alias("h"), F.col(text).alias("page")).orderBy("h", F.md5("page")).limit(sample)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
