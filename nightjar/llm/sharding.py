@@ -63,7 +63,7 @@ def shard_sizes(rows: int, shards: int) -> np.ndarray:
     return np.array([rows // shards + (j < rows % shards) for j in range(shards)], dtype=np.int64)
 
 
-def shuffle_to_shards(docs: DataFrame, keys: list[str], shards: int = 40, seed: int = 20, rows_per_block: int = 16_384) -> DataFrame:
+def shuffle_to_shards(docs: DataFrame, keys: list[str], shards: int = 40, seed: int = 20, rows_per_block: int = 2_048) -> DataFrame:
     """``docs`` with ``shard`` (0 to ``shards - 1``) and ``slot`` (gapless from 0 in each shard), uniformly shuffled.
 
     ``keys`` identify a row; rows that agree in all of them (repeated rows) are interchangeable and may take each
