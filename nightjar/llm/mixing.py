@@ -17,7 +17,7 @@ from nightjar.llm.common import without, written
 from nightjar.operators.ordered import with_row_index
 
 WEIGHTS = (3, 1, 2)  # of the sources in code-point order, repeating
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 256
 
 
 def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_room: int = 65_536) -> np.ndarray:
