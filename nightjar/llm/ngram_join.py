@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from nightjar.llm.common import tile_pairs, without, written
+from nightjar.llm.common import tile_pairs, written
 from nightjar.llm.words import slices, word_codes
 from nightjar.operators.correlate import connected_components
 

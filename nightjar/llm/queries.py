@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from nightjar.llm import chat_format, fertility, fuzzy_lines, html_model, mixing, ngram_join, one_bit_search, piece_lattice, secret_ledger, sharding
 from nightjar.llm.common import shared_folder, table, word_count, written
@@ -35,7 +35,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = "\\### Assistant: </turn> ok"
     planted = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
-    place = F.row_number().over(chat_format.Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
     events = rows.unionByName(planted).withColumn("turn", place).withColumn("seq", F.col("turn")).withColumn("kind", F.lit("message"))
     back = chat_format.read_back(chat_format.render(chat_format.fold_events(events)))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
