@@ -101,7 +101,7 @@ def op4_shard_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that repeat an earlier one."""
-    return fuzzy_lines.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return fuzzy_lines.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), wide=True)
 
 
 # ------------------------------------------------------------------------------------------------ 6 secrets
