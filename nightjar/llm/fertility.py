@@ -2,7 +2,9 @@
 
 Public vocabularies measure every whole text: characters per token, share of byte-fallback tokens and entropy of the
 token distribution. A document is kept if it passes the base rules and its measures lie in the bands of its script
-(or of its language, where a band is given). A batch is coded by its distinct words, and each distinct word is
+(or of its language, where a band is given). Few characters per token alone don't reject a document, as diacritics,
+figures and code show them too: down to ``FLOOR`` times the least rate it goes only if symbols or long strings of letters
+that no vocabulary holds explain the rate. A batch is coded by its distinct words, and each distinct word is
 tokenised once, which is exact because pieces of the vocabularies never span white space.
 """
 
@@ -27,6 +29,10 @@ VOCABULARY = "/opt/tokenizers"
 WINDOW = 8
 SYMBOLS = "[#*$%&|<>]"
 SLACK = 0.5  # a text of n words may undercut a least rate by SLACK / sqrt(n), as short texts scatter more
+FLOOR = 0.5  # part of a least rate below which no clean text lies
+SYMBOL_SHARE = 0.3  # symbols per character of words from which they explain a low rate
+TOKENS_A_WORD = 4.6  # piece tokens per word from which random strings or broken case explain it
+ACCENTS = 0.15  # bytes beyond one per character from which an alphabet explains many tokens per word instead
 BLANKS = " \t\n\v\f\r"
 
 
@@ -40,14 +46,14 @@ class Band:
     entropy: float  # least bits per token; shorter texts need this part of what their token count allows
 
 
-# By language code, else by script; wide, as they are to reject text that no language explains and to leave clean
-# documents alone. Symbols glued to words, broken case and random strings push characters per token below the band.
+# By language code, else by script. The least rates are what running prose shows; clean text below them is judged by what
+# explains its rate (``explained``). Latin letters with two marks fall back to bytes in the piece vocabulary.
 BANDS = {
-    "en": Band((1.6, 8.0), (1.9, 9.0), 0.05, 3.0),
-    "de": Band((1.6, 8.0), (2.0, 9.0), 0.05, 3.0),
-    "es": Band((1.5, 8.0), (1.75, 9.0), 0.05, 3.0),
-    "fr": Band((1.5, 8.0), (1.72, 9.0), 0.05, 3.0),
-    "latin": Band((1.4, 8.0), (1.6, 9.0), 0.05, 3.0),
+    "en": Band((1.6, 8.0), (1.9, 9.0), 0.35, 3.0),
+    "de": Band((1.6, 8.0), (2.0, 9.0), 0.35, 3.0),
+    "es": Band((1.5, 8.0), (1.75, 9.0), 0.35, 3.0),
+    "fr": Band((1.5, 8.0), (1.72, 9.0), 0.35, 3.0),
+    "latin": Band((1.4, 8.0), (1.6, 9.0), 0.35, 3.0),
     "cyrillic": Band((1.2, 6.0), (1.2, 8.0), 0.10, 3.0),
     "greek": Band((0.8, 4.0), (0.8, 6.0), 0.10, 3.0),
     "han": Band((0.3, 2.5), (0.3, 4.0), 0.75, 3.0),
@@ -131,6 +137,11 @@ def repeated_lines(text: str | None) -> int:
     return len(lines) - len(set(lines))
 
 
+def explained(n_words: int, word_chars: int, symbols: int, extra_bytes: int, pieces: int) -> bool:
+    """Whether symbols, or words of many pieces without an alphabet that needs them, explain few characters per token."""
+    return symbols > SYMBOL_SHARE * word_chars or (pieces > TOKENS_A_WORD * n_words and extra_bytes <= ACCENTS * word_chars)
+
+
 def read_vocabularies(folder: str) -> tuple[bytes, bytes, str]:
     """The piece model, the byte ranks and the pattern that goes with them; read on the driver and broadcast (1.5 MB)."""
     with open(f"{folder}/piece_bpe_32k.model", "rb") as f:
@@ -194,6 +205,9 @@ def measure_batch(batch: pa.RecordBatch, column: str, tools: Fertility, bands: d
     piece_rate, byte_rate = share(word_chars, pieces), share(word_chars, row_sums(byte_tokens[codes], offsets))
     fallback_share = share(fallbacks, pieces)
     base_failed = (n_words < 20) | (100 * repeats > 30 * n_words)
+    symbols = pc.cast(pc.count_substring_regex(pc.fill_null(texts, ""), SYMBOLS), pa.int64())
+    n_symbols = symbols.to_numpy(zero_copy_only=False)
+    extra_bytes = row_sums((pc.binary_length(dictionary).to_numpy(zero_copy_only=False).astype(np.int64) - lengths)[codes], offsets)
     kept = []
     for i, name in enumerate(named):
         band = bands.get(languages[i]) if languages and languages[i] in bands else bands.get(name)
@@ -202,11 +216,12 @@ def measure_batch(batch: pa.RecordBatch, column: str, tools: Fertility, bands: d
             continue
         least = band.entropy * min(1.0, math.log2(max(2, pieces[i])) / 8)
         slack = 1 - SLACK / math.sqrt(n_words[i])
+        part = slack * (FLOOR if not explained(n_words[i], word_chars[i], n_symbols[i], extra_bytes[i], pieces[i]) else 1.0)
         kept.append(bool(
-            slack * band.piece[0] <= piece_rate[i] <= band.piece[1] and slack * band.byte[0] <= byte_rate[i] <= band.byte[1]
+            part * band.piece[0] <= piece_rate[i] <= band.piece[1] and part * band.byte[0] <= byte_rate[i] <= band.byte[1]
             and fallback_share[i] <= band.fallback and entropies[i] >= least))
     return [
-        pa.array(n_words), pa.array(word_chars), pc.cast(pc.count_substring_regex(pc.fill_null(texts, ""), SYMBOLS), pa.int64()),
+        pa.array(n_words), pa.array(word_chars), symbols,
         pa.array([repeated_lines(t) for t in texts.to_pylist()], pa.int64()), pa.array(repeats), pa.array(piece_rate), pa.array(byte_rate),
         pa.array(fallback_share), pa.array(entropies, pa.float64()), pa.array(named), pa.array(base_failed), pa.array(kept),
     ]
