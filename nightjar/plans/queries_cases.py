@@ -12,6 +12,7 @@ from nightjar.plans import queries_events  # noqa: F401  (defines shared check p
 from nightjar.plans.adapter import sample_detections, telemetry
 from nightjar.plans.registry import part, register
 from nightjar.schema import PHASES, seconds
+from nightjar.session import materialize
 from nightjar.sources.techniques import TECHNIQUES
 
 HOURS_6 = 6 * 3600
@@ -201,7 +202,7 @@ FROM inc i CROSS JOIN (SELECT unnest({_ORDER}) AS phase) p LEFT JOIN seen s ON s
 def correlated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections -> clusters -> incidents, sorted by risk, plus slow-burn incidents of the ledger."""
     dets = sample_detections(spark, sf_dir)
-    grouped = C.correlate(dets, G.contacted_ips(G.derive_edges(telemetry(spark, sf_dir))), HOURS_6)
+    grouped = materialize(C.correlate(dets, G.contacted_ips(G.derive_edges(telemetry(spark, sf_dir))), HOURS_6))
     window = I.build_incidents(grouped, telemetry(spark, sf_dir))
     admitted = I.incident_detections(window, grouped).select("detection_id")
     slow = I.slow_burn_incidents(L.slow_burn_candidates(L.ledger_deposits(dets), threshold=HOT), dets, admitted, telemetry(spark, sf_dir))
