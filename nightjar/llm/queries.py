@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from nightjar.llm import chat_format, fertility, fuzzy_lines, html_model, mixing, ngram_join, one_bit_search, piece_lattice, secret_ledger, sharding
+from nightjar.llm import chat_format, fertility, fuzzy_lines, html_model, merkle, mixing, ngram_join, one_bit_search, piece_lattice, secret_ledger, sharding, whitening
 from nightjar.llm.common import shared_folder, table, word_count, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +160,76 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"))
     mixed = mixing.mix(written(docs, "words"), "words")
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+# ------------------------------------------------------------------------------------------------ 11 whitening
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector on the 16 leading axes of the covariance of the distinct ones."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+# ------------------------------------------------------------------------------------------------ 12 manifest
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots, digest of the proof and verification of every document; a fifth of them tampered with."""
+    docs = table(spark, sf_dir, "documents").select(*merkle.LEAF_FIELDS)
+    fifth = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5 == 0
+    made = merkle.manifest(docs, fifth).leaves
+    folded = merkle.fold(F.coalesce("tampered_leaf", "leaf"), F.col("path"))
+    out = made.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def merkle_levels(name: str, rows: str, tree: str, levels: int) -> str:
+    """CTEs ``<name>0`` to ``<name><levels>``: the nodes of every level of all trees of ``rows`` (tree, r, h, n)."""
+    ctes = [f"{name}0 AS MATERIALIZED ({rows})"]
+    for i in range(1, levels + 1):
+        ctes.append(f"""{name}{i} AS MATERIALIZED (
+  SELECT {tree}, r // 16 AS r, CASE WHEN max(n) > 1 THEN sha256(string_agg(h, '' ORDER BY r)) ELSE max(h) END AS h, (max(n) + 15) // 16 AS n
+  FROM {name}{i - 1} GROUP BY {tree}, r // 16)""")
+    return ",\n".join(ctes)
+
+
+def merkle_siblings(name: str, tree: str, levels: int) -> str:
+    """CTEs with the digests left and right of every node in its run; empty in a level that is not grouped."""
+    return ",\n".join(f"""{name}s{i} AS MATERIALIZED (
+  SELECT {tree}, r, h, n, CASE WHEN n > 1 THEN coalesce(string_agg(h, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') ELSE '' END AS a,
+    CASE WHEN n > 1 THEN coalesce(string_agg(h, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') ELSE '' END AS b
+  FROM {name}{i} WINDOW run AS (PARTITION BY {tree}, r // 16 ORDER BY r))""" for i in range(levels))
+
+
+def merkle_check(levels: int = 6, top: int = 5) -> str:
+    """SQL over trees of up to 16 ** levels leaves and 16 ** top sources."""
+    framed = lambda c, v: f"coalesce(octet_length(encode(CAST({v} AS VARCHAR))) || ':' || CAST({v} AS VARCHAR), '-')"
+    digest = lambda text: "sha256(" + " || ".join(framed(c, text if c == "text" else c) for c in merkle.LEAF_FIELDS) + ")"
+    bits = "flatten([[CAST(unicode(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0] for c in string_split(CAST(doc_id AS VARCHAR), '')])"
+    crc = f"xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {bits}), lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1))))"
+    low = f"translate(text, '{merkle.UPPER}', '{merkle.LOWER}')"
+    joins = [f"JOIN ts{i} s{i} ON s{i}.k = l.k AND s{i}.r = l.r // {16 ** i}" for i in range(levels)]
+    joins += [f"JOIN us{i} u{i} ON u{i}.r = o.r // {16 ** i}" for i in range(top)]
+    steps = [f"s{i}" for i in range(levels)] + [f"u{i}" for i in range(top)]
+    folds = []
+    for i, step in enumerate(steps):
+        folds.append(f"f{i + 1} AS MATERIALIZED (SELECT * EXCLUDE (v, l{i}, r{i}, n{i}), CASE WHEN n{i} > 1 THEN sha256(l{i} || v || r{i}) ELSE v END AS v FROM f{i})")
+    sides = ", ".join(f"{s}.a AS l{i}, {s}.b AS r{i}, {s}.n AS n{i}" for i, s in enumerate(steps))
+    return f"""
+WITH leaves AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE '+' || source END AS k, {digest('text')} AS h,
+    CASE WHEN doc_id IS NOT NULL AND {crc} % 5 = 0 THEN {digest(low)} END AS forged FROM documents
+), placed AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, h) - 1 AS r, count(*) OVER (PARTITION BY k) AS n FROM leaves
+), {merkle_levels('t', 'SELECT k, r, h, n FROM placed', 'k', levels)},
+subroots AS MATERIALIZED (SELECT k, h, row_number() OVER (ORDER BY k) - 1 AS r, count(*) OVER () AS n FROM t{levels}),
+{merkle_levels('u', "SELECT 0 AS z, r, h, n FROM subroots", 'z', top)},
+{merkle_siblings('t', 'k', levels)}, {merkle_siblings('u', 'z', top)},
+f0 AS MATERIALIZED (
+  SELECT l.doc_id, l.h AS leaf, o.h AS subroot, (SELECT h FROM u{top}) AS root, coalesce(l.forged, l.h) AS v,
+    sha256({' || '.join(f'{s}.a || {s}.b' for s in steps)}) AS proof_sha256, {sides}
+  FROM placed l JOIN subroots o ON o.k = l.k {' '.join(joins)}
+), {', '.join(folds)}
+SELECT doc_id, leaf, subroot, root, proof_sha256, v AS folded_root, v = root AS verified FROM f{len(steps)}
+"""
+
+
+CHECKS["op12_merkle_manifest"] = merkle_check()
