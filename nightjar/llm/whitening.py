@@ -106,7 +106,9 @@ def per_length(fits: dict[int, Fit], values, schema: str, rows: DataFrame) -> Da
             old = held.get(x.shape[1])
             held[x.shape[1]] = new if old is None else [a + b for a, b in zip(old, new, strict=True)]
         for dims, sums in held.items():
-            yield pa.RecordBatch.from_pydict({"dims": [dims] * len(sums), "place": list(range(len(sums))), "total": [str(s) for s in sums] if "string" in schema else sums})
+            yield pa.RecordBatch.from_pydict({
+                "dims": pa.array([dims] * len(sums), pa.int32()), "place": pa.array(range(len(sums)), pa.int32()),
+                "total": pa.array([str(s) for s in sums]) if schema == "string" else pa.array(sums, pa.float64())})
 
     parts = rows.mapInArrow(run, f"dims int, place int, total {schema}")
     total = F.sum(F.col("total").cast("decimal(38,0)")) if schema == "string" else F.sum("total")
