@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from nightjar.llm import chat_format, fertility, fuzzy_lines, html_model, merkle, mixing, ngram_join, one_bit_search, piece_lattice, secret_ledger, sharding, whitening
+from nightjar.llm import chat_format, fertility, fuzzy_lines, html_model, lm_scoring, merkle, mixing, ngram_join, one_bit_search, piece_lattice, secret_ledger, sharding, whitening
 from nightjar.llm.common import shared_folder, table, word_count, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -233,3 +233,12 @@ SELECT doc_id, leaf, subroot, root, proof_sha256, v AS folded_root, v = root AS
 
 
 CHECKS["op12_merkle_manifest"] = merkle_check()
+
+
+# ------------------------------------------------------------------------------------------------ 13 language model
+@query
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by a model of six sevenths of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    taught = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 7 != 2
+    return lm_scoring.score_texts(docs, taught)
