@@ -6,10 +6,10 @@ the context: the longest suffix that was seen, and the power of two of its frequ
 expectation-maximisation on a fold of the training texts whose own counts are deleted from the estimates.
 
 How counts reach texts: texts are cut into slices of bounded size, each with its own word list. A slice asks for the
-counts of its distinct n-grams, as sorted 64-bit keys dealt by range; every range adds up what all slices report for
-it and answers each slice in its order. So an n-gram travels once per slice, however frequent it is, no key is hot, and
-no model is ever gathered in one place. Keys of 64 bits stand for n-grams: two of 10^9 words share one with a probability
-of 0.03.
+counts of its distinct n-grams, as sorted keys dealt by range; every range adds up what all slices report for it and
+answers each slice in its order. So an n-gram travels once per slice, however frequent it is, no key is hot, and no model
+is ever gathered in one place. Words have keys of 64 bits (two of 10^9 words share one with a probability of 0.03),
+longer n-grams of 56 bits.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from nightjar.llm.words import slices, word_codes
 
 ORDER = 2
 FOLD = 16  # one text in so many (by its content, so that exact copies stay together) is held out to learn the weights
-PART_ENTRIES = 4_000_000  # keys of all slices that one task adds up
+PART_ENTRIES = 2_000_000  # keys of all slices that one task adds up
 ROUNDS, CHANGE = 40, 1e-3  # expectation-maximisation ends when no weight moves by more
 BUCKETS = 64  # powers of two per context length
 HELD_OUT, TRAIN, DELETED = 0, 1, 2
@@ -63,26 +63,28 @@ def mixed(keys: np.ndarray) -> np.ndarray:
     return keys ^ (keys >> np.uint64(32))
 
 
-def gram_keys(tokens: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, order: int) -> list[np.ndarray]:
-    """Key of the k-gram that ends at each token, for k = 1 to ``order``; before a text stands its end token.
-
-    Keys of single tokens are odd, all others even.
-    """
-    starts = np.cumsum(lengths) - lengths
-    place = np.arange(len(tokens)) - np.repeat(starts, lengths)
-    own = hashes[tokens]
-    back = [own]
-    for k in range(1, order):
-        shifted = np.full(len(own), hashes[-1])
-        shifted[k:] = own[:-k] if k < len(own) else own[:0]
-        back.append(np.where(place >= k, shifted, hashes[-1]))
-    out = [mixed(own) | np.uint64(1)]
+def gram_keys(tokens: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, k: int) -> np.ndarray:
+    """Key of the k-gram (k above 1) that ends at each token; before a text stands its end token. The low byte is 0."""
+    place = np.arange(len(tokens), dtype=np.int32) - np.repeat((np.cumsum(lengths) - lengths).astype(np.int32), lengths)
+    key = np.full(len(tokens), np.uint64(k))
+    for lag in reversed(range(k)):
+        back = np.full(len(tokens), hashes[-1])
+        back[lag:] = hashes[tokens[:len(tokens) - lag]]
+        back[place < lag] = hashes[-1]
+        key = mixed(key * STEP + back)
+    return key & ~np.uint64(0xFF)
+
+
+def distinct_grams(tokens: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For k = 1 to ``order``: the sorted keys of a slice, and the place of each token's k-gram among them."""
+    words = mixed(hashes) | np.uint64(1)
+    by_key = np.argsort(words, kind="stable")
+    rank = np.empty(len(words), dtype=np.int32)
+    rank[by_key] = np.arange(len(words), dtype=np.int32)
+    yield words[by_key], rank[tokens]
     for k in range(2, order + 1):
-        key = np.full(len(own), np.uint64(k))
-        for lag in reversed(range(k)):
-            key = mixed(key * STEP + back[lag])
-        out.append(key & ~np.uint64(1))
-    return out
+        distinct, place = np.unique(gram_keys(tokens, lengths, hashes, k), return_inverse=True)
+        yield distinct, place.astype(np.int32)
 
 
 def word_hashes(words: bytes) -> np.ndarray:
@@ -94,12 +96,10 @@ def word_hashes(words: bytes) -> np.ndarray:
 
 def contexts(counts: list[np.ndarray], lengths: np.ndarray) -> list[np.ndarray]:
     """How often the context of each k-gram (k = 2 on) occurs: the (k-1)-gram before; at a text's start, the number of texts."""
-    starts = np.cumsum(lengths) - lengths
-    texts = counts[0][starts[0] + lengths[0] - 1] if len(lengths) else 0  # count of the end token
-    out = []
+    starts, out = np.cumsum(lengths) - lengths, []
     for shorter in counts[:-1]:
         before = np.concatenate([shorter[:1], shorter[:-1]])
-        before[starts] = texts
+        before[starts] = counts[0][lengths[:1] - 1]  # the first text's end token, whose count is that of all texts
         out.append(before)
     return out
 
@@ -111,7 +111,7 @@ def slice_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, "text"):
             codes, offsets, words = word_codes(pc.ascii_lower(pc.fill_null(part.column("text"), "")))
             lengths = np.diff(offsets) + 1
-            tokens = np.full(int(lengths.sum()), len(words), dtype=np.int64)
+            tokens = np.full(int(lengths.sum()), len(words), dtype=np.int32)
             is_word = np.ones(len(tokens), dtype=bool)
             is_word[np.cumsum(lengths) - 1] = False
             tokens[is_word] = codes
@@ -127,47 +127,53 @@ def slice_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n += 1
 
 
-def unpacked(row: dict, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lengths, roles per token, sorted distinct keys, and the place of each token's k-gram among them (all of k = 1, then 2, ...)."""
-    lengths, roles = np.array(row["lengths"], dtype=np.int64), np.array(row["roles"], dtype=np.int32)
-    keys = gram_keys(unpack(row["codes"]).astype(np.int64), lengths, word_hashes(row["words"]), order)
-    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-    return lengths, np.repeat(roles, lengths), distinct, place
+def unpacked(row: dict, order: int) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """Lengths of the texts, role of each token, and the k-grams of a slice, order by order."""
+    lengths = np.array(row["lengths"], dtype=np.int64)
+    roles = np.repeat(np.array(row["roles"], dtype=np.int8), lengths)
+    return lengths, roles, distinct_grams(unpack(row["codes"]).astype(np.int32), lengths, word_hashes(row["words"]), order)
 
 
 def ask(order: int, parts: int) -> Callable:
-    """Rows (part, slice, keys, train, deleted): the distinct k-grams of a slice with its own counts, by key range."""
+    """Rows (part, slice, keys, train, deleted): the distinct k-grams of a slice with its own counts, order by order, by key range."""
     width = (1 << 64) // parts + 1
+    borders = np.array([p * width for p in range(1, parts)], dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                _, roles, distinct, place = unpacked(row, order)
-                count = lambda mask, n=len(distinct), at=place: np.bincount(at[np.tile(mask, order)], minlength=n)
-                train, deleted = count(roles >= TRAIN), count(roles == DELETED)
-                cuts = np.searchsorted(distinct, np.array([p * width for p in range(1, parts)], dtype=np.uint64))
-                for p, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(distinct)], strict=True)):
-                    if a < b:
-                        yield pa.RecordBatch.from_pydict({
-                            "part": pa.array([p], pa.int32()), "slice": pa.array([row["slice"]], pa.int64()), "keys": pa.array([pack_sorted(distinct[a:b])]),
-                            "train": pa.array([pack(train[a:b])]), "deleted": pa.array([pack(deleted[a:b])])})
+                _, roles, grams = unpacked(row, order)
+                told: list[list[tuple[bytes, bytes, bytes]]] = [[] for _ in range(parts)]
+                for distinct, place in grams:
+                    train, deleted = (np.bincount(place[mask], minlength=len(distinct)) for mask in (roles >= TRAIN, roles == DELETED))
+                    cuts = np.searchsorted(distinct, borders).tolist()
+                    for p, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(distinct)], strict=True)):
+                        told[p].append((pack_sorted(distinct[a:b]), pack(train[a:b]), pack(deleted[a:b])))
+                yield pa.RecordBatch.from_pydict({
+                    "part": pa.array(range(parts), pa.int32()), "slice": pa.array([row["slice"]] * parts, pa.int64()),
+                    **{name: pa.array([[t[i] for t in own] for own in told]) for i, name in enumerate(("keys", "train", "deleted"))}})
 
     return run
 
 
 def answer(asked: pa.Table) -> pa.Table:
     """Counts over all slices for every slice of one key range, and the number of distinct training words in it."""
-    keys = [unpack_sorted(k) for k in asked["keys"].to_pylist()]
-    ends = np.cumsum([len(k) for k in keys])[:-1]
+    keys = [unpack_sorted(k) for row in asked["keys"].to_pylist() for k in row]
+    ends, times = np.cumsum([len(k) for k in keys])[:-1], len(keys) // asked.num_rows
     distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-    total = [np.bincount(place, np.concatenate([unpack(v) for v in asked[c].to_pylist()]).astype(np.float64)).astype(np.int64) for c in ("train", "deleted")]
+    own, vocabulary = [], 0
+    for name in ("train", "deleted"):
+        told = np.concatenate([unpack(v) for row in asked[name].to_pylist() for v in row]).astype(np.float64)
+        total = np.bincount(place, told, minlength=len(distinct)).astype(np.int64)
+        if name == "train":
+            vocabulary = int(((distinct & np.uint64(1) == 1) & (total > 0)).sum())
+        packed = [pack(v) for v in np.split(total[place], ends)]
+        own.append([*[packed[i:i + times] for i in range(0, len(packed), times)], None])
     part = asked["part"][0].as_py()
-    own = [[pack(v) for v in np.split(t[place], ends)] for t in total]
-    vocabulary = int(((distinct & np.uint64(1) == 1) & (total[0] > 0)).sum())
     return pa.table({
-        "slice": pa.array([*asked["slice"].to_pylist(), -1 - part], pa.int64()), "part": pa.array([part] * (len(keys) + 1), pa.int32()),
-        "train": pa.array([*own[0], b""], pa.binary()), "deleted": pa.array([*own[1], b""], pa.binary()),
-        "vocabulary": pa.array([0] * len(keys) + [vocabulary], pa.int64())})
+        "slice": pa.array([*asked["slice"].to_pylist(), -1 - part], pa.int64()), "part": pa.array([part] * len(own[0]), pa.int32()),
+        "train": pa.array(own[0], pa.list_(pa.binary())), "deleted": pa.array(own[1], pa.list_(pa.binary())),
+        "vocabulary": pa.array([0] * asked.num_rows + [vocabulary], pa.int64())})
 
 
 def take_home(order: int) -> Callable:
@@ -175,21 +181,24 @@ def take_home(order: int) -> Callable:
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not texts.num_rows:
-            return pa.table({"ids": pa.nulls(answers.num_rows, texts.schema.field("ids").type), "roles": pa.nulls(answers.num_rows, pa.list_(pa.int32())),
-                             "lengths": pa.nulls(answers.num_rows, pa.list_(pa.int64())), "counts": pa.nulls(answers.num_rows, pa.binary()),
-                             "kept": pa.nulls(answers.num_rows, pa.binary()), "vocabulary": answers["vocabulary"]})
-        row = texts.to_pylist()[0]
-        lengths, roles, distinct, place = unpacked(row, order)
+            n = answers.num_rows
+            return pa.table({"ids": pa.nulls(n, texts.schema.field("ids").type), "roles": pa.nulls(n, pa.list_(pa.int32())), "lengths": pa.nulls(n, pa.list_(pa.int64())),
+                             "counts": pa.nulls(n, pa.list_(pa.binary())), "kept": pa.nulls(n, pa.list_(pa.binary())), "vocabulary": answers["vocabulary"]})
+        lengths, roles, grams = unpacked(texts.to_pylist()[0], order)
         answers = answers.sort_by("part")
-        total, deleted = (np.concatenate([unpack(v) for v in answers[c].to_pylist()]).astype(np.int64) for c in ("train", "deleted"))
-        if len(total) != len(distinct):
-            raise ValueError("a slice has not got all its counts")
-        fold = roles == DELETED
-        kept = (total - deleted)[place].reshape(order, -1)
-        kept = np.concatenate([kept, contexts(list(kept), lengths)]) if order > 1 else kept
+        told = {c: answers[c].to_pylist() for c in ("train", "deleted")}
+        fold, counts, kept = roles == DELETED, [], []
+        for k, (distinct, place) in enumerate(grams):
+            total, deleted = (np.concatenate([unpack(row[k]) for row in told[c]]).astype(np.int64) for c in ("train", "deleted"))
+            if len(total) != len(distinct):
+                raise ValueError("a slice has not got all its counts")
+            counts.append(pack(total[place]))
+            kept.append((total - deleted)[place[fold]])
+        own = lengths[np.array(texts["roles"][0].as_py()) == DELETED]
+        context = contexts(kept, own)
         return pa.table({
-            "ids": texts["ids"], "roles": texts["roles"], "lengths": texts["lengths"], "counts": pa.array([pack(total[place])]),
-            "kept": pa.array([pack(kept[:, fold].reshape(-1))]), "vocabulary": pa.array([0], pa.int64())})
+            "ids": texts["ids"], "roles": texts["roles"], "lengths": texts["lengths"], "counts": pa.array([counts]),
+            "kept": pa.array([[pack(v) for v in [*kept, *context]]]), "vocabulary": pa.array([0], pa.int64())})
 
     return run
 
@@ -225,7 +234,7 @@ def held_rows(order: int, total: int, vocabulary: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column("kept").to_pylist():
-                numbers = list(unpack(data).astype(np.int64).reshape(2 * order - 1, -1))
+                numbers = [unpack(v).astype(np.int64) for v in data]
                 counts, context = numbers[:order], numbers[order:]
                 p = estimates(counts, context, total, vocabulary)
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array(buckets(context, total, len(counts[0])), pa.int32()), **{f"p{k}": v for k, v in enumerate(p)}})
@@ -266,7 +275,7 @@ def score_slices(order: int, weights: np.ndarray, total: int, vocabulary: int, k
         for batch in batches:
             for i, row in enumerate(batch.select(["lengths", "roles", "counts"]).to_pylist()):
                 lengths = np.array(row["lengths"], dtype=np.int64)
-                counts = list(unpack(row["counts"]).astype(np.int64).reshape(order, -1))
+                counts = [unpack(v).astype(np.int64) for v in row["counts"]]
                 context = contexts(counts, lengths)
                 share = weights[buckets(context, total, len(counts[0]))]
                 p = sum(share[:, k] * v for k, v in enumerate(estimates(counts, context, total, vocabulary)))
@@ -297,10 +306,10 @@ def score_texts(docs: DataFrame, training: Column, key: str = "doc_id", text: st
         slice_texts, f"slice long, ids array<{kind}>, roles array<int>, lengths array<long>, codes binary, words binary, tokens long, train long, deleted long"), "slices")
     sizes = sliced.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "train", "deleted")]).first()
     parts = max(1, -(-sizes["tokens"] * order // PART_ENTRIES))
-    answers = sliced.mapInArrow(ask(order, parts), "part int, slice long, keys binary, train binary, deleted binary").groupBy("part").applyInArrow(
-        answer, "slice long, part int, train binary, deleted binary, vocabulary long")
+    answers = sliced.mapInArrow(ask(order, parts), "part int, slice long, keys array<binary>, train array<binary>, deleted array<binary>").groupBy("part").applyInArrow(
+        answer, "slice long, part int, train array<binary>, deleted array<binary>, vocabulary long")
     counted = written(sliced.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(
-        take_home(order), f"ids array<{kind}>, roles array<int>, lengths array<long>, counts binary, kept binary, vocabulary long"), "counted")
+        take_home(order), f"ids array<{kind}>, roles array<int>, lengths array<long>, counts array<binary>, kept array<binary>, vocabulary long"), "counted")
     vocabulary = counted.agg(F.coalesce(F.sum("vocabulary"), F.lit(0)).alias("v")).first()["v"]
     slices_only = counted.where("counts IS NOT NULL")
     weights = first_weights(order)
