@@ -30,26 +30,93 @@ ORDER = ["ts_us", "seq"]
 CARRIED = ["event_id", "tenant_id", "timestamp", "user", "host", "dst_ip"]
 
 
-def anomaly_detection(rows: DataFrame, rule_id: str, title: str, reason: Column, score: Column, severity: Column,
-                      techniques: list[str], phase: str, confidence: float, details: dict[str, Column]) -> DataFrame:
-    """Common shape of a baseline detection."""
+def anomaly_columns(rule_id: str, title: str, reason: Column, score: Column, severity: Column, techniques: list[str], phase: str,
+                    confidence: float, details: dict[str, Column]) -> Column:
+    """Common shape of a baseline detection, as one struct over a row that holds ``CARRIED``."""
     pairs = [p for name, value in details.items() for p in (F.lit(name), value.cast("string"))]
     names = {"user": "user", "host": "host", "dst_ip": "dst_ip"}
     ents = [p for out, col in names.items() for p in (F.lit(out), F.when(filled(F.col(col)), F.col(col)))]
-    return rows.select(
-        digest_id("det_", F.lit(rule_id), F.col("event_id")).alias("detection_id"), "tenant_id",
+    return F.struct(
+        digest_id("det_", F.lit(rule_id), F.col("event_id")).alias("detection_id"), F.col("tenant_id"),
         F.lit("anomaly").alias("kind"), F.lit(rule_id).alias("rule_id"), F.lit(title).alias("title"), reason.alias("description"),
         severity.alias("severity"), F.round(F.least(F.lit(100.0), score), 1).alias("score"), F.lit(confidence).alias("confidence"),
-        F.array(*[F.lit(t) for t in techniques]).alias("techniques"), F.lit(phase).alias("phase"), "timestamp",
+        F.array(*[F.lit(t) for t in techniques]).alias("techniques"), F.lit(phase).alias("phase"), F.col("timestamp"),
         F.map_filter(F.create_map(*ents), lambda _, v: v.isNotNull()).alias("entities"),
         F.array("event_id").alias("evidence_event_ids"),
         F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()).alias("details"),
     )
 
 
+def anomaly_detection(rows: DataFrame, found: Column) -> DataFrame:
+    return rows.select(found.alias("found")).select("found.*")
+
+
+# What each baseline reports, over its measured rows; batch and stream share these.
+def login_hour_found(rare_share: float = LOGIN_SHARE) -> Column:
+    return anomaly_columns(
+        "ANOM-LOGIN-HOUR", "Login at an unusual hour for the user",
+        F.format_string("%s: %.1f%% of %d earlier logins fall near hour %02d, most near %02d", "user", F.col("share") * 100, "history", "hour", "peak_hour"),
+        25 + 20 * (1 - F.col("share") / rare_share), F.lit("medium"), ["T1078"], "initial_access", 0.7,
+        {"hour": F.col("hour"), "history": F.col("history"), "share_pct": F.round(F.col("share") * 100, 2), "peak_hour": F.col("peak_hour")},
+    )
+
+
+def location_found() -> Column:
+    return anomaly_columns(
+        "ANOM-LOGIN-LOCATION", "Login from a new location",
+        F.format_string("%s has no earlier login from %s", F.col("user"), F.coalesce(F.when(F.col("geo_country") != "", F.col("geo_country")), F.col("src_ip"))),
+        F.when(F.col("by_country") == 1, 45.0).otherwise(30.0), F.lit("medium"), ["T1078", "T1133"], "initial_access", 0.75,
+        {"new_country": F.when(F.col("by_country") == 1, F.col("geo_country")), "new_ip": F.when(F.col("by_ip") == 1, F.col("src_ip"))},
+    )
+
+
+def egress_found(z_threshold: float = VOLUME_Z) -> Column:
+    return anomaly_columns(
+        "ANOM-EGRESS-VOLUME", "Outbound transfer far above the host's norm",
+        F.format_string("%s sent %d bytes to %s, robust z %.1f against a median of %.0f bytes", "host", "bytes_out", "dst_ip", "z", F.expm1("median_x")),
+        F.least(F.lit(70.0), 35 + 6.0 * (F.col("z") - z_threshold)), F.lit("high"), ["T1048", "T1041"], "exfiltration", 0.8,
+        {"z_score": F.round("z", 2), "baseline_median_bytes": F.floor(F.expm1("median_x"))},
+    )
+
+
+def rare_process_found() -> Column:
+    office = F.lower(F.coalesce("parent_process_name", F.lit(""))).isin(OFFICE_PARENTS)
+    return anomaly_columns(
+        "ANOM-RARE-PROCESS", "Rare process is new on the host",
+        F.format_string("%s is new on %s and known on %d other hosts", "process_name", "host", "org_hosts"),
+        F.when(office, 35.0).otherwise(20.0), F.when(office, "medium").otherwise("low"), ["T1204"], "execution", 0.6,
+        {"org_hosts": F.col("org_hosts"), "parent": F.col("parent_process_name")},
+    )
+
+
+def odd_label_found() -> Column:
+    return anomaly_columns(
+        "ANOM-DNS-ENTROPY", "Random-looking DNS label",
+        F.format_string("label %s has entropy %.2f and length %d", "label", "label_entropy", "label_length"),
+        F.lit(35.0), F.lit("medium"), ["T1071.004", "T1568.002"], "command_and_control", 0.7,
+        {"entropy": F.round("label_entropy", 2), "label_len": F.col("label_length")},
+    )
+
+
+def burst_found(window_seconds: float = BURST_SECONDS, count: int = BURST_COUNT) -> Column:
+    return anomaly_columns(
+        "ANOM-DNS-BURST", "Burst of DNS queries from one host",
+        F.format_string(f"at least {count} DNS queries in {window_seconds:g} s from %s", "host"),
+        F.lit(30.0), F.lit("medium"), ["T1071.004"], "command_and_control", 0.65, {"queries": F.lit(count)},
+    )
+
+
+def is_login() -> Column:
+    return (F.col("event_type") == "authentication") & (F.col("action") == "login_success") & filled(F.col("user"))
+
+
+def is_start() -> Column:
+    return (F.col("event_type") == "process_start") & filled(F.col("host")) & filled(F.col("process_name"))
+
+
 def _logins(events: DataFrame) -> DataFrame:
     return (
-        events.where((F.col("event_type") == "authentication") & (F.col("action") == "login_success") & filled(F.col("user")))
+        events.where(is_login())
         .select(*CARRIED, "src_ip", "geo_country", "seq", F.lower("user").alias("user_key"), micros(F.col("timestamp")).alias("ts_us"))
     )
 
@@ -80,12 +147,7 @@ def anomaly_login_hour(events: DataFrame, min_history: int = LOGIN_HISTORY, rare
     measured = login_hour_profile(events).withColumn("m", F.transform(F.array("histogram"), measure)[0])
     rows = measured.where((F.col("m.history") >= min_history) & (F.col("m.share") < rare_share)) \
         .select(*CARRIED, "hour", "m.history", "m.share", "m.peak_hour")
-    return anomaly_detection(
-        rows, "ANOM-LOGIN-HOUR", "Login at an unusual hour for the user",
-        F.format_string("%s: %.1f%% of %d earlier logins fall near hour %02d, most near %02d", "user", F.col("share") * 100, "history", "hour", "peak_hour"),
-        25 + 20 * (1 - F.col("share") / rare_share), F.lit("medium"), ["T1078"], "initial_access", 0.7,
-        {"hour": F.col("hour"), "history": F.col("history"), "share_pct": F.round(F.col("share") * 100, 2), "peak_hour": F.col("peak_hour")},
-    )
+    return anomaly_detection(rows, login_hour_found(rare_share))
 
 
 def _nth_row(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
@@ -122,12 +184,7 @@ def anomaly_first_seen_location(events: DataFrame, min_history: int = LOCATION_H
     )
     settled = _nth_row(logins, ["tenant_id", "user_key"], min_history)
     rows = both.join(settled, ["tenant_id", "user_key"]).where(F.struct(*ORDER) > F.col("nth_at"))
-    return anomaly_detection(
-        rows, "ANOM-LOGIN-LOCATION", "Login from a new location",
-        F.format_string("%s has no earlier login from %s", F.col("user"), F.coalesce(F.when(F.col("geo_country") != "", F.col("geo_country")), F.col("src_ip"))),
-        F.when(F.col("by_country") == 1, 45.0).otherwise(30.0), F.lit("medium"), ["T1078", "T1133"], "initial_access", 0.75,
-        {"new_country": F.when(F.col("by_country") == 1, F.col("geo_country")), "new_ip": F.when(F.col("by_ip") == 1, F.col("src_ip"))},
-    )
+    return anomaly_detection(rows, location_found())
 
 
 # ------------------------------------------------------------------------------------------ volume
@@ -150,6 +207,17 @@ def _robust_z(batch: pd.DataFrame, keep: int, need: int, floor: float) -> pd.Dat
     return batch[batch["z"] >= floor]
 
 
+def has_volume() -> Column:
+    return (F.col("event_type") == "network_connection") & (F.coalesce(F.col("bytes_out"), F.lit(0)) != 0) & filled(F.col("host"))
+
+
+def sanctioned_upload() -> Column:
+    lowered, out = F.lower(F.coalesce("domain", F.lit(""))), F.lit(False)
+    for d in SANCTIONED_UPLOAD_DOMAINS:
+        out = out | lowered.endswith(d)
+    return out
+
+
 def anomaly_egress_volume(events: DataFrame, min_history: int = VOLUME_HISTORY, z_threshold: float = VOLUME_Z,
                           keep: int = VOLUME_KEEP, chunk: int = 20_000) -> DataFrame:
     """Public transfers far above the host's last ``keep`` transfers (log bytes, median and MAD).
@@ -157,34 +225,23 @@ def anomaly_egress_volume(events: DataFrame, min_history: int = VOLUME_HISTORY,
     Sanctioned cloud domains feed the history but never fire. The exact moving MAD has no built-in window, so
     bounded chunks (each with its history) go to a grouped map.
     """
-    lowered = F.lower(F.coalesce("domain", F.lit("")))
-    sanctioned = F.lit(False)
-    for d in SANCTIONED_UPLOAD_DOMAINS:
-        sanctioned = sanctioned | lowered.endswith(d)
-    rows = (
-        events.where((F.col("event_type") == "network_connection") & (F.coalesce(F.col("bytes_out"), F.lit(0)) != 0) & filled(F.col("host")))
-        .select(*CARRIED, "seq", micros(F.col("timestamp")).alias("ts_us"), "bytes_out", F.upper("host").alias("host_key"),
-                F.log1p("bytes_out").alias("x"), (~sanctioned & ~is_private_ip(F.col("dst_ip"))).alias("wanted"))
-    )
+    rows = events.where(has_volume()).select(
+        *CARRIED, "seq", micros(F.col("timestamp")).alias("ts_us"), "bytes_out", F.upper("host").alias("host_key"),
+        F.log1p("bytes_out").alias("x"), (~sanctioned_upload() & ~is_private_ip(F.col("dst_ip"))).alias("wanted"))
     keys = ["tenant_id", "host_key"]
     chunks = with_history_chunks(with_row_index(rows, keys, ORDER), keep, max(chunk, keep))
     names = [*CARRIED, "bytes_out", "row_index", "x", "wanted", "is_history"]
     schema = chunks.select(*names).schema.add("median_x", "double").add("z", "double")
     flagged = chunks.select(*names, "host_key", "chunk").groupBy(*keys, "chunk").applyInPandas(
         lambda pdf: _robust_z(pdf[names].copy(), keep, min_history, z_threshold)[[*names, "median_x", "z"]], schema)
-    return anomaly_detection(
-        flagged, "ANOM-EGRESS-VOLUME", "Outbound transfer far above the host's norm",
-        F.format_string("%s sent %d bytes to %s, robust z %.1f against a median of %.0f bytes", "host", "bytes_out", "dst_ip", "z", F.expm1("median_x")),
-        F.least(F.lit(70.0), 35 + 6.0 * (F.col("z") - z_threshold)), F.lit("high"), ["T1048", "T1041"], "exfiltration", 0.8,
-        {"z_score": F.round("z", 2), "baseline_median_bytes": F.floor(F.expm1("median_x"))},
-    )
+    return anomaly_detection(flagged, egress_found(z_threshold))
 
 
 # --------------------------------------------------------------------------------------- processes
 def anomaly_rare_process(events: DataFrame, min_history: int = PROCESS_HISTORY, max_hosts: int = PROCESS_HOSTS) -> DataFrame:
     """A process new to a settled host and so far seen on at most ``max_hosts`` hosts."""
     starts = (
-        events.where((F.col("event_type") == "process_start") & filled(F.col("host")) & filled(F.col("process_name")))
+        events.where(is_start())
         .select(*CARRIED, "seq", "process_name", "parent_process_name", micros(F.col("timestamp")).alias("ts_us"),
                 F.upper("host").alias("host_key"), F.lower("process_name").alias("process_key"))
     )
@@ -194,13 +251,7 @@ def anomaly_rare_process(events: DataFrame, min_history: int = PROCESS_HISTORY,
     rare = firsts.withColumn("nth_host", F.row_number().over(spread)).where(F.col("nth_host") <= max_hosts + 1)
     settled = _nth_row(starts, ["tenant_id", "host_key"], min_history)
     rows = rare.join(settled, ["tenant_id", "host_key"]).where(F.struct(*ORDER) > F.col("nth_at")).withColumn("org_hosts", F.col("nth_host") - 1)
-    office = F.lower(F.coalesce("parent_process_name", F.lit(""))).isin(OFFICE_PARENTS)
-    return anomaly_detection(
-        rows, "ANOM-RARE-PROCESS", "Rare process is new on the host",
-        F.format_string("%s is new on %s and known on %d other hosts", "process_name", "host", "org_hosts"),
-        F.when(office, 35.0).otherwise(20.0), F.when(office, "medium").otherwise("low"), ["T1204"], "execution", 0.6,
-        {"org_hosts": F.col("org_hosts"), "parent": F.col("parent_process_name")},
-    )
+    return anomaly_detection(rows, rare_process_found())
 
 
 # --------------------------------------------------------------------------------------------- DNS
@@ -218,12 +269,7 @@ def _queries(events: DataFrame) -> DataFrame:
 
 def anomaly_dns_entropy(events: DataFrame) -> DataFrame:
     """Random-looking or very long first label of a name with three or more labels."""
-    return anomaly_detection(
-        _queries(events).where("odd_label"), "ANOM-DNS-ENTROPY", "Random-looking DNS label",
-        F.format_string("label %s has entropy %.2f and length %d", "label", "label_entropy", "label_length"),
-        F.lit(35.0), F.lit("medium"), ["T1071.004", "T1568.002"], "command_and_control", 0.7,
-        {"entropy": F.round("label_entropy", 2), "label_len": F.col("label_length")},
-    )
+    return anomaly_detection(_queries(events).where("odd_label"), odd_label_found())
 
 
 def anomaly_dns_burst(events: DataFrame, window_seconds: float = BURST_SECONDS, count: int = BURST_COUNT,
@@ -242,11 +288,7 @@ def anomaly_dns_burst(events: DataFrame, window_seconds: float = BURST_SECONDS,
         .where(~F.col("is_history") & (F.col("earliest") >= F.col("ts_us") - seconds(window_seconds)))
     )
     fired = cooldown(dense, keys, seconds(quiet_seconds) + 1, [*CARRIED])
-    return anomaly_detection(
-        fired, "ANOM-DNS-BURST", "Burst of DNS queries from one host",
-        F.format_string(f"at least {count} DNS queries in {window_seconds:g} s from %s", "host"),
-        F.lit(30.0), F.lit("medium"), ["T1071.004"], "command_and_control", 0.65, {"queries": F.lit(count)},
-    )
+    return anomaly_detection(fired, burst_found(window_seconds, count))
 
 
 def run_baselines(events: DataFrame) -> list[DataFrame]:
@@ -256,13 +298,12 @@ def run_baselines(events: DataFrame) -> list[DataFrame]:
 
 def baseline_snapshot(events: DataFrame) -> DataFrame:
     """How many users, hosts and processes have a baseline (keys first, so the distinct counts shuffle little)."""
-    kind = F.col("event_type")
     tagged = events.select(F.inline(F.array_compact(F.array(
-        F.when((kind == "authentication") & (F.col("action") == "login_success") & filled(F.col("user")),
+        F.when(is_login(),
                F.struct(F.lit("users_with_login_baseline").alias("baseline"), F.concat_ws("|", "tenant_id", F.lower("user")).alias("key"))),
-        F.when((kind == "network_connection") & (F.coalesce(F.col("bytes_out"), F.lit(0)) != 0) & filled(F.col("host")),
+        F.when(has_volume(),
                F.struct(F.lit("hosts_with_volume_baseline").alias("baseline"), F.concat_ws("|", "tenant_id", F.upper("host")).alias("key"))),
-        F.when((kind == "process_start") & filled(F.col("host")) & filled(F.col("process_name")),
+        F.when(is_start(),
                F.struct(F.lit("processes_known").alias("baseline"), F.concat_ws("|", "tenant_id", F.lower("process_name")).alias("key"))),
     ))))
     return tagged.groupBy("baseline", "key").agg(F.count(F.lit(1)).alias("rows")).groupBy("baseline").agg(F.count(F.lit(1)).alias("n"))

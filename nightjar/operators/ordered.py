@@ -12,7 +12,9 @@ import pickle
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -181,38 +183,124 @@ def fold_ordered(df: DataFrame, fold: Fold, order: list[str], blocks: int | None
     return laid.mapInArrow(_emit(fold, incoming), fold.schema)
 
 
-class Cooldown(Fold):
-    """Greedy suppression: keep a row when at least ``gap_us`` passed since the last kept row of its key."""
+# ---------------------------------------------------------------------------------------- greedy spacing
+LOWEST = -(1 << 62)  # a limit that every row reaches
 
-    def __init__(self, columns: list[str], schema: T.StructType, gap_us: int):
-        self.columns, self.schema, self.gap_us = columns, schema, gap_us
-        self.ts_at = columns.index("ts_us")
 
-    def start(self, key: str) -> list:
-        return [None]
+def _next_rows(at: np.ndarray, then: np.ndarray) -> np.ndarray:
+    """Of each row the next one to be kept, if it is kept."""
+    return np.maximum(np.searchsorted(at, then), np.arange(1, len(at) + 1))
 
-    def step(self, key: str, state: list, row: tuple) -> Iterable[dict]:
-        ts = row[self.ts_at]
-        if state[0] is not None and ts - state[0] < self.gap_us:
-            return ()
-        state[0] = ts
-        return (dict(zip(self.columns, row)),)
 
+def _pieces(at: np.ndarray, then: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How a block turns the limit it is given into the one it leaves, as a step function (bounds, values).
 
-def cooldown(df: DataFrame, keys: list[str], gap_us: int, keep: list[str], blocks: int | None = None) -> DataFrame:
-    """Rows that survive greedy suppression per key. Needs ``ts_us`` and ``seq``; returns ``keep`` columns.
+    A limit up to a bound, and above the one before, becomes that bound's value; one above all bounds stays. The last row
+    kept on the way from each row is found by doubling pointers.
+    """
+    n = len(at)
+    hop, last = np.append(_next_rows(at, then), n), np.arange(n + 1)
+    while (inside := np.flatnonzero(hop[:n] < n)).size:
+        to = hop[inside]
+        last[inside], hop[inside] = last[to], hop[to]
+    out = then[last[:n]]
+    ends = np.append(out[1:] != out[:-1], True)
+    return at[ends], out[ends]
+
+
+def _through(bounds: np.ndarray, values: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    place = np.searchsorted(bounds, limits)
+    return np.where(place < len(bounds), np.append(values, 0)[place], limits)
+
+
+def _block_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[tuple, list] = {}
+    for batch in batches:
+        place = np.asarray(batch.column("place"))
+        for p in np.unique(place):
+            own = batch.filter(pa.array(place == p))
+            held.setdefault((own.column("fold_key")[0].as_py(), int(p)), []).append([np.asarray(own.column(c)) for c in ("at", "then")])
+    for (key, place), parts in held.items():
+        bounds, values = _pieces(*[np.concatenate(c) for c in zip(*parts, strict=True)])
+        yield pa.RecordBatch.from_pydict({"fold_key": pa.array([key] * len(bounds)), "place": pa.array([place] * len(bounds), pa.int32()), "bound": bounds, "value": values})
+
+
+def _compose(later: pa.Table, earlier: pa.Table) -> pa.Table:
+    """The step function of a block after that of the blocks before it."""
+    if not earlier.num_rows or not later.num_rows:
+        return later
+    (b, v), (eb, ev) = ([np.asarray(t.sort_by("bound")[c]) for c in ("bound", "value")] for t in (later, earlier))
+    beyond = b > eb[-1]
+    bounds, values = np.concatenate([eb, b[beyond]]), np.concatenate([_through(b, v, ev), v[beyond]])
+    ends = np.append(values[1:] != values[:-1], True)
+    n = int(ends.sum())
+    return pa.table({"fold_key": pa.array([later["fold_key"][0].as_py()] * n), "place": pa.array([later["place"][0].as_py()] * n, pa.int32()), "bound": bounds[ends], "value": values[ends]})
+
+
+def _keep(columns: list[str]) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, limit = None, LOWEST
+        for batch in batches:
+            at, then, kept = np.asarray(batch.column("at")), np.asarray(batch.column("then")), []
+            marks, keys, given = np.asarray(batch.column(BLOCK)), batch.column("fold_key"), batch.column("limit")
+            ends = np.asarray(pc.run_end_encode(keys).run_ends)
+            cuts = np.unique(np.concatenate([[0], ends, np.flatnonzero(np.diff(marks)) + 1])) if len(marks) else np.array([0])
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if (name := (int(marks[a]), keys[int(a)].as_py())) != current:
+                    current, limit = name, given[int(a)].as_py()
+                    limit = LOWEST if limit is None else limit
+                if b - a == 1:
+                    rows = [0] if at[a] >= limit else []
+                else:
+                    following, rows, i = _next_rows(at[a:b], then[a:b]), [], int(np.searchsorted(at[a:b], limit))
+                    while i < b - a:
+                        rows.append(i)
+                        i = int(following[i])
+                if rows:
+                    kept += [int(a) + r for r in rows]
+                    limit = int(then[a + rows[-1]])
+            if kept:
+                yield batch.take(pa.array(kept)).select(columns)
 
-    Rows of a key with the same time cannot both fire, so only the first arrival per (key, time) is folded.
+    return run
+
+
+def keep_spaced(df: DataFrame, order: list[str], blocks: int | None = None) -> DataFrame:
+    """Rows of each ``fold_key`` that a greedy walk keeps: a row with ``at`` of at least the limit, which then is its ``then``.
+
+    ``at`` and ``then`` must not fall in ``order`` inside a key. A block of a key is a step function from limit to limit;
+    the functions of all its blocks are composed by doubling, so a key over many blocks takes as many rounds as its number
+    of blocks has binary digits. Functions and limits stay in tables; the driver learns the longest run of blocks.
     """
+    columns = [c for c in df.columns if c not in ("at", "then")]
+    laid = order_blocks(df, ["fold_key"], order, blocks)
+    along = Window.orderBy(BLOCK)  # one row per block
+    spans = laid.groupBy(BLOCK).agg(F.min("fold_key").alias("lo"), F.max("fold_key").alias("hi"))
+    crossing = spans.select(BLOCK, F.col("hi").alias("fold_key"), F.lead("lo").over(along).alias("next_key"), F.lead(BLOCK).over(along).alias("into")).where("fold_key = next_key")
+    crossing = materialize(crossing.select(BLOCK, "fold_key", "into", (F.row_number().over(Window.partitionBy("fold_key").orderBy(BLOCK)) - 1).alias("place")))
+    longest = crossing.agg(F.max("place").alias("n")).first()["n"]
+    if longest is None:
+        limited = laid.withColumn("limit", F.lit(None).cast("long"))
+    else:
+        shape = "fold_key string, place int, bound long, value long"
+        pieces = materialize(laid.join(F.broadcast(crossing), [BLOCK, "fold_key"]).select("fold_key", "place", "at", "then").mapInArrow(_block_pieces, shape))
+        step = 1
+        while step <= longest:
+            before = pieces.where(F.col("place") + step <= longest).withColumn("place", F.col("place") + step)
+            by = ["fold_key", "place"]
+            pieces = materialize(pieces.groupBy(*by).cogroup(before.groupBy(*by)).applyInArrow(_compose, shape))
+            step *= 2
+        first = pieces.groupBy("fold_key", "place").agg(F.min_by("value", "bound").alias("limit"))  # what the lowest limit becomes
+        limits = crossing.join(first, ["fold_key", "place"]).select(F.col("into").alias(BLOCK), "fold_key", "limit")
+        limited = laid.join(F.broadcast(limits), [BLOCK, "fold_key"], "left")
+    return limited.mapInArrow(_keep(columns), df.select(*columns).schema)
+
+
+def cooldown(df: DataFrame, keys: list[str], gap_us: int, keep: list[str], blocks: int | None = None) -> DataFrame:
+    """Greedy suppression: rows at least ``gap_us`` after the last kept row of their key. Needs ``ts_us`` and ``seq``; returns ``keep``."""
     if gap_us <= 0:
         return df.select(*keep)
     columns = list(dict.fromkeys([*keep, "ts_us", "seq"]))
     key = F.to_json(F.array(*[F.coalesce(F.col(k).cast("string"), F.lit("\u0000")) for k in keys]))
-    first = (
-        df.select(key.alias("fold_key"), *columns)
-        .groupBy("fold_key", "ts_us")
-        .agg(F.min_by(F.struct(*columns), F.col("seq")).alias("row"))
-        .select("fold_key", "row.*")
-    )
-    fold = Cooldown(columns, T.StructType([first.schema[c] for c in columns]), gap_us)
-    return fold_ordered(first, fold, ["ts_us", "seq"], blocks).select(*keep)
+    rows = df.select(key.alias("fold_key"), *columns, F.col("ts_us").alias("at"), (F.col("ts_us") + gap_us).alias("then"))
+    return keep_spaced(rows, ["ts_us", "seq"], blocks).select(*keep)

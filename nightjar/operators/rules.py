@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from nightjar.functions.conditions import ConditionCompiler, fields_of, with_raw_fields
-from nightjar.operators.ordered import Fold, fold_ordered
+from nightjar.operators.ordered import Fold, fold_ordered, keep_spaced
 from nightjar.schema import DEFAULT_SCORE, DETECTION_COLUMNS, S, digest_id, micros, seconds
 from nightjar.session import materialize
 
@@ -289,12 +289,34 @@ def detections_from_fires(fires: DataFrame, rules: list[RuleSpec]) -> DataFrame:
     )
 
 
+def match_fires(hits: DataFrame, rules: list[RuleSpec], blocks: int | None = None) -> DataFrame:
+    """Fires of the match rules among keyed hits: rows that their rule's cooldown leaves."""
+    by_gap: dict[int, list[int]] = {}
+    for i, r in enumerate(rules):
+        by_gap.setdefault(seconds(r.cooldown_seconds), []).append(i)
+    gap = F.lit(0)
+    for us, idx in by_gap.items():
+        gap = F.when(F.col("rule_idx").isin(idx), us).otherwise(gap)
+    spaced = hits.select("fold_key", "ts_us", "seq", "rule_idx", "payload", F.col("ts_us").alias("at"), (F.col("ts_us") + gap).alias("then"))
+    kept = keep_spaced(spaced, ["ts_us", "seq"], blocks)
+    return kept.select("rule_idx", F.split("fold_key", r"\|", 3)[2].alias("group_key"), "ts_us", "seq", F.lit(None).cast("int").alias("n"),
+                       F.lit(None).cast("string").alias("followed_by"), F.array("payload").alias("evidence"))
+
+
 def run_rules(events: DataFrame, rules: list[RuleSpec], max_chars: int | None = None, blocks: int | None = None) -> DataFrame:
-    """Detections of a rule pack: one scan, one range shuffle of the hits, one ordered fold."""
+    """Detections of a rule pack: one scan; match rules by greedy spacing, rules with windows or steps by one ordered fold."""
     active = enabled_rules(rules)
     # range partitioning samples its input: keep the hits, so that the conditions run once per event
     hits = materialize(keyed_hits(scan_conditions(events, active, max_chars), active))
-    fires = fold_ordered(hits, RuleFold(active), ["ts_us", "seq"], blocks)
+    plain = [i for i, r in enumerate(active) if r.kind == "match"]
+    parts = []
+    if plain:
+        parts.append(match_fires(hits.where(F.col("rule_idx").isin(plain)), active, blocks))
+    if len(plain) < len(active):
+        parts.append(fold_ordered(hits.where(~F.col("rule_idx").isin(plain)), RuleFold(active), ["ts_us", "seq"], blocks))
+    if not parts:
+        parts.append(hits.sparkSession.createDataFrame([], RuleFold.schema))
+    fires = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return detections_from_fires(fires, active)
 
 

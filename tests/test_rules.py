@@ -1,10 +1,13 @@
 import random
 from collections import deque
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import event, frame
 from pyspark.sql import functions as F
 
+from nightjar.operators import ordered as O
 from nightjar.operators.ordered import cooldown, with_row_index
 from nightjar.operators.rules import RuleSpec, run_rules
 from nightjar.plans.rulepack import RULES
@@ -140,3 +143,43 @@ def test_row_index_spans_blocks(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("o"))
     got = with_row_index(df, ["k"], ["o"]).where(F.col("row_index") != F.floor(F.col("o") / 3))
     assert got.count() == 0
+
+
+@pytest.mark.parametrize("blocks", [1, 7, 64])
+def test_greedy_spacing_of_a_key_over_many_blocks(spark, blocks):
+    """One key over all blocks, some small keys, ties and a quiet gap: the walk of a single task."""
+    rng = random.Random(5)
+    rows, ts = [], 0
+    for i in range(900):
+        ts += rng.choice([0, 1, 3, 10]) if i != 400 else 5_000
+        rows.append(("hot", ts, i))
+    rows += [(f"k{i % 37}", rng.randrange(300), 1_000 + i) for i in range(200)]
+    for gap in (1, 25, 400, 10**6):
+        want, last = set(), {}
+        for key, at, seq in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+            if key not in last or at - last[key] >= gap:
+                last[key] = at
+                want.add(seq)
+        frame = spark.createDataFrame(rows, "user string, ts_us long, seq long").repartition(5)
+        got = [r["seq"] for r in cooldown(frame, ["user"], gap, ["seq"], blocks).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_step_functions_compose_like_the_walk():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        at = np.sort(rng.integers(0, 60, 12))
+        then = np.maximum.accumulate(at + rng.integers(0, 30, 12))
+        cut = int(rng.integers(1, 11))
+
+        def walk(a, t, limit):
+            for x, y in zip(a, t, strict=True):
+                limit = y if x >= limit else limit
+            return limit
+
+        parts = [O._pieces(at[:cut], then[:cut]), O._pieces(at[cut:], then[cut:])]
+        table = [pa.table({"fold_key": ["k"] * len(b), "place": pa.array([1] * len(b), pa.int32()), "bound": b, "value": v}) for b, v in parts]
+        both = O._compose(table[1], table[0])
+        for limit in range(-2, 100, 3):
+            assert O._through(*parts[0], np.array([limit]))[0] == walk(at[:cut], then[:cut], limit)
+            assert O._through(np.asarray(both["bound"]), np.asarray(both["value"]), np.array([limit]))[0] == walk(at, then, limit)
