@@ -24,10 +24,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from nightjar.llm.common import written
-from nightjar.llm.words import slices, word_codes
+from nightjar.llm.words import word_codes
 
 ORDER = 2
 FOLD = 16  # one text in so many (by its content, so that exact copies stay together) is held out to learn the weights
+SLICE_BYTES = 5_000_000  # of text per slice; a longer text is a slice of its own
 PART_ENTRIES = 2_000_000  # keys of all slices that one task adds up
 ROUNDS, CHANGE = 40, 1e-3  # expectation-maximisation ends when no weight moves by more
 BUCKETS = 64  # powers of two per context length
@@ -108,7 +109,9 @@ def slice_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of ``SLICES``: token numbers, word list, lengths and roles of the texts of each slice."""
     n, task = 0, TaskContext.get().partitionId()
     for batch in batches:
-        for part in slices(batch, "text"):
+        sizes = np.cumsum(np.asarray(pc.binary_length(batch.column("text")), dtype=np.int64))
+        cuts = [0, *(np.flatnonzero(np.diff(sizes // SLICE_BYTES)) + 1).tolist(), batch.num_rows]
+        for part in (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False) if a < b):
             codes, offsets, words = word_codes(pc.ascii_lower(pc.fill_null(part.column("text"), "")))
             lengths = np.diff(offsets) + 1
             tokens = np.full(int(lengths.sum()), len(words), dtype=np.int32)

@@ -101,6 +101,7 @@ def training(key="doc_id"):
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_scores_against_the_definition(spark, monkeypatch, order):
     monkeypatch.setattr(lm_scoring, "PART_ENTRIES", 500)
+    monkeypatch.setattr(lm_scoring, "SLICE_BYTES", 900)
     rng = np.random.default_rng(13)
     words = [f"W{i}" for i in range(40)]
     rows = []
