@@ -28,7 +28,7 @@ from nightjar.llm.words import word_codes
 
 ORDER = 2
 FOLD = 16  # one text in so many (by its content, so that exact copies stay together) is held out to learn the weights
-SLICE_BYTES = 5_000_000  # of text per slice; a longer text is a slice of its own
+SLICE_BYTES = 8_000_000  # of text per slice; a longer text is a slice of its own
 PART_ENTRIES = 2_000_000  # keys of all slices that one task adds up
 ROUNDS, CHANGE = 40, 1e-3  # expectation-maximisation ends when no weight moves by more
 BUCKETS = 64  # powers of two per context length
