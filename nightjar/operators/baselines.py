@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from nightjar.functions.net import is_private_ip
 from nightjar.functions.text import shannon_entropy
 from nightjar.operators.ordered import block_window, cooldown, order_blocks, with_carry, with_history_chunks, with_row_index
+from nightjar.operators.sliding import SlidingMedian
 from nightjar.schema import digest_id, filled, micros, seconds
 
 # --- fixed values -------------------------------------------------------------------------------
@@ -191,18 +192,12 @@ def anomaly_first_seen_location(events: DataFrame, min_history: int = LOCATION_H
 def _robust_z(batch: pd.DataFrame, keep: int, need: int, floor: float) -> pd.DataFrame:
     """Median/MAD z-score of each wanted row against the rows before it in the chunk."""
     batch = batch.sort_values("row_index", kind="stable")
-    x = batch["x"].to_numpy()
-    index = batch["row_index"].to_numpy()
-    wanted = np.flatnonzero(batch["wanted"].to_numpy() & ~batch["is_history"].to_numpy() & (index >= need))
-    med = np.full(len(x), np.nan)
-    z = np.full(len(x), np.nan)
-    for i in wanted:
-        past = x[max(0, i - keep):i]
-        m = np.median(past)
-        if x[i] <= m:
-            continue
-        mad = float(np.median(np.abs(past - m))) or MAD_FLOOR
-        med[i], z[i] = m, Z_SCALE * (x[i] - m) / mad
+    wanted = batch["wanted"].to_numpy() & ~batch["is_history"].to_numpy() & (batch["row_index"].to_numpy() >= need)
+    med, z, past = np.full(len(batch), np.nan), np.full(len(batch), np.nan), SlidingMedian(keep)
+    for i, (x, asked) in enumerate(zip(batch["x"].tolist(), wanted.tolist(), strict=True)):
+        if asked and x > (m := past.median()):
+            med[i], z[i] = m, Z_SCALE * (x - m) / (past.deviation(m) or MAD_FLOOR)
+        past.push(x)
     batch["median_x"], batch["z"] = med, z
     return batch[batch["z"] >= floor]
 
@@ -223,7 +218,7 @@ def anomaly_egress_volume(events: DataFrame, min_history: int = VOLUME_HISTORY,
     """Public transfers far above the host's last ``keep`` transfers (log bytes, median and MAD).
 
     Sanctioned cloud domains feed the history but never fire. The exact moving MAD has no built-in window, so
-    bounded chunks (each with its history) go to a grouped map.
+    bounded chunks (each with its history) go to a grouped map over a sorted window.
     """
     rows = events.where(has_volume()).select(
         *CARRIED, "seq", micros(F.col("timestamp")).alias("ts_us"), "bytes_out", F.upper("host").alias("host_key"),

@@ -25,12 +25,15 @@ def kind_weight(kind: Column) -> Column:
     return out
 
 
+def deposit_amount() -> Column:
+    return F.col("score") * kind_weight(F.col("kind")) * (0.6 + 0.4 * F.col("confidence"))
+
+
 def ledger_deposits(detections: DataFrame) -> DataFrame:
     """One deposit per detection and touched user or host; repeated detection ids count once."""
     once = detections.dropDuplicates(["detection_id"])
     keys = detection_entity_keys(once).where(F.col("entity").startswith("user:") | F.col("entity").startswith("host:"))
-    amount = F.col("score") * kind_weight(F.col("kind")) * (0.6 + 0.4 * F.col("confidence"))
-    values = once.select("detection_id", "rule_id", amount.alias("amount"))
+    values = once.select("detection_id", "rule_id", deposit_amount().alias("amount"))
     return keys.join(values, "detection_id").select("tenant_id", "entity", "detection_id", "rule_id", "timestamp", micros(F.col("timestamp")).alias("ts_us"), "amount")
 
 

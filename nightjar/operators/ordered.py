@@ -102,6 +102,10 @@ class Fold:
     def step(self, key: str, state: Any, row: tuple) -> Iterable[dict]:
         raise NotImplementedError
 
+    def memory(self, key: str) -> int | None:
+        """A pause of more than so many microseconds (``ts_us``, the first column) leaves nothing of the state; None if no pause does."""
+        return None
+
     def horizon(self, key: str, state: Any) -> int | None:
         """Last time (microseconds) at which a row could still see this state; None if it always can."""
         return None
@@ -113,19 +117,26 @@ def _rows(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple
 
 
 def _final_states(fold: Fold, incoming: dict[int, bytes]) -> Callable:
+    """The state that each block leaves, and whether it is settled: a quiet gap inside makes it independent of the blocks before."""
     names = [BLOCK, "fold_key", *fold.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         states: dict[int, Any] = {}
+        last: dict[int, int] = {}
+        settled: dict[int, bool] = {}
         for block, key, *row in _rows(batches, names):
             if block not in states:
                 states[block] = pickle.loads(incoming[block][1]) if block in incoming and incoming[block][0] == key else fold.start(key)
+                settled[block], pause = False, fold.memory(key)
+            elif pause is not None and row[0] - last[block] > pause:
+                states[block], settled[block] = fold.start(key), True
+            last[block] = row[0]
             for _ in fold.step(key, states[block], row):
                 pass
         if states:
             yield pa.RecordBatch.from_pydict({
                 BLOCK: pa.array(list(states), pa.int32()),
-                "state": pa.array([pickle.dumps(s) for s in states.values()], pa.binary()),
+                "state": pa.array([pickle.dumps(s) for s in states.values()], pa.binary()), "settled": pa.array([settled[b] for b in states]),
             })
 
     return run
@@ -156,7 +167,8 @@ def fold_ordered(df: DataFrame, fold: Fold, order: list[str], blocks: int | None
 
     Blocks fold in parallel from a guessed incoming state. The state left at a border is handed to the next
     block of the same key and only blocks whose incoming state changed fold again, until nothing changes; the
-    last pass emits. Only border states (one per block at most) reach the driver.
+    last pass emits. A block with a pause longer than the fold's memory leaves a settled state, so rounds are needed only
+    along unbroken runs of blocks. Only border states (one per block at most) reach the driver.
     """
     laid = order_blocks(df.select("fold_key", *fold.columns), ["fold_key"], order, blocks)
     spark = df.sparkSession
@@ -168,18 +180,20 @@ def fold_ordered(df: DataFrame, fold: Fold, order: list[str], blocks: int | None
     shared = {block: hi for block, _, hi in spans if block in following}
     whole = {block for block, lo, hi in spans if lo == hi}
     incoming: dict[int, tuple[str, bytes]] = {}
+    settled: set[int] = set()
     targets = shared
     while targets:
         picks = spark.createDataFrame(list(targets.items()), f"{BLOCK} int, fold_key string")
         part = laid.join(F.broadcast(picks), [BLOCK, "fold_key"], "left_semi")
-        ends = part.mapInArrow(_final_states(fold, incoming), f"{BLOCK} int, state binary").collect()
+        ends = part.mapInArrow(_final_states(fold, incoming), f"{BLOCK} int, state binary, settled boolean").collect()
         changed = set()
+        settled |= {end[BLOCK] for end in ends if end["settled"]}
         for end in ends:
             target, arriving = following[end[BLOCK]], (shared[end[BLOCK]], bytes(end["state"]))
             if incoming.get(target) != arriving:
                 incoming[target] = arriving
                 changed.add(target)
-        targets = {b: k for b, k in shared.items() if b in changed and b in whole}
+        targets = {b: k for b, k in shared.items() if b in changed and b in whole and b not in settled}
     return laid.mapInArrow(_emit(fold, incoming), fold.schema)
 
 

@@ -192,6 +192,11 @@ class RuleFold(Fold):
         return [{"rule_idx": row[2], "group_key": key.split("|", 2)[2], "ts_us": row[0], "seq": row[1], "n": n,
                  "followed_by": followed_by, "evidence": [i[-1] for i in items]} for items, n, followed_by in fired]
 
+    def memory(self, key: str) -> int | None:
+        """Windows, open sequences and cooldowns have lapsed; an armed rule stays armed until the next row that it waits for."""
+        rule = self.rules[int(key.split("|", 1)[0])]
+        return None if rule["then"] else max(rule["window"], rule["gap"])
+
     def horizon(self, key: str, state: dict) -> int:
         rule = self.rules[int(key.split("|", 1)[0])]
         ends = [0] if state["last"] is None else [state["last"] + rule["gap"]]

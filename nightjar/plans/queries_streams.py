@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from nightjar.operators.events import fingerprint
-from nightjar.plans.adapter import telemetry
+from nightjar.plans.adapter import sample_detections, telemetry
 from nightjar.plans.queries_detect import BRUTE_FORCE, DAY, DISTINCT_RULE, MATCH_RULE, SEQUENCE_RULE, THRESHOLD_RULE, _flat
 from nightjar.plans.queries_events import FINGERPRINT_SQL
 from nightjar.plans.queries_ingest import vendor_records
@@ -139,3 +139,17 @@ register("stream_late_rows", late_stream, f"""
 WITH told AS (SELECT *, {_ARRIVAL} + CASE WHEN seq % 10 = 0 THEN 2 ELSE 0 END AS batch, ts_us // 3600000000 * 3600000000 AS start_us FROM ev),
 marks AS (SELECT b.batch, (SELECT max(ts_us) // 1000 * 1000 FROM told t WHERE t.batch < b.batch - 1) - {seconds(LATE_DAYS * DAY)} AS mark FROM (SELECT DISTINCT batch FROM told) b)
 SELECT tenant_id, source, start_us, count(*) AS n FROM told JOIN marks USING (batch) WHERE mark IS NULL OR start_us + 3600000000 > mark GROUP BY ALL""", "ev")
+
+
+def ledger_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections in three arrival batches, every fifth delivered twice, through the keyed balances."""
+    dets, path, balances = sample_detections(spark, sf_dir), folder(spark, "detections"), folder(spark, "balances")
+    for n in range(3):
+        own = dets.where(arrival_batch() == n)
+        again = dets.where((arrival_batch() == n - 1) & (F.crc32(F.col("detection_id")) % 5 == 0))
+        own.unionByName(again).coalesce(1).write.mode("append").parquet(path)
+    J.stream_ledger(spark.readStream.schema(dets.schema).option("maxFilesPerTrigger", 1).parquet(path), balances, folder(spark, "checkpoint"), once=True).awaitTermination()
+    return J.current_balances(spark, balances).select("tenant_id", "entity", F.round("balance", 6).alias("balance"), "deposits")
+
+
+register("stream_ledger", ledger_stream, CHECKS["ledger_balance"])

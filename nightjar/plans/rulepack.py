@@ -37,7 +37,6 @@ DROPPERS = ["winword.exe", "excel.exe", "outlook.exe", "powerpnt.exe", "chrome.e
 RECON_TOOLS = ["whoami.exe", "systeminfo.exe", "nltest.exe", "ipconfig.exe", "arp.exe", "nslookup.exe", "tasklist.exe",
                "quser.exe", "qwinsta.exe", "netstat.exe", "dsquery.exe", "adfind.exe", "route.exe", "hostname.exe",
                "net.exe", "net1.exe", "reg.exe", "wmic.exe"]
-LISTING_TOOLS = ["tasklist.exe", "findstr.exe", "tree.com", "where.exe", "fsutil.exe", "cmdkey.exe"]
 TEMP_ALLOWED = ["msiexec.exe", "setup.exe", "chrome.exe", "msedge.exe", "teams.exe", "update.exe"]
 PROTECTION_SERVICES = ["WinDefend", "Sense", "MsMpSvc", "wscsvc", "CrowdStrike", "SentinelAgent"]
 LSASS_READERS = ["wmiprvse.exe", "msmpeng.exe", "mssense.exe", "sensendr.exe", "csfalconservice.exe", "csfalcon.exe",
@@ -97,8 +96,26 @@ REMOTE_RUNS = [_command("psexec", "paexec", "enter-pssession", "new-pssession"),
 NET_LISTS = {"event_type": "process_start", "command_line": {"startswith": [
     f"{tool}{end} {what}" for tool in ("net", "net1") for end in ("", ".exe") for what in ("user", "group", "localgroup", "view", "share", "accounts")]}}
 PAYLOADS = ["powershell", "pwsh", "cmd.exe", "cmd /c", "mshta", "rundll32", "regsvr32", "wscript", "cscript", ".ps1", ".vbs", ".js", ".bat", "\\temp\\", "appdata"]
-KEY_FILES = ["id_rsa", "id_ed25519", "id_ecdsa", ".kdbx", "\\login data", "\\cookies"]
-CLOUD_SECRETS = [".aws\\credentials", ".aws/credentials", ".azure\\", ".kube\\config", ".kube/config", ".gnupg"]
+# Procedures of the discovery techniques, as their public pages describe them.
+SURVEYS = {
+    "T1083": ["dir /s", "dir /a", "tree /f", "forfiles", "where /r", "get-childitem -recurse", "gci -r", "find / ", "ls -lr", "locate "],
+    "T1057": ["tasklist", "qprocess", "get-process", "wmic process", "win32_process", "ps aux", "ps -ef"],
+    "T1082": ["systeminfo", "msinfo32", "get-computerinfo", "wmic os ", "win32_operatingsystem", "uname -a", "sw_vers", "lscpu"],
+    "T1518": ["wmic product", "win32_product", "get-package", "currentversion\\uninstall", "dpkg -l", "rpm -qa", "apt list"],
+}
+# Files in which programs keep secrets, by what reads them.
+SECRET_FILES = {
+    "shell": ["id_rsa", "id_dsa", "id_ed25519", ".pem", ".ppk"],
+    "vault": [".kdbx", ".psafe3", ".opvault"],
+    "browser": ["logins.json", "key4.db", "login data"],
+    "client": [".netrc", ".pgpass", ".git-credentials", ".my.cnf", ".rdp"],
+    "deployment": ["unattend.xml", "groups.xml", "web.config", "wp-config.php", ".env"],
+}
+SECRET_FOLDERS = [f"{side}{name}{side}" for name in (".ssh", ".aws", ".azure", ".kube", ".docker", ".gnupg", "gcloud") for side in ("/", "\\")]
+SEARCHES, SEARCHED = ["findstr", "grep", "select-string", "reg query"], ["passw", "pwd", "credential", "secret", "api_key", "token"]
+# Archiving utilities with the switches that pack a tree or lock the result.
+ARCHIVERS = {"7z": [" a "], "rar": [" a "], "winzip": [" -a", " -s"], "zip": [" -r", " -e", " -p"], "tar": [" -c", " c"], "makecab": [" /f", " /d"],
+             "compress-archive": [" -path", " -literalpath"]}
 
 LOGIN = {"event_type": "authentication", "action": "login_success"}
 FAILURE = {"event_type": "authentication", "action": "login_failure"}
@@ -125,15 +142,10 @@ INJECTION_AND_COVERAGE = [
           where={"event_type": "scheduled_task", "action": "created"}),
     _rule("DISC-002", "Run of file and process listings", "low", 25, 0.8, "discovery", ["T1083", "T1057", "T1082", "T1518"],
           kind="threshold", window_seconds=300, count_gte=4, distinct="command_line", cooldown_seconds=1800,
-          where={**START, "any_of": [
-              {"process_name": {"in": LISTING_TOOLS}},
-              _command("get-childitem", "gci ", "get-process", "get-service", "get-hotfix", "get-package", "win32_product", "dir /", "tree ", "tasklist", "cmdkey /list"),
-              {"command_line": {"startswith": [f"cmd{e} /c {v}" for e in ("", ".exe") for v in ("dir", "type", "findstr", "where", "whoami", "set")]}}]}),
+          where={"any_of": [_command(*words) for words in SURVEYS.values()]}),
     _rule("CRED-005", "Stored credentials searched or opened", "medium", 40, 0.75, "credential_access", ["T1552.001"],
           where={"event_type": {"in": ["file_read", "file_create", "process_start"]}, "any_of": [
-              _ending(*KEY_FILES, ".rdp"), _path(*CLOUD_SECRETS, ".ssh\\", "unattend.xml", "sysprep.inf", "vnc.ini"),
-              _in_order(["findstr", "select-string"], ["password", "passwd", "pwd"]), _in_order(["reg query", "reg.exe query"], ["password"]),
-              _in_order(["dir "], ["*password*", "*cred*"])]}),
+              *[_ending(*names) for names in SECRET_FILES.values()], _path(*SECRET_FOLDERS), _in_order(SEARCHES, SEARCHED)]}),
 ]
 
 AUTHENTICATION = [
@@ -191,10 +203,7 @@ DATA_MOVEMENT = [
     _rule("COLL-001", "Large archive written", "medium", 40, 0.8, "collection", ["T1560.001", "T1074.001"],
           where={"event_type": "file_create", **_ending(*ARCHIVES, ".tgz", ".cab"), "file_size": {"gte": 20_000_000}}),
     _rule("COLL-002", "Archiver with password or recursion", "medium", 40, 0.85, "collection", ["T1560.001"],
-          where={**START, "any_of": [
-              {"process_name": {"in": ["7z.exe", "7za.exe", "rar.exe", "winrar.exe"]}, "command_line": {"contains": [" -p", " -hp", " -r", " -m"]}},
-              _in_order(["compress-archive"], ["destinationpath"], ["temp", "public", "appdata"]),
-              {"process_name": "tar", "command_line": {"contains": ["/tmp/", "/dev/shm/"]}}]}),
+          where={"any_of": [_in_order([tool], switches) for tool, switches in ARCHIVERS.items()]}),
     _rule("COLL-003", "Mass reads on sensitive shares", "medium", 35, 0.8, "collection", ["T1039", "T1005"],
           kind="threshold", group_by=["user"], window_seconds=300, count_gte=200, cooldown_seconds=1800,
           where={"event_type": "file_read", "any_of": [
@@ -222,7 +231,7 @@ DATA_MOVEMENT = [
           where={"event_type": "file_create", **_path(*NOTES, *[f"decrypt{s}instructions" for s in ("_", "-", " ", "")], "!!!read", "!!!_read", "!!! read")}),
     _rule("FILE-003", "Credential file read", "high", 45, 0.85, "credential_access", ["T1552.001", "T1555.003", "T1552.004"],
           where={"event_type": "file_read", "any_of": [
-              _ending(*KEY_FILES, "/etc/shadow", *[f"{w}.{e}" for w in ("password", "passwords") for e in ("txt", "xlsx", "docx")]), _path(*CLOUD_SECRETS)]}),
+              *[_ending(*names) for names in SECRET_FILES.values()], _path(*SECRET_FOLDERS), _ending("/etc/shadow"), _path("password")]}),
     _rule("FILE-004", "Office or browser wrote a program", "high", 45, 0.85, "initial_access", ["T1566.001", "T1204.002"],
           where={"event_type": "file_create", "process_name": {"in": DROPPERS}, **_ending(".exe", ".dll", ".ps1", ".vbs", ".js", ".hta", ".scr", ".bat", ".cmd", ".lnk")}),
     _rule("DNS-001", "Dynamic-DNS or tunnel provider", "medium", 35, 0.8, "command_and_control", ["T1071.004", "T1568"],

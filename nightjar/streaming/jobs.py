@@ -241,41 +241,74 @@ def stream_correlate(detections: DataFrame, table: str, incidents: str, checkpoi
 
 BALANCE_LOG = T.StructType([
     T.StructField("tenant_id", S), T.StructField("entity", S), T.StructField("balance", T.DoubleType()), T.StructField("deposits", T.LongType()),
-    T.StructField("updated", T.TimestampType()), T.StructField("at_us", T.LongType())])
+    T.StructField("updated_us", T.LongType()), T.StructField("at_us", T.LongType())])
+REMEMBER_DAYS = 60
+DAY_US = 86_400_000_000
 
 
-def current_balances(spark: SparkSession, balances: str, before: int | None = None) -> DataFrame:
+class LedgerProcessor(StatefulProcessor):
+    """Balance of one entity, decayed only when it is touched, and the detections that it has counted, by their day.
+
+    A batch reads and writes the state of the entities and days that it touches, and nothing else. Days older than
+    ``remember_days`` before the newest detection of the entity are forgotten; a detection older than that is not counted
+    (by then next to nothing of it is left). Time is that of the detections, so a replay gives the same balances.
+    """
+
+    def __init__(self, half_life_hours: float, remember_days: int):
+        self.unit, self.remember_days = half_life_hours * 3_600_000_000.0, remember_days
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.balance = handle.getValueState("balance", "balance double, deposits bigint, updated_us bigint, at_us bigint, first_day bigint")
+        self.counted = handle.getMapState("counted", "day bigint", "ids binary")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802 - Spark API
+        balance, deposits, updated, at, first_day = self.balance.get() if self.balance.exists() else (0.0, 0, 0, None, None)
+        before, days = deposits, {}
+        for row in rows:
+            day = row["ts_us"] // DAY_US
+            if at is not None and day < at // DAY_US - self.remember_days:
+                continue
+            if day not in days:
+                days[day] = pickle.loads(bytes(self.counted.getValue((day,))[0])) if self.counted.containsKey((day,)) else set()
+            if row["detection_id"] in days[day]:
+                continue
+            days[day].add(row["detection_id"])
+            now = row["ts_us"] if at is None else max(at, row["ts_us"])
+            balance = balance * 0.5 ** ((now - (now if at is None else at)) / self.unit) + row["amount"] * 0.5 ** ((now - row["ts_us"]) / self.unit)
+            at, deposits, updated, first_day = now, deposits + 1, max(updated, row["ts_us"]), day if first_day is None else min(first_day, day)
+        if deposits > before:
+            for day, ids in days.items():
+                self.counted.updateValue((day,), (pickle.dumps(ids),))
+            while first_day < at // DAY_US - self.remember_days:
+                self.counted.removeKey((first_day,))
+                first_day += 1
+            self.balance.update((balance, deposits, updated, at, first_day))
+            yield Row(tenant_id=key[0], entity=key[1], balance=balance, deposits=deposits, updated_us=updated, at_us=at)
+
+    def close(self) -> None:
+        pass
+
+
+def ledger_rows(detections: DataFrame, half_life_hours: float = L.HALF_LIFE_HOURS, remember_days: int = REMEMBER_DAYS) -> DataFrame:
+    """The new balance of every entity that a batch of detections touches; a detection counts once, whichever batch it came in."""
+    use_rocksdb(detections.sparkSession)
+    keys = F.explode(C.entity_keys(F.col("entities"))).alias("entity")
+    rows = detections.select("tenant_id", "detection_id", F.unix_micros("timestamp").alias("ts_us"), L.deposit_amount().alias("amount"), keys)
+    rows = rows.where(F.col("entity").startswith("user:") | F.col("entity").startswith("host:"))
+    return rows.groupBy("tenant_id", "entity").transformWithState(LedgerProcessor(half_life_hours, remember_days), BALANCE_LOG, "Update", "None")
+
+
+def current_balances(spark: SparkSession, balances: str, half_life_hours: float = L.HALF_LIFE_HOURS) -> DataFrame:
     """The newest balance of each entity, decayed to the newest deposit of all."""
-    rows = _latest(log_of(spark, balances, BALANCE_LOG, before), "tenant_id", "entity").drop("batch")
+    rows = _latest(log_of(spark, balances, BALANCE_LOG), "tenant_id", "entity").drop("batch")
     now = rows.agg(F.max("at_us")).first()[0] or 0
-    return rows.withColumn("balance", F.col("balance") * L.decay(F.lit(now) - F.col("at_us"), L.HALF_LIFE_HOURS)).withColumn("at_us", F.lit(now))
-
-
-def ledger_batch(deposits: DataFrame, batch_id: int, deposits_table: str, balances: str) -> None:
-    """Add one batch of deposits to the balances of the entities it touches; a detection counts once, whichever batch it came in."""
-    spark = deposits.sparkSession
-    seen = log_of(spark, deposits_table, T.StructType(deposits.schema.fields), batch_id).select("tenant_id", "entity", "detection_id").distinct()
-    fresh = materialize(deposits.dropDuplicates(["tenant_id", "entity", "detection_id"]).join(seen, ["tenant_id", "entity", "detection_id"], "left_anti"))
-    before = _latest(log_of(spark, balances, BALANCE_LOG, batch_id), "tenant_id", "entity").drop("batch")
-    touched = fresh.groupBy("tenant_id", "entity").agg(F.max("ts_us").alias("newest"))
-    at = touched.join(before.select("tenant_id", "entity", "at_us"), ["tenant_id", "entity"], "left").select(
-        "tenant_id", "entity", F.greatest("newest", F.coalesce("at_us", F.lit(0))).alias("now"))
-    parts = fresh.join(at, ["tenant_id", "entity"]).select(
-        "tenant_id", "entity", "now", (F.col("amount") * L.decay(F.col("now") - F.col("ts_us"), L.HALF_LIFE_HOURS)).alias("balance"), F.lit(1).cast("long").alias("deposits"), F.col("timestamp").alias("updated"))
-    held = before.join(at, ["tenant_id", "entity"]).select(
-        "tenant_id", "entity", "now", (F.col("balance") * L.decay(F.col("now") - F.col("at_us"), L.HALF_LIFE_HOURS)).alias("balance"), "deposits", "updated")
-    total = parts.unionByName(held).groupBy("tenant_id", "entity").agg(
-        F.sum("balance").alias("balance"), F.sum("deposits").alias("deposits"), F.max("updated").alias("updated"), F.max("now").alias("at_us"))
-    append_to(balances)(total, batch_id)
-    append_to(deposits_table)(fresh, batch_id)
-
-
-def stream_ledger(detections: DataFrame, deposits_table: str, balances: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Append deposits as detections arrive and add them to the balances; :func:`current_balances` reads what stands."""
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        ledger_batch(L.ledger_deposits(batch), batch_id, deposits_table, balances)
+    balance = F.col("balance") * L.decay(F.lit(now) - F.col("at_us"), half_life_hours)
+    return rows.select("tenant_id", "entity", balance.alias("balance"), "deposits", F.timestamp_micros("updated_us").alias("updated"), F.lit(now).alias("at_us"))
 
-    writer = detections.writeStream.option("checkpointLocation", checkpoint).foreachBatch(handle)
+
+def stream_ledger(detections: DataFrame, balances: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Keep balances as detections arrive; each batch appends the balances it changed, :func:`current_balances` reads what stands."""
+    writer = ledger_rows(detections).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(append_to(balances))
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="5 seconds")).start()
 
 

@@ -59,7 +59,7 @@ def test_correlation_and_ledger_follow_detections(spark, tmp_path):
     J.stream_correlate(stream, str(tmp_path / "table"), str(tmp_path / "inc"), str(tmp_path / "cp3"), once=True).awaitTermination(90)
     inc = spark.read.parquet(str(tmp_path / "inc")).collect()
     assert [(r["detections"], r["affected_users"]) for r in inc] == [(4, ["bob"])]
-    J.stream_ledger(stream, str(tmp_path / "dep"), str(tmp_path / "bal"), str(tmp_path / "cp4"), once=True).awaitTermination(60)
+    J.stream_ledger(stream, str(tmp_path / "bal"), str(tmp_path / "cp4"), once=True).awaitTermination(60)
     assert {r["entity"] for r in spark.read.parquet(str(tmp_path / "bal")).collect()} == {"host:A", "user:bob"}
 
 
@@ -97,16 +97,23 @@ def test_batches_over_forty_days_and_two_tenants(spark, tmp_path):
 
 
 def test_ledger_batches_equal_one_ledger(spark, tmp_path):
+    """Batches overlap by one detection and are out of order; each touches only the state of its own entities."""
     from nightjar.operators import ledger as L
 
-    rows = [(f"d{i}", "t", i * 3.7 % 20, "AB"[i % 2], "ann") for i in range(12)]
-    for n in range(3):
-        J.ledger_batch(L.ledger_deposits(_detections(spark, rows[n * 4:n * 4 + 5])), n, str(tmp_path / "dep"), str(tmp_path / "bal"))
+    rows = [(f"d{i}", "t", i * 3.7 % 20, "AB"[i % 2], "ann") for i in range(12)] + [("late", "t", 0.5, "C", "cid")]
+    for n in range(4):
+        part = _detections(spark, rows[n * 4:n * 4 + 5])
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(part.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    J.stream_ledger(stream, str(tmp_path / "bal"), str(tmp_path / "cp"), once=True).awaitTermination(120)
     want = {r["entity"]: r for r in L.ledger_balance(L.ledger_deposits(_detections(spark, rows))).collect()}
     got = {r["entity"]: r for r in J.current_balances(spark, str(tmp_path / "bal")).collect()}
-    assert set(got) == set(want) == {"host:A", "host:B", "user:ann"}
+    assert set(got) == set(want) == {"host:A", "host:B", "host:C", "user:ann", "user:cid"}
     for k, r in want.items():
         assert got[k]["deposits"] == r["deposits"] and got[k]["updated"] == r["updated"] and abs(got[k]["balance"] - r["balance"]) < 1e-9
+    changed = spark.read.parquet(str(tmp_path / "bal")).where("batch = 2").select("entity").collect()
+    assert {r["entity"] for r in changed} == {"host:A", "host:B", "host:C", "user:ann", "user:cid"}
+    assert not spark.read.parquet(str(tmp_path / "bal")).where("batch = 3").count()  # the last batch repeats a detection
 
 
 def test_rule_state_ends(spark):
