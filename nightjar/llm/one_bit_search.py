@@ -4,9 +4,9 @@ Each vector is divided by its length, padded and turned by one random rotation;
 ``align`` = the inner product of the turned unit vector and its code (scaled to length one), the inner product with a
 query is estimated from the packed bits as ``norm * <code, turned query> / align``; the error of the estimate exceeds
 ``norm * |query| * sqrt((1 - align^2) / align^2) * width / sqrt(bits - 1)`` only with a probability that falls like
-exp(-c * width^2). Every block of candidates is scanned by bits; those whose upper bound reaches the k-th largest lower bound
-of their block are scored on the original vectors in double precision. So the result misses a true neighbour only where
-a bound fails.
+exp(-c * width^2). Every block of candidates is scanned by bits. The k best by estimate are scored first, on the original
+vectors in double precision; the k-th of these scores is a floor that the true k-th can't fall below, and of the others
+only those whose upper bound reaches it are scored too. So the result misses a true neighbour only where a bound fails.
 
 Blocks of candidates and blocks of queries meet in tasks of bounded size: a stated query set against all rows.
 """
@@ -30,7 +30,7 @@ def rotation(dims: int, bits: int, seed: int) -> np.ndarray:
     return (q * np.sign(np.diag(r)))[:dims].astype(np.float64)
 
 
-def code_bits(dims: int, least: int = 256) -> int:
+def code_bits(dims: int, least: int = 512) -> int:
     return max(least, -(-dims // 64) * 64)
 
 
@@ -64,16 +64,21 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ve
         own, own_ids = queries[start:start + CHUNK], query_ids[start:start + CHUNK]
         lengths = np.sqrt((own * own).sum(axis=1)).astype(np.float32)
         estimate = ((own @ turn).astype(np.float32) @ signs.T) * scale
-        bound = lengths[:, None] * error
-        self_pair = own_ids[:, None] == ids[None, :]
-        lower = np.where(self_pair, -np.inf, estimate - bound)
-        if lower.shape[1] > k:
-            floor = np.partition(lower, lower.shape[1] - k, axis=1)[:, lower.shape[1] - k]
-        else:
-            floor = np.full(len(own), -np.inf)
-        q, c = np.nonzero((estimate + bound >= floor[:, None]) & ~self_pair)
-        scores = exact(own, q, vectors, c)
-        scored += len(q)
+        estimate[own_ids[:, None] == ids[None, :]] = -np.inf
+        q, c, scores = (np.empty(0, dtype=kind) for kind in (np.int64, np.int64, np.float64))
+        floor = np.full(len(own), -np.inf)
+        if len(ids) > k:
+            first = np.argpartition(estimate, len(ids) - k, axis=1)[:, len(ids) - k:]
+            q, c = np.repeat(np.arange(len(own)), k), first.reshape(-1)
+            scores = np.where(estimate[q, c] == -np.inf, -np.inf, exact(own, q, vectors, c))
+            floor = scores.reshape(-1, k).min(axis=1)
+            estimate[q, c] = -np.inf
+        estimate += lengths[:, None] * error
+        more = np.nonzero((estimate >= floor[:, None]) & (estimate > -np.inf))
+        scored += len(q) + len(more[0])
+        q, c, scores = np.concatenate([q, more[0]]), np.concatenate([c, more[1]]), np.concatenate([scores, exact(own, more[0], vectors, more[1])])
+        real = scores > -np.inf
+        q, c, scores = q[real], c[real], scores[real]
         order = np.lexsort((ids[c], -scores, q))
         q, c, scores = q[order], c[order], scores[order]
         rank = np.arange(len(q)) - np.searchsorted(q, q)
