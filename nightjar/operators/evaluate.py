@@ -130,3 +130,19 @@ def compare_runs(before: DataFrame, after: DataFrame) -> DataFrame:
     return b.join(a, "technique", "full_outer").select("technique", state.alias("change"))
 
 
+def as_metrics(row: DataFrame, *keys: str) -> DataFrame:
+    """Numeric columns of a table as ``(keys, metric, value)``."""
+    names = [f.name for f in row.schema.fields if f.name not in keys and f.dataType.simpleString().split("(")[0] in ("int", "bigint", "double", "float", "decimal")]
+    return row.select(*keys, F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names])))
+
+
+def compare_metrics(before: DataFrame, after: DataFrame, *keys: str) -> DataFrame:
+    """Measures of two runs side by side, from ``(keys, metric, value)`` of each: values, difference, relative change, direction.
+
+    A measure that only one run has is new or gone; a change from zero has no relative size.
+    """
+    by = [*keys, "metric"]
+    both = before.select(*by, F.col("value").alias("before")).join(after.select(*by, F.col("value").alias("after")), by, "full_outer")
+    delta = F.col("after") - F.col("before")
+    change = F.when(F.col("before").isNull(), "new").when(F.col("after").isNull(), "gone").when(delta > 0, "up").when(delta < 0, "down").otherwise("same")
+    return both.select(*by, "before", "after", F.round(delta, 3).alias("delta"), F.round(F.try_divide(delta * 100, F.abs("before")), 1).alias("delta_pct"), change.alias("change"))

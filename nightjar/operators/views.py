@@ -45,13 +45,15 @@ def top_incidents(incidents: DataFrame, n: int = TOP_INCIDENTS) -> DataFrame:
     return incidents.orderBy(F.desc("risk_score"), "first_event_at", "incident_id").limit(n)
 
 
-def list_incidents(incidents: DataFrame, severity: str | None = None, status: str | None = None, limit: int = LIST_LIMIT) -> DataFrame:
+def list_incidents(incidents: DataFrame, severity: str | None = None, status: str | None = None, limit: int | None = None) -> DataFrame:
+    """Incidents by risk, all of them unless ``limit`` says how many a page shows (``LIST_LIMIT`` is the usual size)."""
     rows = incidents
     if severity:
         rows = rows.where(F.col("severity") == severity)
     if status:
         rows = rows.where(F.col("status") == status)
-    return rows.orderBy(F.desc("risk_score"), "first_event_at", "incident_id").limit(limit)
+    rows = rows.orderBy(F.desc("risk_score"), "first_event_at", "incident_id")
+    return rows if limit is None else rows.limit(limit)
 
 
 def threat_map_nodes(incidents: DataFrame, iocs: DataFrame) -> DataFrame:
@@ -69,14 +71,15 @@ def threat_map_nodes(incidents: DataFrame, iocs: DataFrame) -> DataFrame:
     return joined.where((F.col("type") == "ip") | F.col("known_malicious") | ~inside).select("type", "value", "incident_id", "risk_score", "known_malicious", "threat", "country")
 
 
-def threat_map_origins(incidents: DataFrame, incident_events: DataFrame, home: str = "IN") -> DataFrame:
-    """Foreign login countries in incident evidence."""
+def threat_map_origins(incidents: DataFrame, incident_events: DataFrame, home: str = "IN", users: int | None = None) -> DataFrame:
+    """Foreign login countries in incident evidence, with all users, or the first ``users`` (``ORIGIN_USERS`` fit a map label)."""
     country = F.upper("geo_country")
     rows = incident_events.where(filled(F.col("geo_country")) & (country != home.upper())).groupBy("incident_id", country.alias("country"), "user").agg(F.count(F.lit(1)).alias("n")) \
         .join(incidents.select("incident_id", "risk_score"), "incident_id")
+    named = F.array_sort(F.collect_set(F.when(filled(F.col("user")), F.col("user"))))
     return rows.groupBy("country").agg(
         F.count_distinct("incident_id").alias("incidents"), F.max("risk_score").alias("max_risk"),
-        F.slice(F.array_sort(F.collect_set(F.when(filled(F.col("user")), F.col("user")))), 1, ORIGIN_USERS).alias("users")).orderBy(F.desc("max_risk"), "country")
+        (named if users is None else F.slice(named, 1, users)).alias("users")).orderBy(F.desc("max_risk"), "country")
 
 
 # ------------------------------------------------------------------------------------------- audit

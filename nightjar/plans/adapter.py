@@ -31,7 +31,7 @@ _EVENT_VIEW: list[tuple[str, str]] = [
     ("host", "CASE WHEN user_id % 20 = 3 THEN 'DB-03' ELSE 'ws-' || lpad(CAST(user_id % 20 AS STRING), 2, '0') END"),
     ("user", """CASE WHEN k = 41 THEN NULL WHEN user_id % 17 = 0 THEN 'adm-' || CAST(user_id AS STRING)
         ELSE 'User' || CAST(user_id AS STRING) END"""),
-    ("session_id", "CASE WHEN k % 4 = 0 THEN 's' || CAST(user_id AS STRING) END"),
+    ("session_id", "CASE WHEN k = 41 THEN CAST(user_id AS STRING) WHEN k % 4 = 0 THEN 's' || CAST(user_id AS STRING) END"),
     ("process_name", """CASE WHEN t = 'click' OR (t = 'view' AND k % 3 = 0) OR (t = 'purchase' AND k % 10 = 3) THEN
         CASE k % 10 WHEN 0 THEN 'powershell.exe' WHEN 1 THEN 'chrome.exe' WHEN 2 THEN 'cmd.exe' WHEN 3 THEN 'winword.exe'
         WHEN 4 THEN 'svchost.exe' WHEN 5 THEN 'whoami.exe' WHEN 6 THEN 'outlook.exe' WHEN 7 THEN 'tool' || CAST(user_id AS STRING) || '.exe'

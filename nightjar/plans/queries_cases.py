@@ -214,16 +214,16 @@ register("correlate", correlated)
 
 
 def slow_burn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ledger incidents beside the window incidents, in greedy rank order."""
+    """Ledger incidents from what the window incidents leave unexplained, in greedy rank order."""
     dets = sample_detections(spark, sf_dir)
-    admitted = I.incident_detections(case_incidents(spark, sf_dir), sample_cases(spark, sf_dir)).select("detection_id").where(F.col("detection_id").isNull())
+    admitted = I.incident_detections(case_incidents(spark, sf_dir), sample_cases(spark, sf_dir)).select("detection_id")
     cands = L.slow_burn_candidates(L.ledger_deposits(dets), threshold=HOT)
     out = I.slow_burn_incidents(cands, dets, admitted, telemetry(spark, sf_dir))
     return out.select("tenant_id", F.col("cluster").alias("entity"), "risk_score", "severity", "detections", "ledger_balance")
 
 
 register("slow_burn_incidents", slow_burn, """WITH RECURSIVE ranked AS (SELECT *, row_number() OVER (ORDER BY balance DESC, entity, tenant_id) AS rn FROM candidates),
-walk AS (SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS VARCHAR[]) AS used, false AS taken UNION ALL
+walk AS (SELECT CAST(0 AS BIGINT) AS rn, (SELECT coalesce(list(detection_id), CAST([] AS VARCHAR[])) FROM inc_det) AS used, false AS taken UNION ALL
   SELECT r.rn, CASE WHEN ok THEN list_concat(w.used, r.ids) ELSE w.used END, ok FROM (SELECT w.rn AS prev, w.used FROM walk w) w JOIN (SELECT * FROM ranked) r ON r.rn = w.prev + 1, LATERAL (SELECT len([x for x in r.ids if NOT list_contains(w.used, x)]) >= 2 AS ok) o),
 chosen AS (SELECT r.* FROM ranked r JOIN walk w ON w.rn = r.rn WHERE w.taken),
 m AS (SELECT c.tenant_id, c.entity, c.balance, d.* EXCLUDE (tenant_id) FROM (SELECT *, unnest(ids) AS did FROM chosen) c JOIN cases d ON d.detection_id = c.did),
@@ -233,7 +233,7 @@ r AS (SELECT *, round(least(100, base + CASE WHEN len(coalesce(stages, [])) >= 2
   + CASE WHEN len([h for h in hosts if regexp_matches(upper(h), '^(DC|DB|FS|API|PRD|SRV|ERP)-')]) > 0 THEN 8 ELSE 0 END + CASE WHEN len([u for u in users if regexp_matches(lower(u), '^(adm-|da-|administrator|svc-backup|svc-sql)')]) > 0 THEN 6 ELSE 0 END
   + CASE WHEN len(hosts) > 1 THEN least(10, 3 * (len(hosts) - 1)) ELSE 0 END), 1) AS risk0 FROM g),
 f AS (SELECT *, round(least(100, greatest(risk0, least(95, bal))), 1) AS risk FROM r)
-SELECT tenant_id, entity, risk AS risk_score, CASE WHEN risk >= 85 THEN 'critical' WHEN risk >= 65 THEN 'high' WHEN risk >= 40 THEN 'medium' WHEN risk0 >= 20 THEN 'low' ELSE 'info' END AS severity, n AS detections, bal AS ledger_balance FROM f""", "candidates", "cases")
+SELECT tenant_id, entity, risk AS risk_score, CASE WHEN risk >= 85 THEN 'critical' WHEN risk >= 65 THEN 'high' WHEN risk >= 40 THEN 'medium' WHEN risk0 >= 20 THEN 'low' ELSE 'info' END AS severity, n AS detections, bal AS ledger_balance FROM f""", "candidates", "inc_det")
 
 
 def carried_over(spark: SparkSession, sf_dir: str) -> DataFrame:

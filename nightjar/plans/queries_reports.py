@@ -65,10 +65,10 @@ register("unmapped_techniques", unmapped, f"SELECT DISTINCT technique FROM seen_
 
 def fired_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = sample_detections(spark, sf_dir).select("rule_id", "title").distinct()
-    return M.rule_catalog(rules, sample_detections(spark, sf_dir).where(F.col("severity") == "critical"))
+    return M.rule_catalog(rules, sample_detections(spark, sf_dir))
 
 
-register("rule_catalog", fired_catalog, "SELECT rule_id, title, count(*) FILTER (severity = 'critical') AS fired FROM dt GROUP BY ALL", "dt")
+register("rule_catalog", fired_catalog, "SELECT rule_id, title, count(*) AS fired FROM dt GROUP BY ALL", "dt")
 
 # ---------------------------------------------------------------------------------- investigation
 _MEETS = lambda phases: "len(list_intersect(phases, [" + ", ".join(f"'{p}'" for p in phases) + "])) > 0"
@@ -243,9 +243,10 @@ register("verify_claims_summary", verified_texts, """SELECT text_id, count(*) AS
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns of the conversations, put to the incidents in turn."""
+    """User turns of the conversations, put to all incidents in turn."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where(F.col("role") == "user")
-    slot = F.concat(F.lit("SEC-"), F.lpad((F.col("conv_id") % 100 + 1).cast("string"), 4, "0"))
+    incidents = max(case_incidents(spark, sf_dir).count(), 1)
+    slot = F.concat(F.lit("SEC-"), F.lpad((F.col("conv_id") % incidents + 1).cast("string"), 4, "0"))
     return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), slot.alias("incident_id"), F.col("text").alias("question"))
 
 
@@ -254,11 +255,17 @@ def _route_sql(column: str) -> str:
 
 
 register("answer_evidence", lambda s, d: V.answer_evidence(questions(s, d), case_events(s, d)).select("question_id", "incident_id", "route", "position", "event_id"), f"""
-WITH q AS (SELECT conv_id * 1000 + turn AS question_id, 'SEC-' || lpad(CAST(conv_id % 100 + 1 AS VARCHAR), 4, '0') AS incident_id, {_route_sql('text')} AS route FROM conversations WHERE role = 'user')
+WITH q AS (SELECT conv_id * 1000 + turn AS question_id, 'SEC-' || lpad(CAST(conv_id % greatest((SELECT count(*) FROM inc), 1) + 1 AS VARCHAR), 4, '0') AS incident_id, {_route_sql('text')} AS route FROM conversations WHERE role = 'user')
 SELECT question_id, q.incident_id, route, CAST(row_number() OVER (PARTITION BY question_id ORDER BY ts_us, seq) AS INTEGER) AS position, event_id FROM q JOIN inc_ev e ON e.incident_id = q.incident_id
 WHERE CASE route WHEN 'network' THEN coalesce(dst_ip <> '', false) OR coalesce(domain <> '', false) WHEN 'identity' THEN event_type = 'authentication' OR coalesce(privilege <> '', false) WHEN 'process' THEN coalesce(process_name <> '', false) WHEN 'file' THEN coalesce(file_path <> '', false) ELSE true END
 QUALIFY position <= CASE route WHEN 'before' THEN 6 WHEN 'other' THEN 8 ELSE 10 END""", "inc_ev")
 
+_MATCHES = """CASE route WHEN 'network' THEN coalesce(dst_ip <> '', false) OR coalesce(domain <> '', false) WHEN 'identity' THEN event_type = 'authentication' OR coalesce(privilege <> '', false) WHEN 'process' THEN coalesce(process_name <> '', false)
+  WHEN 'file' THEN coalesce(file_path <> '', false) ELSE true END"""
+register("answer_evidence_all", lambda s, d: V.answer_evidence(questions(s, d), case_events(s, d), None).select("question_id", "incident_id", "route", "position", "event_id"), f"""
+WITH q AS (SELECT conv_id * 1000 + turn AS question_id, 'SEC-' || lpad(CAST(conv_id % greatest((SELECT count(*) FROM inc), 1) + 1 AS VARCHAR), 4, '0') AS incident_id, {_route_sql('text')} AS route FROM conversations WHERE role = 'user')
+SELECT question_id, q.incident_id, route, CAST(row_number() OVER (PARTITION BY question_id ORDER BY ts_us, seq) AS INTEGER) AS position, event_id FROM q JOIN inc_ev e ON e.incident_id = q.incident_id WHERE {_MATCHES}""", "inc_ev")
+
 # ------------------------------------------------------------------------------------------ views
 register("overview", lambda s, d: Q.overview(case_incidents(s, d)), """
 SELECT CASE WHEN count(*) FILTER (severity = 'critical') > 0 THEN 'CRITICAL' WHEN count(*) FILTER (severity = 'high') > 0 THEN 'HIGH' WHEN count(*) > 0 THEN 'ELEVATED' ELSE 'LOW' END AS threat_level, count(*) AS active_incidents,
@@ -267,14 +274,14 @@ register("severity_distribution", lambda s, d: Q.severity_distribution(case_inci
          "SELECT severity, count(i.incident_id) AS n FROM (VALUES ('info'), ('low'), ('medium'), ('high'), ('critical')) s(severity) LEFT JOIN inc i USING (severity) GROUP BY severity", "inc")
 register("phase_distribution", lambda s, d: Q.phase_distribution(case_incidents(s, d)), f"SELECT phase, label, count(*) AS n FROM (SELECT unnest(phases) AS phase FROM inc) JOIN {_PHASE_ROWS} USING (phase) GROUP BY phase, label", "inc")
 register("top_incidents", lambda s, d: Q.top_incidents(case_incidents(s, d)).select("incident_id", "risk_score"), "SELECT incident_id, risk AS risk_score FROM inc ORDER BY risk DESC, first_ts, incident_id LIMIT 10", "inc")
-register("list_incidents", lambda s, d: Q.list_incidents(case_incidents(s, d), severity="high", status="open").select("incident_id", "risk_score", "detections"), "SELECT incident_id, risk AS risk_score, n AS detections FROM inc WHERE severity = 'high' ORDER BY risk DESC, first_ts, incident_id LIMIT 100", "inc")
+register("list_incidents", lambda s, d: Q.list_incidents(case_incidents(s, d), severity="high", status="open").select("incident_id", "risk_score", "detections"), "SELECT incident_id, risk AS risk_score, n AS detections FROM inc WHERE severity = 'high' ORDER BY risk DESC, first_ts, incident_id", "inc")
 register("threat_map_nodes", lambda s, d: Q.threat_map_nodes(case_incidents(s, d), sample_iocs(s, d)).select("type", "value", "incident_id", "risk_score", "known_malicious", "threat", "country"), """
 WITH v AS (SELECT 'ip' AS type, unnest(external_ips) AS value, incident_id, risk FROM inc UNION ALL SELECT 'domain', unnest(domains), incident_id, risk FROM inc),
 b AS (SELECT type, value, arg_max(incident_id, (risk, incident_id)) AS incident_id, max(risk) AS risk_score FROM v GROUP BY type, value)
 SELECT b.type, b.value, b.incident_id, b.risk_score, h.value IS NOT NULL AS known_malicious, h.threat, h.country FROM b LEFT JOIN value_hits h ON h.kind = b.type AND h.observed = b.value
 WHERE b.type = 'ip' OR h.value IS NOT NULL OR NOT (ends_with(b.value, '.local') OR ends_with(b.value, '.corp'))""", "inc", "value_hits")
 register("threat_map_origins", lambda s, d: Q.threat_map_origins(case_incidents(s, d), case_events(s, d)).select("country", "incidents", "max_risk", F.array_join("users", ",").alias("users")), """
-SELECT upper(geo_country) AS country, count(DISTINCT incident_id) AS incidents, max(risk) AS max_risk, array_to_string(list_sort(list(DISTINCT e."user") FILTER (e."user" <> ''))[1:6], ',') AS users FROM inc_ev e JOIN inc i USING (incident_id)
+SELECT upper(geo_country) AS country, count(DISTINCT incident_id) AS incidents, max(risk) AS max_risk, array_to_string(list_sort(list(DISTINCT e."user") FILTER (e."user" <> '')), ',') AS users FROM inc_ev e JOIN inc i USING (incident_id)
 WHERE geo_country <> '' AND upper(geo_country) <> 'IN' GROUP BY upper(geo_country)""", "inc_ev")
 
 
@@ -384,7 +391,25 @@ register("technique_recall", lambda s, d: X.technique_recall(case_incidents(s, d
 register("technique_recall_pct", lambda s, d: X.recall_pct(X.technique_recall(case_incidents(s, d), _truth(s))),
          f"SELECT count(*) AS techniques, count(*) FILTER (f) AS found, round(100.0 * count(*) FILTER (f) / count(*), 1) AS recall_pct FROM (SELECT technique_id IN (SELECT unnest(techniques) FROM inc) AS f FROM {_CATALOG})", "inc")
 register("rules_fired", lambda s, d: X.rules_fired(sample_detections(s, d), 15), "SELECT rule_id, count(*) AS fired FROM dt GROUP BY rule_id ORDER BY fired DESC, rule_id LIMIT 15", "dt")
-register("compare_runs", lambda s, d: X.compare_runs(_observed(s, d), M.observed_techniques(case_incidents(s, d).where(F.col("severity") == "high")).select("technique")),
+register("compare_runs", lambda s, d: X.compare_runs(_observed(s, d), M.observed_techniques(case_incidents(s, d)).select("technique")),
          """SELECT coalesce(b.t, a.t) AS technique, CASE WHEN a.t IS NULL THEN 'lost' WHEN b.t IS NULL THEN 'gained' ELSE 'kept' END AS change FROM (SELECT DISTINCT technique AS t FROM seen_techs WHERE technique IS NOT NULL) b
-  FULL JOIN (SELECT DISTINCT unnest(techniques) AS t FROM inc WHERE severity = 'high') a ON a.t = b.t""", "seen_techs", "inc")
+  FULL JOIN (SELECT DISTINCT unnest(techniques) AS t FROM inc) a ON a.t = b.t""", "seen_techs", "inc")
+
+
+def incident_measures(spark: SparkSession, sf_dir: str, first: bool) -> DataFrame:
+    """Measures of the incidents that began before, or since, the middle of the month, by severity: two runs to compare."""
+    middle = F.lit("2024-01-16").cast("timestamp")
+    own = case_incidents(spark, sf_dir).where(F.col("first_event_at") < middle if first else F.col("first_event_at") >= middle)
+    rows = own.groupBy("severity").agg(
+        F.count(F.lit(1)).alias("incidents"), F.sum("detections").alias("detections"), F.round(F.avg("risk_score"), 3).alias("mean_risk"),
+        F.max(F.size("affected_hosts")).alias("most_hosts"), F.sum(F.size("techniques")).alias("techniques"))
+    return X.as_metrics(rows, "severity")
+
+
+_MEASURES = {"incidents": "count(*)", "detections": "sum(n)", "mean_risk": "round(avg(risk), 3)", "most_hosts": "max(len(hosts))", "techniques": "sum(len(techniques))"}
+register("compare_metrics", lambda s, d: X.compare_metrics(incident_measures(s, d, True), incident_measures(s, d, False), "severity"), "WITH m AS (" + " UNION ALL ".join(
+    f"SELECT first_ts < epoch_us(TIMESTAMP '2024-01-16') AS early, severity, '{name}' AS metric, CAST({sql} AS DOUBLE) AS v FROM inc GROUP BY ALL" for name, sql in _MEASURES.items()) + """)
+SELECT severity, metric, b.v AS before, a.v AS after, round(a.v - b.v, 3) AS delta, round((a.v - b.v) * 100 / nullif(abs(b.v), 0), 1) AS delta_pct,
+  CASE WHEN b.v IS NULL THEN 'new' WHEN a.v IS NULL THEN 'gone' WHEN a.v > b.v THEN 'up' WHEN a.v < b.v THEN 'down' ELSE 'same' END AS change
+FROM (SELECT * FROM m WHERE early) b FULL JOIN (SELECT * FROM m WHERE NOT early) a USING (severity, metric)""", "inc")
 register("effective_phase", lambda s, d: sample_detections(s, d).select("detection_id", effective_phase().alias("phase")), "SELECT detection_id, stage AS phase FROM cases", "cases")
