@@ -121,7 +121,7 @@ walk AS (
   UNION ALL
   SELECT gkey, rn,
     CASE WHEN len(full_) > 0 THEN [] ELSE list_concat(list_transform(live, lambda x: CASE WHEN (mask >> x.n) & 1 = 1 THEN {{'f': x.f, 'n': x.n + 1, 'ids': x.ids || ',' || event_id}} ELSE x END),
-      CASE WHEN mask & 1 = 1 THEN [{{'f': ts_us, 'n': 1, 'ids': event_id}}] ELSE [] END)[-64:] END,
+      CASE WHEN mask & 1 = 1 THEN [{{'f': ts_us, 'n': 1, 'ids': event_id}}] ELSE [] END) END,
     CASE WHEN len(full_) > 0 AND (last_ts IS NULL OR ts_us - last_ts >= {gap_us}) THEN ts_us ELSE last_ts END,
     CASE WHEN len(full_) > 0 AND (last_ts IS NULL OR ts_us - last_ts >= {gap_us}) THEN full_[1].ids || ',' || event_id END
   FROM (SELECT *, list_filter(live, lambda x: x.n = {last} AND (mask >> {last}) & 1 = 1) AS full_
