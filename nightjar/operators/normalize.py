@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from nightjar.functions.text import base_name
 from nightjar.schema import EVENT_FIELDS, EVENT_TYPES, MAX_STRING, SEVERITIES, SOURCES, STRING_FIELDS, digest_id
@@ -104,24 +104,30 @@ def _map_literal(mapping: dict) -> Column:
 
 def _assemble(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Full canonical row; fields an adapter leaves out are null."""
-    out = []
-    for name, dtype in EVENT_FIELDS:
-        value = columns.get(name, F.lit(None))
-        out.append((value if name in ("raw", "tags", "timestamp") else value.cast(dtype)).alias(name) if name in columns else F.lit(None).cast(dtype).alias(name))
-    return df.select(*out, "seq")
+    return df.select(*[_field(name, dtype, columns).alias(name) for name, dtype in EVENT_FIELDS], "seq")
+
+
+def _field(name: str, dtype: T.DataType, columns: dict[str, Column]) -> Column:
+    value = columns.get(name, F.lit(None).cast(dtype))
+    return value if name in ("raw", "tags", "timestamp") else value.cast(dtype)
 
 
-def _common(df: DataFrame, source: str) -> dict[str, Column]:
+def _common(source: str) -> dict[str, Column]:
     return {"event_id": F.col("new_id"), "tenant_id": F.col("tenant"), "source": F.lit(source), "severity_hint": F.lit("info"),
             "tags": F.array().cast("array<string>"), "raw": F.col("raw")}
 
 
-def normalize_windows(df: DataFrame) -> DataFrame:
-    """Windows Security and Sysmon records, nested or flat."""
-    rec, d, eid = REC, DATA, F.col("eid")
+def with_windows_data(df: DataFrame, is_windows: Column) -> DataFrame:
+    """Texts of the nested part of Windows records, or of the record itself, and the event id; null for other records."""
     nested = F.try_variant_get(F.col("raw"), "$.EventData", "variant")
-    df = with_texts(df, "data", F.coalesce(F.when(~F.to_json(nested).isin(FALSY), nested), F.col("raw")))
-    df = df.withColumn("eid", F.coalesce(to_long(pick(rec, "EventID", "event_id_win", "id")), F.lit(0)))
+    data = F.coalesce(F.when(~F.to_json(nested).isin(FALSY), nested), F.col("raw"))
+    df = with_texts(df, "data", F.when(is_windows, data))
+    return df.withColumn("eid", F.when(is_windows, F.coalesce(to_long(pick(REC, "EventID", "event_id_win", "id")), F.lit(0))))
+
+
+def windows_fields() -> dict[str, Column]:
+    """Windows Security and Sysmon records, nested or flat; needs ``with_windows_data``."""
+    rec, d, eid = REC, DATA, F.col("eid")
     known = F.try_element_at(_map_literal({k: f"{t}|{a}" for k, (t, a) in WINDOWS_EVENTS.items()}), eid.cast("int"))
     script = eid.isin(SCRIPT_BLOCK_IDS)
     process = base_name(pick(d, "NewProcessName", "Image", "SourceImage", "Application", "ProcessName"))
@@ -132,7 +138,7 @@ def normalize_windows(df: DataFrame) -> DataFrame:
         F.when((eid == 10) & on_lsass & F.lower(F.coalesce(truthy_text(d, "GrantedAccess"), F.lit(""))).isin(SUSPECT_MASKS), F.lit("suspicious_access")),
         F.when(eid == 8, F.lit("remote_thread")), F.when((eid == 8) & on_lsass, F.lit("lsass_inject"))))
     logon = F.try_element_at(_map_literal(LOGON_TYPES), to_long(get_text(d, "LogonType")).cast("int"))
-    columns = _common(df, "windows") | {
+    return _common("windows") | {
         "timestamp": to_time(F.coalesce(pick(rec, "TimeCreated", "timestamp", "@timestamp", "EventTime"), pick(d, "UtcTime"), pick(rec, "SystemTime"))),
         "event_type": F.coalesce(F.split(known, r"\|")[0], F.lit("system_log")),
         "action": F.coalesce(F.split(known, r"\|")[1], F.concat(F.lit("win_"), eid.cast("string"))),
@@ -150,14 +156,11 @@ def normalize_windows(df: DataFrame) -> DataFrame:
         "target_user": F.coalesce(truthy_text(d, "MemberName"), F.when(eid.isin(4720, 4726), get_text(d, "TargetUserName"))),
         "service_name": pick(d, "ServiceName", "TaskName"), "message": get_text(rec, "Message"), "tags": tags,
     }
-    return _assemble(df, columns)
 
 
-def normalize_linux(df: DataFrame) -> DataFrame:
+def linux_fields() -> dict[str, Column]:
     """auditd records: logins, processes, files, network, privilege."""
-    rec = REC
-    df = df.withColumn("record_kind", F.lower(F.coalesce(pick(rec, "type", "event_type"), F.lit(""))))
-    kind = F.col("record_kind")
+    rec, kind = REC, F.lower(F.coalesce(pick(REC, "type", "event_type"), F.lit("")))
 
     def succeeded(*keys: str) -> Column:
         return F.lower(F.coalesce(*[get_text(rec, k) for k in keys], F.lit("success"))).isin("success", "1")
@@ -171,41 +174,41 @@ def normalize_linux(df: DataFrame) -> DataFrame:
         event_type = F.when(kind.isin(kinds), name).otherwise(event_type)
         action = F.when(kind.isin(kinds), verbs[name]).otherwise(action)
     root = get_text(rec, "uid").isin("0", "root") | kind.isin(LINUX_KINDS["privilege_change"])
-    return _assemble(df, _common(df, "linux") | {
+    return _common("linux") | {
         "timestamp": to_time(pick(rec, "timestamp", "time")), "event_type": event_type, "action": action, "host": pick(rec, "hostname", "host"),
         "user": pick(rec, "acct", "auid_name", "user"), "process_name": base_name(pick(rec, "exe", "comm")), "process_id": to_long(get_text(rec, "pid")),
         "parent_process_id": to_long(get_text(rec, "ppid")), "command_line": pick(rec, "proctitle", "cmd", "command_line"), "file_path": pick(rec, "name", "path"),
         "src_ip": pick(rec, "addr", "src_ip"), "dst_ip": get_text(rec, "dst_ip"), "dst_port": to_long(get_text(rec, "dst_port")),
         "privilege": F.when(F.coalesce(root, F.lit(False)), "root").otherwise(get_text(rec, "privilege")), "message": pick(rec, "msg", "message"),
-    })
+    }
 
 
-def normalize_zeek_conn(df: DataFrame) -> DataFrame:
+def zeek_fields() -> dict[str, Column]:
     """Connection log."""
     rec = REC
-    return _assemble(df, _common(df, "network") | {
+    return _common("network") | {
         "timestamp": to_time(pick(rec, "ts", "timestamp")), "event_type": F.lit("network_connection"), "action": F.lit("connect"),
         "outcome": F.when(F.coalesce(get_text(rec, "conn_state"), F.lit("SF")).isin(OK_STATES), "success").otherwise("failure"), "host": pick(rec, "host", "orig_host"),
         "src_ip": pick(rec, "id.orig_h", "src_ip"), "src_port": to_long(pick(rec, "id.orig_p", "src_port")), "dst_ip": pick(rec, "id.resp_h", "dst_ip"),
         "dst_port": to_long(pick(rec, "id.resp_p", "dst_port")), "protocol": pick(rec, "proto", "service"),
         "bytes_out": to_long(pick(rec, "orig_bytes", "bytes_out")), "bytes_in": to_long(pick(rec, "resp_bytes", "bytes_in")),
-    })
+    }
 
 
-def normalize_dns(df: DataFrame) -> DataFrame:
+def dns_fields() -> dict[str, Column]:
     """DNS log."""
     rec = REC
     code = F.upper(F.coalesce(pick(rec, "rcode_name", "rcode", "outcome"), F.lit("NOERROR")))
     answers = F.try_variant_get(F.col("raw"), "$.answers", "array<string>")
-    return _assemble(df, _common(df, "dns") | {
+    return _common("dns") | {
         "timestamp": to_time(pick(rec, "ts", "timestamp")), "event_type": F.lit("dns_query"), "action": F.lit("query"),
         "outcome": F.when(code.isin(FAILED_CODES), "nxdomain").otherwise("success"), "host": pick(rec, "host", "client_host"),
         "src_ip": pick(rec, "id.orig_h", "client_ip", "src_ip"), "domain": pick(rec, "query", "domain"), "protocol": pick(rec, "qtype_name", "qtype", "record_type"),
         "dst_ip": F.when(answers.isNotNull(), F.try_element_at(answers, F.lit(1))).otherwise(get_text(rec, "answer")),
-    })
+    }
 
 
-def normalize_generic(df: DataFrame) -> DataFrame:
+def generic_fields() -> dict[str, Column]:
     """Records close to the canonical shape; unknown fields stay in ``raw``."""
     rec, raw = REC, F.col("raw")
     columns: dict[str, Column] = {}
@@ -225,7 +228,7 @@ def normalize_generic(df: DataFrame) -> DataFrame:
     defaults = {"event_id": F.col("new_id"), "tenant_id": F.col("tenant"), "source": F.lit("application"), "event_type": F.lit("application_log"), "action": F.lit("log"), "severity_hint": F.lit("info")}
     for name, value in defaults.items():
         columns[name] = F.coalesce(columns[name], value)
-    return _assemble(df, columns)
+    return columns
 
 
 def route_column(collector: Column) -> Column:
@@ -239,18 +242,37 @@ def route_column(collector: Column) -> Column:
     )
 
 
-ADAPTERS = {"windows": normalize_windows, "linux": normalize_linux, "zeek": normalize_zeek_conn, "dns": normalize_dns, "generic": normalize_generic}
+FIELDS = {"windows": windows_fields, "linux": linux_fields, "zeek": zeek_fields, "dns": dns_fields, "generic": generic_fields}
+
+
+def _adapter(name: str):
+    """One adapter by itself, for records that are known to be of its kind (columns of ``tagged`` and the texts ``rec``)."""
+    def run(df: DataFrame) -> DataFrame:
+        return _assemble(with_windows_data(df, F.lit(True)) if name == "windows" else df, FIELDS[name]())
+    return run
+
+
+normalize_windows, normalize_linux, normalize_zeek_conn, normalize_dns, normalize_generic = (_adapter(n) for n in FIELDS)
 
 
 def normalize(records: DataFrame, collector: str | None = None, tenant: str = "default") -> DataFrame:
-    """Canonical events of mixed records (columns ``raw`` variant and ``seq``)."""
+    """Canonical events of mixed records (columns ``raw`` variant and ``seq``), in one pass.
+
+    Every field is one CASE over the routes, so records are read and taken apart once, whatever the number of adapters.
+    """
     tagged = records.select("raw", "seq", F.lit(tenant).alias("tenant"), digest_id("evt_", F.lit(tenant), F.col("seq"), F.to_json("raw")).alias("new_id"))
     routed = with_texts(tagged, "rec", F.col("raw")).withColumn("route", route_column(F.lit(collector) if collector else F.lit(None).cast("string")))
-    parts = [adapter(routed.where(F.col("route") == name)) for name, adapter in ADAPTERS.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    routed = with_windows_data(routed, F.col("route") == "windows")
+    fields = {route: columns() for route, columns in FIELDS.items()}
+
+    def chosen(name: str, dtype: T.DataType) -> Column:
+        out = F.lit(None).cast(dtype)
+        for route, columns in fields.items():
+            if name in columns:
+                out = F.when(F.col("route") == route, _field(name, dtype, columns)).otherwise(out)
+        return out
+
+    return routed.select(*[chosen(name, dtype).alias(name) for name, dtype in EVENT_FIELDS], "seq")
 
 
 def with_violations(events: DataFrame) -> DataFrame:
@@ -263,7 +285,9 @@ def with_violations(events: DataFrame) -> DataFrame:
         F.when(F.col("action").isNull(), F.lit("action missing")),
         *[F.when(F.length(c) > MAX_STRING, F.lit(f"{c} too long")) for c in STRING_FIELDS],
     ]
-    return events.withColumn("violations", F.array_compact(F.array(*checks)))
+    # a generator keeps the optimiser from working out every field again inside each check and filter
+    once = events.select(F.inline(F.array(F.struct(*events.columns))))
+    return once.withColumn("violations", F.array_compact(F.array(*checks)))
 
 
 def validate(events: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -65,6 +65,50 @@ register("ingest_counts", lambda s, d: deduplicate(N.validate(normalized(s, d))[
 SELECT source, count(*) AS kept FROM (SELECT DISTINCT ts_us, source, event_type, action, host, "user", process_name, command_line, dst_ip, domain FROM vendor WHERE k <> 50 AND source <> 'nowhere') GROUP BY source""", "vendor")
 
 
+_IDS = list(N.WINDOWS_EVENTS)
+_KINDS = [k for kinds in N.LINUX_KINDS.values() for k in kinds] + ["daemon_start"]
+
+
+def all_windows_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event id in turn: hexadecimal process ids, hash lists, epoch times, script blocks, access to lsass."""
+    ev, c = telemetry(spark, sf_dir, keep_inputs=True), F.col
+    target = F.when(c("seq") % 3 == 0, "C:\\Windows\\System32\\lsass.exe").otherwise("C:\\a\\b.exe")
+    data = F.struct(
+        F.lit("C:\\Tools\\Agent.exe").alias("Image"), target.alias("TargetImage"), F.when(c("seq") % 2 == 0, "0x1010").otherwise("0x1000").alias("GrantedAccess"),
+        F.concat(F.lit("0x"), F.hex("seq")).alias("NewProcessId"), F.concat(F.lit("MD5=AA,SHA256="), F.upper(F.sha2("event_id", 256)), F.lit(",IMPHASH=0")).alias("Hashes"),
+        F.lit("run.exe /x").alias("CommandLine"), F.lit("Get-Item .").alias("ScriptBlockText"), c("user").alias("TargetUserName"))
+    raw = F.to_json(F.struct(F.element_at(F.array(*[F.lit(i) for i in _IDS]), (c("seq") % len(_IDS) + 1).cast("int")).alias("EventID"), c("host").alias("Computer"),
+                             F.floor(F.unix_micros("timestamp") / 1_000_000).alias("TimeCreated"), data.alias("EventData")))
+    out = N.normalize(ev.select("seq", F.parse_json(raw).alias("raw")))
+    return out.select("seq", "event_type", "action", "outcome", "process_name", "process_id", "command_line", "file_hash", "target_user", F.array_join("tags", ",").alias("tags"), F.unix_micros("timestamp").alias("ts_us"))
+
+
+_ID_ROWS = ", ".join(f"({n}, {i}, '{t}', '{a}')" for n, (i, (t, a)) in enumerate(N.WINDOWS_EVENTS.items()))
+register("normalize_windows_ids", all_windows_ids, f"""
+SELECT seq, m.event_type, m.action, CASE WHEN id IN (4624, 4688, 4720) THEN 'success' WHEN id = 4625 THEN 'failure' END AS outcome, 'Agent.exe' AS process_name, seq AS process_id,
+  CASE WHEN id IN ({', '.join(map(str, N.SCRIPT_BLOCK_IDS))}) THEN 'Get-Item .' ELSE 'run.exe /x' END AS command_line, sha256(event_id) AS file_hash, CASE WHEN id IN (4720, 4726) THEN "user" END AS target_user,
+  concat_ws(',', CASE WHEN id = 10 AND seq % 3 = 0 THEN 'lsass_access' END, CASE WHEN id = 10 AND seq % 3 = 0 AND seq % 2 = 0 THEN 'suspicious_access' END, CASE WHEN id = 8 THEN 'remote_thread' END,
+    CASE WHEN id = 8 AND seq % 3 = 0 THEN 'lsass_inject' END) AS tags, ts_us // 1000000 * 1000000 AS ts_us
+FROM ev JOIN (VALUES {_ID_ROWS}) m(n, id, event_type, action) ON m.n = seq % {len(_IDS)}""", "ev")
+
+
+def all_linux_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every auditd record kind in turn, and one that maps to nothing."""
+    ev, c = telemetry(spark, sf_dir), F.col
+    kind = F.element_at(F.array(*[F.lit(k.upper()) for k in _KINDS]), (c("seq") % len(_KINDS) + 1).cast("int"))
+    raw = F.to_json(F.struct(kind.alias("type"), c("host").alias("hostname"), F.when(c("seq") % 2 == 0, "success").otherwise("failed").alias("res"), F.lit("/usr/bin/tool").alias("exe"),
+                             F.when(c("seq") % 5 == 0, "0").otherwise("1000").alias("uid"), c("seq").alias("pid"), F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp")))
+    out = N.normalize(ev.select("seq", F.parse_json(raw).alias("raw")), "auditd")
+    return out.select("seq", "source", "event_type", "action", "process_name", "process_id", "privilege", F.unix_micros("timestamp").alias("ts_us"))
+
+
+_KIND_ROWS = ", ".join(f"({n}, '{k}', '{next((t for t, ks in N.LINUX_KINDS.items() if k in ks), 'system_log')}')" for n, k in enumerate(_KINDS))
+register("normalize_linux_kinds", all_linux_kinds, f"""
+SELECT seq, 'linux' AS source, t AS event_type, CASE t WHEN 'authentication' THEN CASE WHEN seq % 2 = 0 THEN 'login_success' ELSE 'login_failure' END WHEN 'process_start' THEN 'start' WHEN 'file_modify' THEN 'modify'
+  WHEN 'network_connection' THEN 'connect' WHEN 'privilege_change' THEN CASE WHEN seq % 2 = 0 THEN 'sudo_success' ELSE 'sudo_failure' END ELSE kind END AS action, 'tool' AS process_name, seq AS process_id,
+  CASE WHEN seq % 5 = 0 OR t = 'privilege_change' THEN 'root' END AS privilege, ts_us FROM ev JOIN (VALUES {_KIND_ROWS}) m(n, kind, t) ON m.n = seq % {len(_KINDS)}""", "ev")
+
+
 def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vendor records of all events through the whole batch: what was accepted, kept, detected and linked."""
     run = ingest_batch(vendor_records(spark, sf_dir), iocs=sample_iocs(spark, sf_dir))
