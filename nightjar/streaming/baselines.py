@@ -85,6 +85,8 @@ class InOrder(StatefulProcessor):
         if self.waiting.containsKey((due,)):
             rows = pickle.loads(bytes(self.waiting.getValue((due,))[0]))
             self.waiting.removeKey((due,))
+            if self.idle_ms is not None and last is not None and due - last > self.idle_ms:
+                self.forget()  # the watermark has passed the pause and this row in one step
             for row in sorted(rows, key=lambda r: (r["ts_us"], r["seq"])):
                 for kind, measures in self.step(row["kind"], row):
                     yield self.made(kind, row, NOTHING | measures)
