@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from nightjar.operators import attack as M
 from nightjar.operators import baselines as B
 from nightjar.operators import rules as R
 from nightjar.plans.adapter import telemetry
 from nightjar.plans.queries_detect import _flat, _recursive_cooldown, _recursive_sequence, _recursive_threshold, condition_sql
+from nightjar.plans.queries_reports import _CATALOG
 from nightjar.plans.registry import CHECKS, PARTS, part, register, with_parts
 from nightjar.plans.rulepack import RULES
-from nightjar.schema import seconds
+from nightjar.schema import PHASES, seconds
+from nightjar.sources.techniques import read_techniques
 
 # One step per rule that the plain telemetry never shows; every fifth event becomes one of them, in turn.
 STEPS: list[dict[str, str]] = [
@@ -118,3 +121,32 @@ register("rule_scan_staged", lambda s, d: R.hit_counts(R.scan_conditions(staged_
     f"SELECT '{r.id}' AS rule_id, count(*) FILTER ({' OR '.join(condition_sql(c) if c else 'true' for c in r.conditions)}) AS hits FROM sevp" for r in RULES), "sevp")
 register("rule_pack_staged", lambda s, d: _flat(R.run_rules(staged_telemetry(s, d), RULES)), pack_sql("sevp"), "sevp")
 
+
+
+# ------------------------------------------------------------------------------------------ what fired
+def staged_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.run_rules(staged_telemetry(spark, sf_dir), RULES)
+
+
+def fired_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All shipped rules with the number of detections they raised."""
+    return M.rule_catalog(R.rule_table(spark, RULES).select("rule_id", "title"), staged_detections(spark, sf_dir))
+
+
+_TITLES = ", ".join(f"('{r.id}', '{r.title.replace(chr(39), chr(39) * 2)}')" for r in RULES)
+register("rule_catalog_fired", fired_rules, f"""SELECT r.rule_id, r.title, count(p.rule_id) AS fired FROM (VALUES {_TITLES}) r(rule_id, title)
+LEFT JOIN ({pack_sql('sevp')}) p ON p.rule_id = r.rule_id GROUP BY ALL""", "sevp")
+
+
+def fired_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalogue techniques per tactic that rules with detections cover."""
+    fired = staged_detections(spark, sf_dir).select("rule_id").distinct()
+    return M.rule_coverage(M.rule_techniques(spark, RULES, {}).join(fired, "rule_id", "left_semi"), read_techniques(spark)).select("tactic", "total", "covered")
+
+
+_RULE_TECHNIQUES = ", ".join(f"('{r.id}', '{t}')" for r in RULES for t in r.techniques)
+register("rule_coverage_fired", fired_coverage, f"""
+WITH cat AS (SELECT * FROM {_CATALOG}), t AS (SELECT DISTINCT technique FROM (VALUES {_RULE_TECHNIQUES}) r(rule_id, technique) WHERE rule_id IN (SELECT rule_id FROM ({pack_sql('sevp')}))),
+c AS (SELECT DISTINCT CASE WHEN technique IN (SELECT technique_id FROM cat) THEN technique ELSE split_part(technique, '.', 1) END AS technique_id FROM t)
+SELECT p.phase AS tactic, count(cat.technique_id) AS total, count(c.technique_id) AS covered FROM (SELECT unnest([{', '.join(repr(p) for p in PHASES)}]) AS phase) p
+LEFT JOIN cat ON cat.tactic = p.phase LEFT JOIN c ON c.technique_id = cat.technique_id GROUP BY p.phase""", "sevp")
