@@ -6,6 +6,8 @@ evaluate alike, so both sides of a comparison start from the same rows.
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from nightjar.session import ensure_checkpoint_dir, prepare
@@ -139,7 +141,7 @@ def telemetry(spark: SparkSession, sf_dir: str, keep_inputs: bool = False) -> Da
     prepare(spark)
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _WRITTEN:
-        path = f"{ensure_checkpoint_dir(spark)}/telemetry-{abs(hash(sf_dir))}"
+        path = f"{ensure_checkpoint_dir(spark)}/telemetry-{key[0]}-{sha256(sf_dir.encode()).hexdigest()[:16]}"
         derived, cores = derive_telemetry(spark, sf_dir), spark.sparkContext.defaultParallelism
         if derived.rdd.getNumPartitions() < cores:  # a source of few files would leave cores idle in every later scan
             derived = derived.repartition(cores)

@@ -73,8 +73,9 @@ def stream_dedup(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
 class OrderedFoldProcessor(StatefulProcessor):
     """Runs a fold per key in event-time order.
 
-    Rows wait in a list state until the watermark passes them, are drained in (time, seq) order through the same
-    fold as the batch job, and the fold state is kept as one binary value.
+    Rows wait in a map state under their millisecond; its timer takes this one entry when the watermark has passed it and
+    runs its rows, in (time, seq) order, through the same fold as the batch job. So no waiting list is read or sorted as a
+    whole. The fold state is kept as one binary value until nothing in it can matter to a later row.
     """
 
     def __init__(self, fold: Fold):
@@ -82,39 +83,41 @@ class OrderedFoldProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "ts_us bigint, row binary")
+        self.waiting = handle.getMapState("waiting", "due bigint", "rows binary")
         self.state = handle.getValueState("state", "value binary")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802 - Spark API
-        mark = None
+        fresh: dict[int, list] = {}
         for row in rows:
             d = row.asDict(recursive=True)
-            self.waiting.appendValue((d["ts_us"], pickle.dumps([d[c] for c in self.fold.columns])))
-            due = d["ts_us"] // 1000
-            mark = due if mark is None else min(mark, due)
-        if mark is not None:
-            self.handle.registerTimer(max(mark, timerValues.getCurrentWatermarkInMs() + 1))
+            fresh.setdefault(d["ts_us"] // 1000 + 1, []).append([d[c] for c in self.fold.columns])
+        for due, more in fresh.items():
+            old = pickle.loads(bytes(self.waiting.getValue((due,))[0])) if self.waiting.containsKey((due,)) else []
+            self.waiting.updateValue((due,), (pickle.dumps(old + more),))
+            self.handle.registerTimer(due)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802 - Spark API
-        mark = timerValues.getCurrentWatermarkInMs()
-        held = [(ts, bytes(row)) for ts, row in (self.waiting.get() if self.waiting.exists() else ())]
-        ready = sorted((pickle.loads(row) for ts, row in held if ts // 1000 <= mark), key=lambda r: (r[0], r[1]))
-        late = [(ts, row) for ts, row in held if ts // 1000 > mark]
-        if late:
-            self.waiting.put(late)
-            self.handle.registerTimer(min(ts for ts, _ in late) // 1000)
-        else:
-            self.waiting.clear()
-        state = pickle.loads(bytes(self.state.get()[0])) if self.state.exists() else self.fold.start(key[0])
-        out = [e for row in ready for e in self.fold.step(key[0], state, row)]
-        end = self.fold.horizon(key[0], state)
-        if end is not None and end // 1000 < mark and not late:
-            self.state.clear()  # nothing in it can matter to a later row
-        else:
-            self.state.update((pickle.dumps(state),))
-            if end is not None and not late:
-                self.handle.registerTimer(max(end // 1000, mark) + 1)
+        due, out = expiredTimerInfo.getExpiryTimeInMs(), []
+        held = pickle.loads(bytes(self.state.get()[0])) if self.state.exists() else None
+        if self.waiting.containsKey((due,)):
+            rows = pickle.loads(bytes(self.waiting.getValue((due,))[0]))
+            self.waiting.removeKey((due,))
+            state, wake = held if held is not None else (self.fold.start(key[0]), None)
+            for row in sorted(rows, key=lambda r: (r[0], r[1])):
+                out.extend(self.fold.step(key[0], state, row))
+            end = self.fold.horizon(key[0], state)
+            if end is not None and (wake is None or wake <= due):
+                wake = max(end // 1000, due) + 2
+                self.handle.registerTimer(wake)
+            self.state.update((pickle.dumps((state, wake)),))
+        elif held is not None and held[1] is not None and held[1] <= due:
+            end = self.fold.horizon(key[0], held[0])
+            if end // 1000 + 1 < due:
+                self.state.clear()
+            else:
+                self.handle.registerTimer(end // 1000 + 2)
+                self.state.update((pickle.dumps((held[0], end // 1000 + 2)),))
         return iter([Row(**{f.name: self._plain(e[f.name]) for f in self.fold.schema.fields}) for e in out])
 
     @staticmethod
