@@ -33,6 +33,7 @@ LINUX_KINDS = {
 }
 # ------------------------------------------------------------------------------------------------
 FALSY = ["null", "false", "0", "0.0", '""', "[]", "{}"]
+FALSY_LENGTH = max(len(f) for f in FALSY)
 
 
 class Texts:
@@ -51,11 +52,12 @@ class Texts:
 
 
 def with_texts(df: DataFrame, name: str, record: Column) -> DataFrame:
-    """Decode a variant once per row. Empty text, zero, false and empty containers are not usable."""
-    fields = F.try_variant_get(record, "$", "map<string,variant>")
+    """Decode a variant once per row. Empty text, zero, false and empty containers are not usable; as text they are short."""
+    fields, every = F.col(f"{name}_fields"), F.col(f"{name}_every")
     text = lambda v: F.try_variant_get(v, "$", "string")
-    usable = F.transform_values(fields, lambda _, v: F.when(~F.to_json(v).isin(FALSY), text(v)))
-    return df.withColumns({f"{name}_every": F.transform_values(fields, lambda _, v: text(v)), f"{name}_usable": F.map_filter(usable, lambda _, v: v.isNotNull())})
+    df = df.withColumn(f"{name}_fields", F.try_variant_get(record, "$", "map<string,variant>")).withColumn(f"{name}_every", F.transform_values(fields, lambda _, v: text(v)))
+    usable = F.map_filter(every, lambda k, t: t.isNotNull() & ((F.length(t) > FALSY_LENGTH) | ~F.to_json(F.try_element_at(fields, k)).isin(FALSY)))
+    return df.withColumn(f"{name}_usable", usable).drop(f"{name}_fields")
 
 
 REC, DATA = Texts("rec"), Texts("data")
@@ -117,6 +119,12 @@ def _common(source: str) -> dict[str, Column]:
             "tags": F.array().cast("array<string>"), "raw": F.col("raw")}
 
 
+def _held(df: DataFrame) -> DataFrame:
+    """The same rows behind a generator, which keeps the optimiser from working out their columns again inside each later check
+    and filter: a filter on one field would otherwise decode the whole record once per mention of a key."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def with_windows_data(df: DataFrame, is_windows: Column) -> DataFrame:
     """Texts of the nested part of Windows records, or of the record itself, and the event id; null for other records."""
     nested = F.try_variant_get(F.col("raw"), "$.EventData", "variant")
@@ -258,11 +266,13 @@ normalize_windows, normalize_linux, normalize_zeek_conn, normalize_dns, normaliz
 def normalize(records: DataFrame, collector: str | None = None, tenant: str = "default") -> DataFrame:
     """Canonical events of mixed records (columns ``raw`` variant and ``seq``), in one pass.
 
-    Every field is one CASE over the routes, so records are read and taken apart once, whatever the number of adapters.
+    Every field is one CASE over the routes, so records are read and taken apart once, whatever the number of adapters and of
+    filters on the result.
     """
-    tagged = records.select("raw", "seq", F.lit(tenant).alias("tenant"), digest_id("evt_", F.lit(tenant), F.col("seq"), F.to_json("raw")).alias("new_id"))
+    tagged = records.select("raw", "seq", F.lit(tenant).alias("tenant"))
     routed = with_texts(tagged, "rec", F.col("raw")).withColumn("route", route_column(F.lit(collector) if collector else F.lit(None).cast("string")))
-    routed = with_windows_data(routed, F.col("route") == "windows")
+    routed = _held(with_windows_data(routed, F.col("route") == "windows"))
+    routed = routed.withColumn("new_id", digest_id("evt_", F.lit(tenant), F.col("seq"), F.to_json("raw")))
     fields = {route: columns() for route, columns in FIELDS.items()}
 
     def chosen(name: str, dtype: T.DataType) -> Column:
@@ -285,9 +295,7 @@ def with_violations(events: DataFrame) -> DataFrame:
         F.when(F.col("action").isNull(), F.lit("action missing")),
         *[F.when(F.length(c) > MAX_STRING, F.lit(f"{c} too long")) for c in STRING_FIELDS],
     ]
-    # a generator keeps the optimiser from working out every field again inside each check and filter
-    once = events.select(F.inline(F.array(F.struct(*events.columns))))
-    return once.withColumn("violations", F.array_compact(F.array(*checks)))
+    return _held(events).withColumn("violations", F.array_compact(F.array(*checks)))
 
 
 def validate(events: DataFrame) -> tuple[DataFrame, DataFrame]:
