@@ -35,11 +35,14 @@ def arrival_batch() -> Column:
     return sum((F.when(F.col("timestamp") >= F.lit(c).cast("timestamp"), 1).otherwise(0) for c in CUTS), F.lit(0))
 
 
-def closing_rows(events: DataFrame, days: int) -> DataFrame:
-    """Two rows of the closing tenant: a failed login and a look-up, each on a host, for every kind of operator."""
+ROWS_PER_FILE = 200_000
+
+
+def closing_rows(events: DataFrame, days: int, files: int = 1) -> DataFrame:
+    """Two rows per file of the closing tenant: a failed login and a look-up, each on a host, for every kind of operator."""
     blank = {c: F.lit(None).cast(events.schema[c].dataType) for c in events.columns}
-    rows = events.sparkSession.range(2).select(*[v.alias(c) for c, v in blank.items()], "id")
-    is_login = F.col("id") == 0
+    rows = events.sparkSession.range(0, 2 * files, 1, files).select(*[v.alias(c) for c, v in blank.items()], "id")
+    is_login = F.col("id") % 2 == 0
     return rows.withColumns({
         "event_id": F.concat(F.lit(f"closing-{days}-"), F.col("id")), "tenant_id": F.lit(CLOSING), "seq": -1 - F.col("id"), "host": F.lit("h"), "user": F.lit("u"), "domain": F.lit("a.b"),
         "timestamp": F.lit("2024-03-01").cast("timestamp") + F.make_interval(days=F.lit(days)), "event_type": F.when(is_login, "authentication").otherwise("dns_query"),
@@ -47,13 +50,22 @@ def closing_rows(events: DataFrame, days: int) -> DataFrame:
 
 
 def replayed(events: DataFrame, batch: Column, batches: int) -> DataFrame:
-    """A stream of ``events``, one file per trigger, batch after batch, then the closing rows."""
+    """A stream of ``events``, one batch per trigger, then the closing rows.
+
+    Every batch is the same number of files, more for a larger table, so no task writes or reads a batch alone; a batch with
+    fewer rows than files is filled up with empty files.
+    """
     spark, path = events.sparkSession, folder(events.sparkSession, "in")
+    files = -(-events.count() // (ROWS_PER_FILE * batches)) or 1
+    empty = events.limit(0)
     for n in range(batches):
-        events.where(batch == n).coalesce(1).write.mode("append").parquet(path)
+        own = events.where(batch == n)
+        (own.coalesce(1) if files == 1 else own.repartition(files)).write.mode("append").parquet(path)
+        for _ in range(files * (n + 1) - len(spark.read.schema(events.schema).parquet(path).inputFiles()) if files > 1 else 0):
+            empty.coalesce(1).write.mode("append").parquet(path)
     for days in (400, 800, 1200):
-        closing_rows(events, days).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        closing_rows(events, days, files).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def outcome(stream: DataFrame) -> DataFrame:

@@ -1,9 +1,8 @@
 """Statistical baselines over a stream: per-key state in event-time order, equal to the batch operators.
 
 Every event is dealt to the keys it teaches (user for logins, host for starts, transfers and queries). Its row waits in a
-map state under its millisecond until the watermark has passed it; the timer of that millisecond takes this one entry, so
-no waiting list is ever read or sorted as a whole. Rareness of a process over all hosts is a second state, keyed by the
-process, that sees only first starts on a host.
+sorted part until the watermark has passed it (``WaitingRows``); what a key has learned is read and written once a call, not
+per row. Rareness of a process over all hosts is a second state, keyed by the process, that sees only first starts on a host.
 
 State ends in event time: ``idle`` after the last row of a key its state is removed (state TTL of Spark counts
 processing time, with which a replay would not give the same result).
@@ -11,8 +10,9 @@ processing time, with which a replay would not give the same result).
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
+from typing import Any
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
@@ -22,7 +22,7 @@ from nightjar.functions.net import is_private_ip
 from nightjar.functions.text import shannon_entropy
 from nightjar.operators import baselines as B
 from nightjar.schema import filled, micros, seconds
-from nightjar.streaming.jobs import use_rocksdb
+from nightjar.streaming.jobs import WaitingRows, use_rocksdb
 
 PAYLOAD = T.StructType([
     *[T.StructField(n, T.TimestampType() if n == "timestamp" else T.StringType()) for n in B.CARRIED if n != "timestamp"], T.StructField("seq", T.LongType()),
@@ -47,8 +47,8 @@ class InOrder(StatefulProcessor):
         self.idle_ms = None if idle_us is None else max(1, idle_us // 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getMapState("waiting", "due bigint", "rows binary")
+        self.handle, self.held = handle, {}
+        self.waiting = WaitingRows(handle)
         self.alive = handle.getValueState("alive", "last bigint")
         self.open(handle)
 
@@ -66,40 +66,54 @@ class InOrder(StatefulProcessor):
         """True for rows that need no state and no order."""
         return False
 
+    def recall(self, name: Any, load: Callable[[], Any]) -> Any:
+        """What a state says, read once a call."""
+        if name not in self.held:
+            self.held[name] = load()
+        return self.held[name]
+
+    def store(self) -> None:
+        """Write what a call has changed in ``held``."""
+        raise NotImplementedError
+
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802 - Spark API
-        fresh: dict[int, list] = {}
-        for row in rows:
-            held = row.asDict()
-            if self.at_once(held["kind"], held):
-                yield self.made(held["kind"], held, {n: held.get(n) for n in MEASURES.names})
-            else:
-                fresh.setdefault(held["ts_us"] // 1000 + 1, []).append(held)
-        for due, more in fresh.items():
-            old = pickle.loads(bytes(self.waiting.getValue((due,))[0])) if self.waiting.containsKey((due,)) else []
-            self.waiting.updateValue((due,), (pickle.dumps(old + more),))
-            self.handle.registerTimer(due)
+        passed: list[Row] = []
+
+        def values() -> Iterator[tuple]:
+            for row in rows:
+                held = row.asDict()
+                if self.at_once(held["kind"], held):
+                    passed.append(self.made(held["kind"], held, {n: held.get(n) for n in MEASURES.names}))
+                else:
+                    yield held["ts_us"], held["seq"], held
+
+        self.waiting.add(values())
+        return iter(passed)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802 - Spark API
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        last = self.alive.get()[0] if self.alive.exists() else None
-        if self.waiting.containsKey((due,)):
-            rows = pickle.loads(bytes(self.waiting.getValue((due,))[0]))
-            self.waiting.removeKey((due,))
-            if self.idle_ms is not None and last is not None and due - last > self.idle_ms:
-                self.forget()  # the watermark has passed the pause and this row in one step
-            for row in sorted(rows, key=lambda r: (r["ts_us"], r["seq"])):
-                for kind, measures in self.step(row["kind"], row):
-                    yield self.made(kind, row, NOTHING | measures)
-            if self.idle_ms is not None:
-                self.alive.update((due,))
-                if last is None:
-                    self.handle.registerTimer(due + self.idle_ms)
-        elif self.idle_ms is not None and last is not None:
-            if last + self.idle_ms > due:
-                self.handle.registerTimer(last + self.idle_ms)
-            else:
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        self.held = {}
+        before = self.alive.get()[0] if self.idle_ms is not None and self.alive.exists() else None
+        last, ran = before, False
+        for piece in self.waiting.take(now):
+            for due, rows in groupby(piece, WaitingRows.due):
+                if self.idle_ms is not None and last is not None and due - last > self.idle_ms:
+                    self.forget()  # the watermark has passed the pause and this row in one step
+                    self.held = {}
+                last, ran = due, True
+                for _, _, row in rows:
+                    for kind, measures in self.step(row["kind"], row):
+                        yield self.made(kind, row, NOTHING | measures)
+        if ran:
+            self.store()
+        if self.idle_ms is not None and last is not None:
+            if last + self.idle_ms <= now:
                 self.alive.clear()
                 self.forget()
+            else:
+                self.alive.update((last,))
+                if before != last or expiredTimerInfo.getExpiryTimeInMs() >= last + self.idle_ms:
+                    self.handle.registerTimer(last + self.idle_ms)
 
     def made(self, kind: str, row: dict, measures: dict) -> Row:
         return Row(**{n: kind if n == "kind" else measures[n] if n in MEASURES.names else row[n] for n in self.output.names})
@@ -129,28 +143,44 @@ class KeyBaselines(InOrder):
     def at_once(self, kind: str, row: dict) -> bool:
         return kind == "odd_label"
 
+    def store(self) -> None:
+        for name, value in self.held.items():
+            if name == "rows":
+                self.rows.update((value,))
+            elif name == "hours":
+                for hour, n in value.items():
+                    self.hours.updateValue((hour,), (n,))
+            elif name == "volumes":
+                self.volumes.update((value.tobytes(),))
+            elif name == "lookups":
+                self.lookups.update((value[0].tobytes(), value[1]))
+            elif value:
+                self.seen.updateValue((name[1],), (1,))
+
     def count(self) -> int:
         """Rows of this key before this one."""
-        before = self.rows.get()[0] if self.rows.exists() else 0
-        self.rows.update((before + 1,))
+        before = self.recall("rows", lambda: self.rows.get()[0] if self.rows.exists() else 0)
+        self.held["rows"] = before + 1
         return before
 
     def first(self, what: str) -> bool:
-        if self.seen.containsKey((what,)):
+        """True once per value; ``held`` tells those that are new in this call."""
+        name = ("seen", what)
+        if name in self.held:
             return False
-        self.seen.updateValue((what,), (1,))
-        return True
+        self.held[name] = not self.seen.containsKey((what,))
+        return self.held[name]
 
     def step(self, kind: str, row: dict) -> Iterator[tuple[str, dict]]:
         return getattr(self, kind)(row)
 
     def login(self, row: dict) -> Iterator[tuple[str, dict]]:
-        before, hist = self.count(), {k[0]: v[0] for k, v in self.hours.iterator()}
+        before, hist = self.count(), self.recall("hours", lambda: {k[0]: v[0] for k, v in self.hours.iterator()})
         share = sum(hist.get((row["hour"] + off) % 24, 0) * w for off, w in ((23, 0.5), (0, 1.0), (1, 0.5))) / (2.0 * before) if before else None
         if before >= B.LOGIN_HISTORY and share < B.LOGIN_SHARE:
             most = max(hist.values())
             yield "login_hour", {"history": before, "share": share, "peak_hour": min(h for h, n in hist.items() if n == most)}
-        self.hours.updateValue((row["hour"],), (hist.get(row["hour"], 0) + 1,))
+        hist[row["hour"]] = hist.get(row["hour"], 0) + 1
         new_country = bool(row["geo_country"]) and self.first("country:" + row["geo_country"])
         new_ip = bool(row["src_ip"]) and bool(row["public_src"]) and self.first("ip:" + row["src_ip"])
         if before >= B.LOCATION_HISTORY and (new_country or new_ip):
@@ -162,7 +192,7 @@ class KeyBaselines(InOrder):
             yield "first_start", {"history": before}
 
     def transfer(self, row: dict) -> Iterator[tuple[str, dict]]:
-        past = np.frombuffer(bytes(self.volumes.get()[0]), dtype=np.float64) if self.volumes.exists() else np.empty(0)
+        past = self.recall("volumes", lambda: np.frombuffer(bytes(self.volumes.get()[0]), dtype=np.float64) if self.volumes.exists() else np.empty(0))
         x = float(np.log1p(row["bytes_out"]))
         if row["wanted"] and len(past) >= B.VOLUME_HISTORY:
             middle = float(np.median(past))
@@ -170,15 +200,19 @@ class KeyBaselines(InOrder):
                 z = B.Z_SCALE * (x - middle) / (float(np.median(np.abs(past - middle))) or B.MAD_FLOOR)
                 if z >= B.VOLUME_Z:
                     yield "egress", {"median_x": middle, "z": z}
-        self.volumes.update((np.append(past, x)[-B.VOLUME_KEEP:].tobytes(),))
+        self.held["volumes"] = np.append(past, x)[-B.VOLUME_KEEP:]
 
     def lookup(self, row: dict) -> Iterator[tuple[str, dict]]:
-        last, fired = self.lookups.get() if self.lookups.exists() else (b"", None)
-        times = np.append(np.frombuffer(bytes(last), dtype=np.int64), row["ts_us"])[-self.burst_count:]
+        last, fired = self.recall("lookups", self.known_lookups)
+        times = np.append(last, row["ts_us"])[-self.burst_count:]
         if len(times) == self.burst_count and times[0] >= row["ts_us"] - self.burst_us and (fired is None or row["ts_us"] - fired > self.quiet_us):
             fired = row["ts_us"]
             yield "burst", {}
-        self.lookups.update((times.tobytes(), fired))
+        self.held["lookups"] = (times, fired)
+
+    def known_lookups(self) -> tuple[np.ndarray, int | None]:
+        last, fired = self.lookups.get() if self.lookups.exists() else (b"", None)
+        return np.frombuffer(bytes(last), dtype=np.int64), fired
 
 
 class ProcessSpread(InOrder):
@@ -187,6 +221,9 @@ class ProcessSpread(InOrder):
     def open(self, handle: StatefulProcessorHandle) -> None:
         self.hosts = handle.getValueState("hosts", "n int")
 
+    def store(self) -> None:
+        self.hosts.update((self.held["hosts"],))
+
     def forget(self) -> None:
         self.hosts.clear()
 
@@ -194,8 +231,8 @@ class ProcessSpread(InOrder):
         return kind != "first_start"
 
     def step(self, kind: str, row: dict) -> Iterator[tuple[str, dict]]:
-        known = self.hosts.get()[0] if self.hosts.exists() else 0
-        self.hosts.update((known + 1,))
+        known = self.recall("hosts", lambda: self.hosts.get()[0] if self.hosts.exists() else 0)
+        self.held["hosts"] = known + 1
         if row["history"] >= B.PROCESS_HISTORY and known <= B.PROCESS_HOSTS:
             yield "rare_process", {"org_hosts": known}
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable, Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, groupby
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
@@ -70,12 +72,93 @@ def stream_dedup(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return with_fingerprint(events).withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["fingerprint"]).drop("fingerprint")
 
 
+class WaitingRows:
+    """Rows ``(ts_us, seq, value)`` of one key until the watermark has passed them, kept in sorted parts.
+
+    A call adds one part, or parts of one hour each when it brings many rows; a list of the parts' spans tells which are due.
+    So a call reads and writes state once per part, not per row; one timer a key stands at its earliest waiting row. Rows that
+    are due come back in pieces that do not overlap in time, so a busy key is never held as a whole.
+    """
+
+    CHUNK, SPAN_MS = 10_000, 3_600_000
+
+    def __init__(self, handle: StatefulProcessorHandle):
+        self.handle = handle
+        self.rows = handle.getMapState("waiting", "part bigint", "rows binary")
+        self.plan = handle.getValueState("parts", "parts binary, timer bigint")
+
+    @staticmethod
+    def due(row: tuple) -> int:
+        return row[0] // 1000 + 1
+
+    @staticmethod
+    def order(row: tuple) -> tuple:
+        return row[0], row[1] is not None, row[1] or 0
+
+    def _read(self) -> tuple[list, int | None]:
+        held = self.plan.get() if self.plan.exists() else None
+        return (pickle.loads(bytes(held[0])), held[1]) if held else ([], None)
+
+    def _save(self, parts: list, timer: int | None) -> None:
+        if not parts:
+            self.plan.clear()
+            return
+        first = min(p[0] for p in parts)
+        if timer is None or first < timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(first)
+            timer = first
+        self.plan.update((pickle.dumps(parts), timer))
+
+    def _store(self, rows: list, number: int) -> tuple[int, int, int]:
+        self.rows.updateValue((number,), (pickle.dumps(rows),))
+        return self.due(rows[0]), self.due(rows[-1]), number
+
+    def add(self, rows: Iterable[tuple]) -> None:
+        parts, timer = self._read()
+        number, chunk, busy = max((p[2] for p in parts), default=-1) + 1, [], False
+        for row in chain(rows, (None,)):
+            if row is not None:
+                chunk.append(row)
+                if len(chunk) < self.CHUNK:
+                    continue
+                busy = True
+            chunk.sort(key=self.order)
+            for _, part in groupby(chunk, lambda r: self.due(r) // self.SPAN_MS if busy else 0):
+                parts.append(self._store(list(part), number))
+                number += 1
+            chunk = []
+        self._save(parts, timer)
+
+    def take(self, upto: int) -> Iterator[list]:
+        """Rows due at ``upto`` in order, piece by piece; they no longer wait."""
+        parts, timer = self._read()
+        ready, later = sorted(p for p in parts if p[0] <= upto), [p for p in parts if p[0] > upto]
+        at = 0
+        while at < len(ready):
+            end, start = ready[at][1], at
+            while at < len(ready) and ready[at][0] <= end:
+                end, at = max(end, ready[at][1]), at + 1
+            rows = []
+            for _, _, number in ready[start:at]:
+                rows += pickle.loads(bytes(self.rows.getValue((number,))[0]))
+                self.rows.removeKey((number,))
+            rows.sort(key=self.order)
+            cut = bisect_right(rows, upto, key=self.due)
+            if cut < len(rows):
+                later.append(self._store(rows[cut:], ready[start][2]))
+            yield rows[:cut]
+        if ready:
+            self._save(later, None if timer is not None and timer <= upto else timer)
+
+
 class OrderedFoldProcessor(StatefulProcessor):
     """Runs a fold per key in event-time order.
 
-    Rows wait in a map state under their millisecond; its timer takes this one entry when the watermark has passed it and
-    runs its rows, in (time, seq) order, through the same fold as the batch job. So no waiting list is read or sorted as a
-    whole. The fold state is kept as one binary value until nothing in it can matter to a later row.
+    Rows wait (:class:`WaitingRows`) until the watermark has passed them and then run, in (time, seq) order, through the same
+    fold as the batch job. The fold state is read and written once a call, as one binary value, until nothing in it can matter
+    to a later row.
     """
 
     def __init__(self, fold: Fold):
@@ -83,42 +166,41 @@ class OrderedFoldProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "due bigint", "rows binary")
+        self.waiting = WaitingRows(handle)
         self.state = handle.getValueState("state", "value binary")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802 - Spark API
-        fresh: dict[int, list] = {}
-        for row in rows:
-            d = row.asDict(recursive=True)
-            fresh.setdefault(d["ts_us"] // 1000 + 1, []).append([d[c] for c in self.fold.columns])
-        for due, more in fresh.items():
-            old = pickle.loads(bytes(self.waiting.getValue((due,))[0])) if self.waiting.containsKey((due,)) else []
-            self.waiting.updateValue((due,), (pickle.dumps(old + more),))
-            self.handle.registerTimer(due)
+        def values() -> Iterator[tuple]:
+            for row in rows:
+                d = row.asDict(recursive=True)
+                yield d["ts_us"], d["seq"], [d[c] for c in self.fold.columns]
+
+        self.waiting.add(values())
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802 - Spark API
-        due, out = expiredTimerInfo.getExpiryTimeInMs(), []
-        held = pickle.loads(bytes(self.state.get()[0])) if self.state.exists() else None
-        if self.waiting.containsKey((due,)):
-            rows = pickle.loads(bytes(self.waiting.getValue((due,))[0]))
-            self.waiting.removeKey((due,))
-            state, wake = held if held is not None else (self.fold.start(key[0]), None)
-            for row in sorted(rows, key=lambda r: (r[0], r[1])):
-                out.extend(self.fold.step(key[0], state, row))
-            end = self.fold.horizon(key[0], state)
-            if end is not None and (wake is None or wake <= due):
-                wake = max(end // 1000, due) + 2
-                self.handle.registerTimer(wake)
+        now, changed = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()), False
+        state, wake = pickle.loads(bytes(self.state.get()[0])) if self.state.exists() else (None, None)
+        for piece in self.waiting.take(now):
+            for _, _, row in piece:
+                if state is None:
+                    state = self.fold.start(key[0])
+                changed = True
+                for e in self.fold.step(key[0], state, row):
+                    yield Row(**{f.name: self._plain(e[f.name]) for f in self.fold.schema.fields})
+        if state is None:
+            return
+        end = self.fold.horizon(key[0], state)
+        if end is not None and end // 1000 + 1 < now:
+            self.state.clear()
+            return
+        if end is not None and (wake is None or wake <= now):
+            wake, changed = end // 1000 + 2, True
+            if wake <= now:
+                wake = now + 1
+            self.handle.registerTimer(wake)
+        if changed:
             self.state.update((pickle.dumps((state, wake)),))
-        elif held is not None and held[1] is not None and held[1] <= due:
-            end = self.fold.horizon(key[0], held[0])
-            if end // 1000 + 1 < due:
-                self.state.clear()
-            else:
-                self.handle.registerTimer(end // 1000 + 2)
-                self.state.update((pickle.dumps((held[0], end // 1000 + 2)),))
-        return iter([Row(**{f.name: self._plain(e[f.name]) for f in self.fold.schema.fields}) for e in out])
 
     @staticmethod
     def _plain(value):
