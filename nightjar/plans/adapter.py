@@ -10,7 +10,7 @@ from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from nightjar.session import ensure_checkpoint_dir, prepare
+from nightjar.session import ensure_checkpoint_dir, prepare, shuffle_width
 
 # (name, expression over event_id, user_id, event_type as t, value, k)
 _EVENT_VIEW: list[tuple[str, str]] = [
@@ -133,6 +133,12 @@ def derive_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("tags", F.array_compact(F.array("tags")))
 
 
+def spread(texts: DataFrame) -> DataFrame:
+    """Rows of long texts dealt to all cores: a file of few row groups would leave the work on a text to as few tasks."""
+    spark = texts.sparkSession
+    return texts.repartition(max(shuffle_width(spark), spark.sparkContext.defaultParallelism))
+
+
 def telemetry(spark: SparkSession, sf_dir: str, keep_inputs: bool = False) -> DataFrame:
     """The canonical events as a table: derived once per application, written to the shared folder, then scanned.
 

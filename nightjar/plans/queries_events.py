@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from nightjar.functions.conditions import holds
 from nightjar.functions.text import shannon_entropy
 from nightjar.operators import events as E
-from nightjar.plans.adapter import telemetry
+from nightjar.plans.adapter import spread, telemetry
 from nightjar.plans.registry import part, register
 
 part("ip_num", """
@@ -65,8 +65,8 @@ for _name, (_spec, _sql) in CONDITIONS.items():
 
 def entropy_of_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entropy over whole documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", F.round(shannon_entropy(F.col("text")), 6).alias("entropy"))
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return docs.select("doc_id", F.round(shannon_entropy(F.col("text"), long_texts=True), 6).alias("entropy"))
 
 
 register("document_entropy", entropy_of_texts, f"SELECT doc_id, round({ENTROPY_SQL.format(x='text')}, 6) AS entropy FROM documents")

@@ -12,7 +12,7 @@ from nightjar.operators import text_guard as T
 from nightjar.operators import views as Q
 from nightjar.operators.incidents import effective_phase
 from nightjar.operators.intel import extract_observables
-from nightjar.plans.adapter import sample_detections, telemetry
+from nightjar.plans.adapter import sample_detections, spread, telemetry
 from nightjar.plans.queries_cases import case_detections, case_events, case_incidents, tactic_sql
 from nightjar.plans.queries_events import SUMMARY_SQL
 from nightjar.plans.queries_intel import sample_iocs, web_events
@@ -217,7 +217,7 @@ def document_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims of every document and conversation turn, whole texts."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("text_id"), "text")
     conv = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("."), F.col("turn").cast("string")).alias("text_id"), "text")
-    return T.extract_claims(docs.unionByName(conv))
+    return T.extract_claims(spread(docs.unionByName(conv)))
 
 
 register("extract_claims", document_claims)
