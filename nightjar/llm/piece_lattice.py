@@ -32,6 +32,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE, LITERAL = "▁", "\udcff"  # a lone surrogate occurs in no text
 NEVER = -(1 << 60)
 LONG_UNIT = 64  # longer units are solved one by one
+PART_CHARS = 100_000  # of units solved together, so that the arrays of a position stay in the cache
+MIX, FILTER_SHIFT = np.uint64(0xD6E8FEB86659FD93), np.uint64(47)  # fingerprint to slot
 NBEST = T.ArrayType(T.StructType([
     T.StructField("score", T.DoubleType()),
     T.StructField("edits", T.ArrayType(T.StructType([
@@ -115,7 +117,9 @@ class Lattice:
                 prints = prints * self.base + codes[:, j]
             order = np.argsort(prints)
             held = [self.pieces[n] for n in names]
-            self.by_length[length] = (prints[order], codes[order], np.array([h[0] for h in held])[order], np.array([h[1] for h in held])[order])
+            filled = np.zeros(1 << 64 - int(FILTER_SHIFT), bool)  # slots of known fingerprints: most others need no search
+            filled[prints * MIX >> FILTER_SHIFT] = True
+            self.by_length[length] = (prints[order], codes[order], np.array([h[0] for h in held])[order], np.array([h[1] for h in held])[order], filled)
 
     def units(self, text: str) -> list[str]:
         """The chain of units of a text, with the mark that SentencePiece puts before it."""
@@ -132,22 +136,15 @@ class Lattice:
         if not single:
             yield 1, -1, self.missing
 
-    def forward(self, unit: str) -> list[int]:
-        """Best score of every prefix."""
-        best = [NEVER] * (len(unit) + 1)
-        best[0] = 0
-        for start in range(len(unit)):
-            for length, _, score in self.edges(unit, start):
-                best[start + length] = max(best[start + length], best[start] + score)
-        return best
-
     def search(self, unit: str, n: int) -> list[tuple[int, list[int]]]:
         """The ``n`` best segmentations (score, lengths) of a unit with marked spaces, best first."""
-        best = self.forward(unit)
+        best = [NEVER] * (len(unit) + 1)  # score of every prefix
+        best[0] = 0
         into: list[list[tuple[int, int]]] = [[] for _ in range(len(unit) + 1)]
         for start in range(len(unit)):
             for length, _, score in self.edges(unit, start):
                 into[start + length].append((length, score))
+                best[start + length] = max(best[start + length], best[start] + score)
         agenda = [Hypothesis(len(unit), 0, -best[-1], 0, None)]
         out = []
         while agenda and len(out) < n:
@@ -181,84 +178,114 @@ class Lattice:
     def solve(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For many marked units at once: starts and ids of their best tokens, best score, and loss of the second best."""
         lengths = np.fromiter(map(len, units), np.int64, len(units))
-        score, loss = np.zeros(len(units), np.int64), np.full(len(units), -NEVER, np.int64)
-        tokens: list[list[int] | np.ndarray] = [[]] * len(units)
+        score, loss, counts = np.zeros(len(units), np.int64), np.full(len(units), -NEVER, np.int64), np.zeros(len(units), np.int64)
+        single: dict[int, list[int]] = {}
+        tables = []
         for i in np.flatnonzero(lengths > LONG_UNIT).tolist():
             found = self.search(units[i], 2)
-            score[i], tokens[i] = found[0][0], self.ids(units[i], found[0][1])
+            score[i], single[i] = found[0][0], self.ids(units[i], found[0][1])
             if len(found) > 1:
                 loss[i] = found[0][0] - found[1][0]
         for m in np.unique(lengths[lengths <= LONG_UNIT]).tolist():
             group = np.flatnonzero(lengths == m)
-            for part in np.array_split(group, -(-len(group) * m // 400_000)):
-                self._solve_equal(units, part, m, score, loss, tokens)
-        starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)))]).astype(np.int64)
-        ids = np.fromiter(itertools.chain.from_iterable(tokens), np.int64, int(starts[-1]))
+            for part in np.array_split(group, -(-len(group) * m // PART_CHARS)):
+                table, score[part], loss[part] = self._solve_equal(units, part, m)
+                lacks = (table == -1).any(axis=0)
+                for row in np.flatnonzero(lacks).tolist():
+                    i = int(part[row])
+                    single[i] = self._with_bytes(units[i], table[:, row])
+                table, part = table[:, ~lacks], part[~lacks]
+                held = table > -2
+                counts[part] = held.sum(axis=0)
+                tables.append((part, table.T[held.T]))
+        for i, own in single.items():
+            counts[i] = len(own)
+        starts = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+        ids = np.zeros(int(starts[-1]), np.int64)
+        for part, flat in tables:
+            n = counts[part]
+            ids[np.arange(len(flat)) + np.repeat(starts[part] - np.cumsum(n) + n, n)] = flat
+        for i, own in single.items():
+            ids[starts[i]:starts[i + 1]] = own
         return starts, ids, score, loss
 
-    def _solve_equal(self, units: list[str], group: np.ndarray, m: int, score: np.ndarray, loss: np.ndarray, tokens: list) -> None:
-        """Units of one length: Viterbi forwards and backwards over all of them, column by column."""
-        codes = np.frombuffer("".join(units[i] for i in group.tolist()).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(group), m).astype(np.uint64)
-        edge_score, edge_id = {}, {}
+    def _with_bytes(self, unit: str, path: np.ndarray) -> list[int]:
+        """The tokens of a unit's path with byte tokens in place of -1; -2 is no token."""
+        spell, place = [], 0
+        for k in path[path > -2].tolist():
+            spell += [k] if k >= 0 else self.spelled(unit[place])
+            place += len(self._name(k)) if k >= 0 else 1
+        return spell
+
+    def _solve_equal(self, units: list[str], group: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Units of one length: Viterbi forwards and backwards over all of them, position by position.
+
+        Returns the tokens of the best paths (one column per unit, -1 for a missing character, -2 for none), best scores, losses.
+        """
+        n = len(group)
+        codes = np.frombuffer("".join(units[i] for i in group.tolist()).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        codes = codes.reshape(n, m).T.astype(np.uint64, order="C")
+        spelled, edge_score, edge_id, live = codes.ravel(), {}, {}, {}
         prints = codes
         for length in range(1, min(m, self.longest) + 1):
             width = m - length + 1
             if length > 1:
-                prints = prints[:, :width] * self.base + codes[:, length - 1:]
-            s, p = np.full((len(group), width), NEVER, np.int64), np.full((len(group), width), -1, np.int64)
+                prints = prints[:width] * self.base + codes[length - 1:]
+            if length not in self.by_length and length > 1:
+                continue
+            s, p = np.full(width * n, NEVER, np.int64), np.full(width * n, -1, np.int64)
             if length in self.by_length:
-                known, spelling, ids, scores = self.by_length[length]
-                at = np.minimum(np.searchsorted(known, prints), len(known) - 1)
-                hit = known[at] == prints
+                known, spelling, ids, scores, filled = self.by_length[length]
+                mine = prints.ravel()
+                place = np.flatnonzero(filled[mine * MIX >> FILTER_SHIFT])
+                mine = mine[place]
+                at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+                hit = known[at] == mine
+                place, at = place[hit], at[hit]
+                hit = np.ones(len(place), bool)
                 for j in range(length):
-                    hit &= spelling[at, j] == codes[:, j:j + width]
-                s[hit], p[hit] = scores[at[hit]], ids[at[hit]]
+                    hit &= spelling[at, j] == spelled[place + j * n]
+                place, at = place[hit], at[hit]
+                s[place], p[place] = scores[at], ids[at]
             if length == 1:
                 s[p < 0] = self.missing
-            edge_score[length], edge_id[length] = s, p
-        ahead, cut = np.full((len(group), m + 1), NEVER, np.int64), np.zeros((len(group), m + 1), np.int64)
-        ahead[:, 0] = 0
+            s = s.reshape(width, n)
+            starts = np.flatnonzero((s > NEVER // 2).any(axis=1))
+            if len(starts):
+                edge_score[length], edge_id[length], live[length] = s, p.reshape(width, n), set(starts.tolist())
+        ahead, cut = np.full((m + 1, n), NEVER, np.int64), np.zeros((m + 1, n), np.int64)
+        ahead[0] = 0
         for end in range(1, m + 1):
-            for length in range(1, min(end, self.longest) + 1):
-                offer = ahead[:, end - length] + edge_score[length][:, end - length]
-                better = (offer >= ahead[:, end]) & (offer > NEVER // 2)
-                ahead[better, end], cut[better, end] = offer[better], length
-        behind = np.full((len(group), m + 1), NEVER, np.int64)
-        behind[:, m] = 0
+            for length, starts in live.items():
+                if end - length in starts:
+                    offer = ahead[end - length] + edge_score[length][end - length]
+                    better = (offer >= ahead[end]) & (offer > NEVER // 2)
+                    np.copyto(ahead[end], offer, where=better)
+                    np.copyto(cut[end], length, where=better)
+        behind = np.full((m + 1, n), NEVER, np.int64)
+        behind[m] = 0
         for start in range(m - 1, -1, -1):
-            for length in range(1, min(m - start, self.longest) + 1):
-                behind[:, start] = np.maximum(behind[:, start], edge_score[length][:, start] + behind[:, start + length])
-        best = ahead[:, m]
-        used = {length: np.zeros((len(group), m - length + 1), bool) for length in edge_score}
-        at, path = np.full(len(group), m), []
+            for length, starts in live.items():
+                if start in starts:
+                    np.maximum(behind[start], edge_score[length][start] + behind[start + length], out=behind[start])
+        best = ahead[m]
+        used = {length: np.zeros(s.shape, bool) for length, s in edge_score.items()}
+        at, path = np.full(n, m), []
         while (at > 0).any():
-            length = np.where(at > 0, cut[np.arange(len(group)), at], 0)
-            token = np.full(len(group), -2, np.int64)
+            length = np.where(at > 0, cut[at, np.arange(n)], 0)
+            token = np.full(n, -2, np.int64)
             for k in np.unique(length[length > 0]).tolist():
                 rows = np.flatnonzero(length == k)
-                used[k][rows, at[rows] - k] = True
-                token[rows] = edge_id[k][rows, at[rows] - k]
+                used[k][at[rows] - k, rows] = True
+                token[rows] = edge_id[k][at[rows] - k, rows]
             path.append(token)
             at = at - length
-        second = np.full(len(group), NEVER, np.int64)
+        second = np.full(n, NEVER, np.int64)
         for length, s in edge_score.items():
-            width = m - length + 1
-            through = np.where(used[length] | (s <= NEVER // 2), NEVER, ahead[:, :width] + s + behind[:, length:])
-            second = np.maximum(second, through.max(axis=1))
-        score[group] = best
-        loss[group] = np.where(second > NEVER // 2, best - second, -NEVER)
-        table = np.stack(path[::-1], axis=1)
-        for row, i in zip(table, group.tolist(), strict=True):
-            own = row[row > -2]
-            if (own < 0).any():
-                spell, place = [], 0
-                for k in own.tolist():  # rebuild with byte tokens
-                    length = len(self._name(k)) if k >= 0 else 1
-                    spell += [k] if k >= 0 else self.spelled(units[i][place])
-                    place += length
-                tokens[i] = spell
-            else:
-                tokens[i] = own
+            for start in live[length]:
+                through = ahead[start] + s[start] + behind[start + length]
+                np.maximum(second, through, out=second, where=~used[length][start] & (s[start] > NEVER // 2))
+        return np.stack(path[::-1]), best, np.where(second > NEVER // 2, best - second, -NEVER)
 
     def _name(self, token: int) -> str:
         return self.text[token].decode()
@@ -268,6 +295,14 @@ class Lattice:
         return b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
 
 
+class Places(dict):
+    """Numbers keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        return number
+
+
 def merge_lists(lists: list[list[int]], n: int) -> list[tuple[int, tuple[int, ...]]]:
     """The ``n`` smallest sums (sum, choice) of one loss per list; each list ascends from 0. Ties prefer earlier choices."""
     first = (0,) * len(lists)
@@ -286,8 +321,8 @@ def merge_lists(lists: list[list[int]], n: int) -> list[tuple[int, tuple[int, ..
 
 def encode_texts(lattice: Lattice, texts: list[str | None], n: int) -> Iterator[tuple[np.ndarray | None, list]]:
     """Best ids and the n-best list (score, edits against the best ids) of each text; null gives nulls."""
-    place: dict[str, int] = {}
-    chains = [np.fromiter((place.setdefault(u, len(place)) for u in lattice.units(t)), np.int64) if t is not None else None for t in texts]
+    place = Places()
+    chains = [np.fromiter(map(place.__getitem__, lattice.units(t)), np.int64) if t is not None else None for t in texts]
     marked = [u.replace(" ", SPACE) for u in place]
     starts, ids, score, loss = lattice.solve(marked)
     lists: dict[int, list[tuple[int, list[int]]]] = {}

@@ -52,6 +52,19 @@ def test_texts_against_merged_units(lattice):
             assert lattice.decode(own) == text
 
 
+def test_few_fingerprints_are_searched(lattice, monkeypatch):
+    draw = random.Random(3)
+    units = list({"▁" + "".join(draw.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(draw.randint(4, 12))) for _ in range(500)})
+    substrings = sum(max(0, len(u) - n + 1) for u in units for n in lattice.by_length)
+    asked, search = [], pl.np.searchsorted
+    monkeypatch.setattr(pl.np, "searchsorted", lambda known, values: asked.append(len(values.ravel())) or search(known, values))
+    starts, ids, score, _ = lattice.solve(units)
+    assert sum(asked) < substrings / 2
+    for i, unit in enumerate(units):
+        found = lattice.search(unit, 1)[0]
+        assert (score[i], ids[starts[i]:starts[i + 1]].tolist()) == (found[0], lattice.ids(unit, found[1]))
+
+
 def unigram_model(pieces):
     """A unigram model file with given scores: an independent implementation to compare with."""
     def number(n):
