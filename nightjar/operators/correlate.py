@@ -106,11 +106,15 @@ def cluster_detections(detections: DataFrame, window_seconds: float = WINDOW_SEC
 
 
 # ----------------------------------------------------------------------------------------- topology
+PRUNE_AT = 64  # waiting intervals from which ended ones are looked for
+
+
 class NeighbourSweep(Fold):
     """Sweep over cluster intervals of the hosts that share an address, in start order.
 
     Intervals of different hosts that are active together belong to one group, so it is enough to remember the
-    longest active interval of each of two hosts; intervals of a lone host wait until another host appears.
+    longest active interval of each of two hosts; intervals of a lone host wait until another host appears. Those that have
+    ended are dropped when they would be linked, or when the list has doubled, so a row costs no walk over all that wait.
     """
 
     columns = ["lo", "hi", "host", "cluster"]
@@ -120,14 +124,16 @@ class NeighbourSweep(Fold):
         self.gap_us = gap_us
 
     def start(self, key: str) -> dict:
-        return {"longest": {}, "waiting": []}
+        return {"longest": {}, "waiting": [], "prune_at": PRUNE_AT}
 
     def step(self, key: str, state: dict, row: tuple) -> Iterable[dict]:
         lo, hi, host, cluster = row
         longest = {h: v for h, v in state["longest"].items() if v[0] + self.gap_us >= lo}
-        waiting = [w for w in state["waiting"] if w[0] + self.gap_us >= lo]
-        links: list[dict] = []
+        waiting, links = state["waiting"], []
         others = [h for h in longest if h != host]
+        if others or len(waiting) >= state["prune_at"]:
+            waiting = [w for w in waiting if w[0] + self.gap_us >= lo]
+            state["prune_at"] = max(PRUNE_AT, 2 * len(waiting))
         if others:
             best = longest[max(others, key=lambda h: longest[h])][1]
             links = [{"src": c, "dst": cluster} for c in dict.fromkeys([best, *[w[1] for w in waiting]])]

@@ -54,7 +54,8 @@ def ingest_batch(records: DataFrame, collector: str | None = None, tenant: str =
     detections = materialize(detect(events, rules, iocs))
     incidents = None
     if correlate:
-        grouped = materialize(C.correlate(detections, G.contacted_ips(G.derive_edges(events))))
+        reached = materialize(G.contacted_ips(G.derive_edges(events)).distinct())  # read several times
+        grouped = materialize(C.correlate(detections, reached))
         window = materialize(I.build_incidents(grouped, events))
         linked = I.incident_detections(window, grouped)
         slow = I.slow_burn_incidents(L.slow_burn_candidates(L.ledger_deposits(detections)), detections, linked.select("detection_id"), events)
