@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from nightjar.llm.common import written
+from nightjar.llm.packed import END, STEP, mixed, pack, pack_sorted, unpack, unpack_sorted
 from nightjar.llm.words import word_codes
 
 ORDER = 2
@@ -33,37 +34,9 @@ PART_ENTRIES = 2_000_000  # keys of all slices that one task adds up
 ROUNDS, CHANGE = 40, 1e-3  # expectation-maximisation ends when no weight moves by more
 BUCKETS = 64  # powers of two per context length
 HELD_OUT, TRAIN, DELETED = 0, 1, 2
-STEP, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)  # odd constants for keys
-
-
-# ------------------------------------------------------------------------------------------------ packed numbers
-def pack(values: np.ndarray) -> bytes:
-    """Non-negative numbers, byte plane by byte plane, compressed."""
-    planes = np.ascontiguousarray(values.astype(np.uint64)).view(np.uint8).reshape(-1, 8).T
-    return len(values).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(np.ascontiguousarray(planes).tobytes(), asbytes=True)
-
-
-def unpack(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    planes = pa.Codec("zstd", 1).decompress(data[8:], n * 8, asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, n).T).reshape(-1).view(np.uint64)
-
-
-def pack_sorted(values: np.ndarray) -> bytes:
-    return pack(np.diff(values, prepend=np.uint64(0)))
-
-
-def unpack_sorted(data: bytes) -> np.ndarray:
-    return np.cumsum(unpack(data), dtype=np.uint64)
 
 
 # ------------------------------------------------------------------------------------------------ n-grams of a slice
-def mixed(keys: np.ndarray) -> np.ndarray:
-    keys = (keys ^ (keys >> np.uint64(32))) * STEP
-    keys = (keys ^ (keys >> np.uint64(29))) * END
-    return keys ^ (keys >> np.uint64(32))
-
-
 def gram_keys(tokens: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, k: int) -> np.ndarray:
     """Key of the k-gram (k above 1) that ends at each token; before a text stands its end token. The low byte is 0."""
     place = np.arange(len(tokens), dtype=np.int32) - np.repeat((np.cumsum(lengths) - lengths).astype(np.int32), lengths)
