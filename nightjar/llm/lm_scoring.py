@@ -30,7 +30,8 @@ from nightjar.llm.words import word_codes
 ORDER = 2
 FOLD = 16  # one text in so many (by its content, so that exact copies stay together) is held out to learn the weights
 SLICE_BYTES = 8_000_000  # of text per slice; a longer text is a slice of its own
-PART_ENTRIES = 2_000_000  # keys of all slices that one task adds up
+PART_ENTRIES = 1_000_000  # keys of all slices that one task adds up
+RUN_TOKENS = 200_000  # of whole texts scored at once
 ROUNDS, CHANGE = 40, 1e-3  # expectation-maximisation ends when no weight moves by more
 BUCKETS = 64  # powers of two per context length
 HELD_OUT, TRAIN, DELETED = 0, 1, 2
@@ -135,15 +136,19 @@ def ask(order: int, parts: int) -> Callable:
 def answer(asked: pa.Table) -> pa.Table:
     """Counts over all slices for every slice of one key range, and the number of distinct training words in it."""
     keys = [unpack_sorted(k) for row in asked["keys"].to_pylist() for k in row]
-    ends, times = np.cumsum([len(k) for k in keys])[:-1], len(keys) // asked.num_rows
+    ends, times = np.cumsum([len(k) for k in keys]), len(keys) // asked.num_rows
     distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+    del keys
+    place = place.astype(np.int32)
     own, vocabulary = [], 0
     for name in ("train", "deleted"):
-        told = np.concatenate([unpack(v) for row in asked[name].to_pylist() for v in row]).astype(np.float64)
-        total = np.bincount(place, told, minlength=len(distinct)).astype(np.int64)
+        total, start = np.zeros(len(distinct), dtype=np.int64), 0
+        for told in (unpack(v.as_py()).astype(np.int64) for row in asked[name] for v in row):
+            np.add.at(total, place[start:start + len(told)], told)
+            start += len(told)
         if name == "train":
             vocabulary = int(((distinct & np.uint64(1) == 1) & (total > 0)).sum())
-        packed = [pack(v) for v in np.split(total[place], ends)]
+        packed = [pack(total[place[a:b]]) for a, b in zip([0, *ends], ends, strict=False)]
         own.append([*[packed[i:i + times] for i in range(0, len(packed), times)], None])
     part = asked["part"][0].as_py()
     return pa.table({
@@ -247,20 +252,28 @@ def learn(held: DataFrame, order: int) -> np.ndarray:
 
 
 def score_slices(order: int, weights: np.ndarray, total: int, vocabulary: int, key: str) -> Callable:
+    def scored(ids: pa.Array, roles: np.ndarray, lengths: np.ndarray, counts: list[np.ndarray]) -> pa.RecordBatch:
+        context = contexts(counts, lengths)
+        bucket = buckets(context, total, len(counts[0]))
+        p = sum(weights[bucket, k] * v for k, v in enumerate(estimates(counts, context, total, vocabulary)))
+        starts = np.cumsum(lengths) - lengths
+        add = lambda v: np.add.reduceat(v, starts)
+        return pa.RecordBatch.from_pydict({
+            key: ids, "held_out": pa.array(roles == HELD_OUT), "n_tokens": pa.array(lengths, pa.int64()),
+            "n_known": pa.array(add((counts[0] > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(lengths), total, dtype=np.int64)),
+            "base_score": add(np.log10((counts[0] + 1) / (total + vocabulary + 1))), "score": add(np.log10(p))})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, row in enumerate(batch.select(["lengths", "roles", "counts"]).to_pylist()):
-                lengths = np.array(row["lengths"], dtype=np.int64)
-                counts = [unpack(v).astype(np.int64) for v in row["counts"]]
-                context = contexts(counts, lengths)
-                share = weights[buckets(context, total, len(counts[0]))]
-                p = sum(share[:, k] * v for k, v in enumerate(estimates(counts, context, total, vocabulary)))
-                starts = np.cumsum(lengths) - lengths
-                add = lambda v, at=starts: np.add.reduceat(v, at)
-                yield pa.RecordBatch.from_pydict({
-                    key: batch.column("ids")[i].values, "held_out": pa.array(np.array(row["roles"]) == HELD_OUT), "n_tokens": pa.array(lengths, pa.int64()),
-                    "n_known": pa.array(add((counts[0] > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(lengths), total, dtype=np.int64)),
-                    "base_score": add(np.log10((counts[0] + 1) / (total + vocabulary + 1))), "score": add(np.log10(p))})
+            for i in range(batch.num_rows):
+                lengths, roles = (np.asarray(batch.column(c)[i].values) for c in ("lengths", "roles"))
+                counts = [unpack(v.as_py()).astype(np.int64) for v in batch.column("counts")[i]]
+                ends = np.cumsum(lengths)
+                a = start = 0
+                while a < len(lengths):
+                    b = max(a + 1, int(np.searchsorted(ends, start + RUN_TOKENS, side="right")))
+                    yield scored(batch.column("ids")[i].values[a:b], roles[a:b], lengths[a:b], [v[start:ends[b - 1]] for v in counts])
+                    a, start = b, int(ends[b - 1])
 
     return run
 

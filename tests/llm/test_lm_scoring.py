@@ -1,4 +1,5 @@
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from math import isclose, log2, log10
@@ -145,3 +146,18 @@ def test_edge_rows(spark):
 def test_packing_gives_back_the_numbers():
     values = np.sort(np.random.default_rng(1).integers(0, 2**63, 1000).astype(np.uint64) * np.uint64(2))
     assert (lm_scoring.unpack_sorted(lm_scoring.pack_sorted(values)) == values).all() and len(lm_scoring.unpack(lm_scoring.pack(values[:0]))) == 0
+
+
+def test_scoring_a_slice_takes_memory_by_the_run():
+    rng = np.random.default_rng(5)
+    lengths = rng.integers(1, 400, 6_000)
+    n = int(lengths.sum())
+    counts = [rng.integers(0, 500, n), rng.integers(0, 30, n)]
+    batch = lm_scoring.pa.RecordBatch.from_pydict({
+        "ids": [list(range(len(lengths)))], "roles": [[1] * len(lengths)], "lengths": [lengths.tolist()], "counts": [[lm_scoring.pack(c) for c in counts]]})
+    score = lm_scoring.score_slices(2, lm_scoring.first_weights(2), 10**6, 1_000, "doc_id")
+    tracemalloc.start()
+    rows = sum(out.num_rows for out in score(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == len(lengths) and peak < 6 * 8 * n
